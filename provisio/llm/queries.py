@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .html import op10_html_extraction
 from .quality import op5_quality_classifier
 
 QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
+    "op8_bpe": op8_bpe,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
