@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Each class gives at most so many whole labelled texts to its dictionary, and so many bytes of them.
-DICTIONARY_TEXTS, DICTIONARY_SOURCE_BYTES = 2_000, 24 << 20
-#: Each class gives at most so many labelled texts to the calibration.
-CALIBRATION_TEXTS = 6_000
+#: Each class gives at most so many labelled texts, and stops after so many bytes; DICTIONARY_TEXTS of them train its dictionary.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_TEXTS = 5_000, 64 << 20, 2_000
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 
 
@@ -74,32 +72,30 @@ def _dictionary(texts: list[bytes]) -> bytes | None:
         return joined if len(joined) >= 8 else None
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> CompressionModel:
-    """Fit on labelled rows (label 1 good, 0 bad; other labels and null texts are left out).
+def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
+    """Fit on docs (doc_id, text) and labels (doc_id, label: 1 good, 0 bad; one row for each document, others left out).
 
-    Only a bounded sample reaches the driver: of each class the DICTIONARY_TEXTS + CALIBRATION_TEXTS texts with the smallest
-    hashed key, and no more than DICTIONARY_SOURCE_BYTES of texts for a dictionary. Texts that train a dictionary do not calibrate.
-    With one class or none, every text gets that class's share (0.5 without any label).
+    Only a bounded sample reaches the driver: of each class the SAMPLE_TEXTS labelled documents with the smallest hashed id, whole,
+    until SAMPLE_BYTES are reached. The ids are chosen from the labels alone, so that only the sampled texts move. Texts that train
+    a dictionary do not calibrate. With one class or none, every text gets that class's share (0.5 without any label).
     """
     picked: dict[int, list[bytes]] = {}
     for value in (1, 0):
-        rows = (
-            labelled.where((F.col(label) == value) & F.col(text).isNotNull())
-            .select(F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-            .orderBy("h", F.crc32("text"))
-            .limit(DICTIONARY_TEXTS + CALIBRATION_TEXTS)
-        )
-        picked[value] = [r[0].encode() for r in rows.toLocalIterator()]
+        # SAMPLE_TEXTS rows of two numbers at most: small enough to broadcast whatever the size of the corpus
+        ids = labels.where(F.col("label") == value).select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "_id").limit(SAMPLE_TEXTS)
+        rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "_h").orderBy("_h", F.crc32("text")).limit(SAMPLE_TEXTS)
+        picked[value], size = [], 0
+        for r in rows.toLocalIterator():
+            if size < SAMPLE_BYTES:
+                picked[value].append(r[0].encode())
+                size += len(picked[value][-1])
     good, bad = picked[1], picked[0]
     if not good or not bad:
         prior = 0.5 if not good and not bad else float(bool(good))
         return CompressionModel(None, None, [8 * (2 * prior - 1)] + [0.0] * 7, [0.0] * 7, [1.0] * 7)
     dictionaries, rest = [], []
     for texts in (good, bad):
-        n, size = 0, 0
-        while n < min(DICTIONARY_TEXTS, (len(texts) + 1) // 2) and size < DICTIONARY_SOURCE_BYTES:
-            size += len(texts[n])
-            n += 1
+        n = min(DICTIONARY_TEXTS, (len(texts) + 1) // 2)
         dictionaries.append(_dictionary(texts[:n]))
         rest.append(texts[n:] or texts)
     model = CompressionModel(*dictionaries, [], [], [])
@@ -135,8 +131,7 @@ def classify(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3,
     A document with contradicting labels counts as bad; labels of unknown documents and null labels are left out.
     """
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("label"))
-    own = docs.select("doc_id", "text").where(fold(F.col("doc_id"), folds) != held)
-    model = fit(own.join(known, own["doc_id"] == known["_id"]).select("doc_id", "text", "label"))
+    model = fit(docs.select("doc_id", "text"), known.select(F.col("_id").alias("doc_id"), "label").where(fold(F.col("_id"), folds) != held))
     return (
         docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
         .withColumn("score", score(F.col("text"), model))
