@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .html import op10_html_extraction
 from .quality import op5_quality_classifier
+from .rules import op7_quality_rules
 
 QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op10_html_extraction": op10_html_extraction,
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Separators of words, and symbols that count.
 SEPARATORS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 #: Rejecting more than RISK of a stratum's good documents is what a certified cutoff rules out, together with CONFIDENCE over all tests.
 RISK, CONFIDENCE = 0.02, 0.95
+#: A share of good documents lost weighs so many times a share of bad ones caught when one of the certified cutoffs is chosen.
+COST = 5
 #: A rule rejects where its value is over the cutoff; these cutoffs are tried. Values are parts in a thousand, integers so that they are exact.
 GRID = (5, 10, 20, 30, 40, 50, 60, 80, 100, 120, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900, 950)
 #: value name: expression over the base counts.
@@ -23,41 +27,98 @@ RULES = {
 }
 
 
-def repeated_words(words: Column, window: int = 5) -> Column:
-    """Words in windows of the given size that stand at least twice in the array, the first included.
+def _windows(words: Column, size: int) -> Column:
+    """64-bit hashes of the windows of that many words, in order."""
+    n = F.size(words) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
+
 
-    Windows are compared by 64-bit hashes. Sorting (hash, place) pairs puts equal windows side by side; only texts that have any
-    sort them, and the places found are joined into runs, so the work is n log n for any text.
+def base_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
+    """All columns of docs with the counts that rules use; nothing is shuffled. A null text counts as empty; columns of the same names are replaced.
+
+    Words in windows found twice or more: hashes of the windows are sorted with their places, so that equal ones stand side by
+    side (only in texts that have any); the places found, sorted again, cover runs of words. That is n log n for any text.
     """
-    n = F.size(words) - window + 1
-    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))).otherwise(F.array().cast("array<bigint>"))
-    return hashes
+    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumn("_w", F.filter(F.split("_t", WORD_SPLIT), lambda w: w != ""))
+    d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0))
+    d = d.withColumn("_h", _windows(F.col("_w"), window))
+    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twin = F.filter("_s", lambda x, k: F.coalesce(F.get(F.col("_s"), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("_s"), k + 1)["h"] == x["h"], F.lit(False)))
+    d = d.withColumn("_p", F.array_sort(F.transform(twin, lambda x: x["i"])))
+    gaps = F.transform("_p", lambda x, k: F.least(F.lit(window), F.coalesce(F.get(F.col("_p"), k + 1) - x, F.lit(window))))
+    length = F.length("_t")
+    return (
+        d.withColumn("n_words", F.size("_w").cast("long"))
+        .withColumn("word_chars", F.length(F.translate("_t", SEPARATORS, "")).cast("long"))
+        .withColumn("n_symbols", (length - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"))
+        .withColumn("n_lines", F.size("_l").cast("long"))
+        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
+        .withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
+        .withColumn("n_marks", (length - F.length(F.translate("_t", "!?|", ""))).cast("long"))
+        .withColumn("n_upper", F.length(F.regexp_replace("_t", "[^\\p{Lu}]+", "")).cast("long"))
+        .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
+        .drop("_t", "_w", "_l", "_h", "_s", "_p")
+    )
 
 
-def _repeat_count(hashes: Column, window: int = 5) -> Column:
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _certified(k: Column, n: Column, tests: Column) -> Column:
+    """Whether P(Binomial(n, RISK) <= k), the exact level at which 'the rate is RISK or more' is rejected, is within the corrected error."""
+    odds = F.log(F.lit(RISK / (1 - RISK)))
+    first = n * F.log(F.lit(1 - RISK))
 
-    def twin(all_: Column, x: Column, k: Column) -> Column:
-        return (F.get(all_, k - 1)["h"] == x["h"]) | (F.get(all_, k + 1)["h"] == x["h"])
+    def add(a: Column, j: Column) -> Column:
+        term = a["term"] + F.log((n - j + 1) / j) + odds
+        top = F.greatest(a["total"], term)
+        return F.struct(term.alias("term"), (top + F.log(F.exp(a["total"] - top) + F.exp(term - top))).alias("total"))
 
-    return F.size(hashes), placed, twin
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    log_p = F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda a: a["total"])
+    return F.when((n == 0) | (k >= n * RISK), False).otherwise(log_p <= F.log(F.lit(1 - CONFIDENCE) / tests))
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs with the counts that rules use; nothing is shuffled. Null texts count as empty; clashing names are replaced."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_t", t)
-    d = d.withColumn("_w", F.filter(F.split("_t", WORD_SPLIT), lambda w: w != ""))
-    d = d.withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("word_chars", F.length(F.translate("_t", SEPARATORS, "")).cast("long"))
-    d = d.withColumn("n_symbols", (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
-    d = d.withColumn("_l", lines).withColumn("n_lines", F.size("_l").cast("long")).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    d = d.withColumn("n_upper", F.length(F.regexp_replace("_t", "[^\\p{Lu}]+", "")).cast("long"))
-    d = d.withColumn("n_marks", (F.length("_t") - F.length(F.translate("_t", "!?|", ""))).cast("long"))
-    d = d.withColumn("_h", repeated_words(F.col("_w")))
-    d = d.withColumn("_any", F.size(F.array_distinct("_h")) < F.size("_h"))
-    # equal windows stand side by side after sorting; the places found, sorted again, cover runs of words
-    d = d.withColumn("_s", F.when(F.col("_any"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    d = d.withColumn("_p", F.array_sort(F.transform(F.filter("_s", lambda x, k: (F.get(F.col("_s"), k - 1)["h"] <=> x["h"]) | (F.get(F.col("_s"), k + 1)["h"] <=> x["h"])), lambda x: x["i"])))
-    return d
+def thresholds(values: DataFrame, labels: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """stratum, rule, cutoff, false_rejections, n_good, caught, n_bad: of the certified cutoffs, the one that separates best.
+
+    values has doc_id, the stratum and RULES' columns. Per stratum and rule the cutoffs are tested from the mildest to the
+    strictest, each by an exact binomial test on the labelled good documents, until one fails; that needs no correction among
+    cutoffs, and the error is divided by the number of strata times rules (Bonferroni). So with CONFIDENCE over all of them, no
+    certified cutoff rejects RISK or more of its stratum's good documents. Strata with too few labels get no cutoff, hence no
+    rejection. Contradicting labels of a document count as bad.
+    """
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("good"))
+    own = values.join(known, F.col("doc_id") == F.col("_id"))
+    long = own.select(stratum, "good", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
+    at_least = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: F.col("value") > c))  # value is over the first so many cutoffs
+    grouped = long.groupBy(stratum, "rule", at_least.alias("over")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    # a few numbers for each stratum and rule from here on: len(GRID) + 1 rows at most
+    each = grouped.groupBy(stratum, "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("rows"), F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    total = lambda name: lambda i: F.aggregate(F.filter("rows", lambda r: r["over"] > i), F.lit(0).cast("long"), lambda a, r: a + r[name])
+    tests = each.agg((F.count_distinct(stratum) * len(RULES)).alias("tests")).first()["tests"] or 1
+    cut = each.select(stratum, "rule", "n_good", "n_bad", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(GRID) - 1)), lambda i: F.struct(total("good")(i).alias("k"), total("bad")(i).alias("caught")))).alias("i", "c"))
+    tested = cut.withColumn("pass", _certified(F.col("c.k"), F.col("n_good"), F.lit(float(tests))))
+    failed = F.coalesce(F.max(F.when(~F.col("pass"), F.col("i"))).over(Window.partitionBy(stratum, "rule")), F.lit(-1))
+    gain = F.col("c.caught") / F.greatest(F.col("n_bad"), F.lit(1)) - COST * F.col("c.k") / F.greatest(F.col("n_good"), F.lit(1))
+    best = tested.withColumn("failed", failed).where("i > failed").groupBy(stratum, "rule", "n_good", "n_bad").agg(F.max_by(F.struct("i", "c"), F.struct(gain, "i")).alias("b"))
+    cutoff = F.element_at(F.array(*map(F.lit, GRID)), F.col("b.i") + 1)
+    return best.select(stratum, "rule", cutoff.alias("cutoff"), F.col("b.c.k").alias("false_rejections"), "n_good", F.col("b.c.caught").alias("caught"), "n_bad")
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """doc_id, the counts, base_failed, failed_rules and kept for every row of docs.
+
+    A null or missing stratum is one of its own. Empty texts fail the base rule. Repeated rows give repeated results.
+    """
+    where = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
+    counted = base_counts(docs.select("doc_id", "text", where.alias("stratum"))).drop("text")
+    values = staged(counted.select("*", *[F.expr(e).alias(name) for name, e in RULES.items()]), "rules")
+    cutoffs = thresholds(values, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    over = [F.when(F.col(name) > F.col("cutoffs")[name], F.lit(name)) for name in RULES]
+    judged = values.join(cutoffs, "stratum", "left").withColumn("failed_rules", F.array_compact(F.array(*over)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoffs")
+
+
+def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, with cutoffs certified per language."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return apply_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
