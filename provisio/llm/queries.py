@@ -6,8 +6,10 @@ from .bpe import op8_bpe
 from .html import op10_html_extraction
 from .quality import op5_quality_classifier
 from .rules import op7_quality_rules
+from .sharding import op3_sharding
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
