@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .html import op10_html_extraction
+from .neardup import op4_minhash_near_dedup
 from .quality import op5_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op3_sharding
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
