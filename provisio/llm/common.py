@@ -135,3 +135,11 @@ def keep_members(df: DataFrame, bitmap: DataFrame, column: Column | str, slots:
     c = F.col(column) if isinstance(column, str) else column
     at = F.pmod(F.xxhash64(c), F.lit(slots))
     return df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bitmap), "_word").where(F.expr("(_bits & shiftleft(1L, cast(_at % 64 as int))) != 0")).drop("_at", "_word", "_bits")
+
+
+def without_members(df: DataFrame, bitmap: DataFrame, column: Column | str, slots: int = 1 << 23) -> DataFrame:
+    """The rows that keep_members leaves out."""
+    c = F.col(column) if isinstance(column, str) else column
+    at = F.pmod(F.xxhash64(c), F.lit(slots))
+    kept = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bitmap), "_word", "left")
+    return kept.where(F.expr("_bits IS NULL OR (_bits & shiftleft(1L, cast(_at % 64 as int))) = 0")).drop("_at", "_word", "_bits")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .decontam import op1_decontamination
 from .html import op10_html_extraction
+from .linededup import op2_line_dedup
 from .neardup import op4_minhash_near_dedup
 from .quality import op5_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op3_sharding
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
