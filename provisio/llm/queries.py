@@ -10,6 +10,7 @@ from .neardup import op4_minhash_near_dedup
 from .quality import op5_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op3_sharding
+from .suffixtree import op9_suffix_tree_scoring
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
     "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
