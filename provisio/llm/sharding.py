@@ -68,14 +68,15 @@ def _propagate(labels: DataFrame, links: DataFrame, n_rows: int, shards: int, tu
     wish: dict[int, list] = {}
     for r in state.where("_to IS NOT NULL").groupBy("_to", "_bin").agg(F.sum("n").alias("n")).collect():
         wish.setdefault(r["_to"], []).append((r["_bin"], r["n"]))
-    quota, share = n_rows // shards, F.lit(0.0)
+    quota, shares = n_rows // shards, []
     for to, bins in wish.items():
         room = max(0, quota - load.get(to, 0))
         for b, n in sorted(bins, reverse=True):
-            share = F.when((F.col("_to") == to) & (F.col("_bin") == b), F.lit(min(1.0, room / n))).otherwise(share)
+            shares.append((to, b, min(1.0, room / n)))
             room = max(0, room - n)
-    taken = F.pmod(F.xxhash64("node", F.lit(turn), F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
-    return staged(state.select("node", "n", F.when(F.col("_to").isNotNull() & taken, F.col("_to")).otherwise(F.col("shard")).alias("shard")), "labels")
+    allowed = labels.sparkSession.createDataFrame(shares, "_to int, _bin int, _share double")  # shards * GAIN_BINS rows at most
+    taken = F.pmod(F.xxhash64("node", F.lit(turn), F.lit(1)), F.lit(1 << 20)) < F.coalesce("_share", F.lit(0.0)) * (1 << 20)
+    return staged(state.join(F.broadcast(allowed), ["_to", "_bin"], "left").select("node", "n", F.when(taken, F.col("_to")).otherwise(F.col("shard")).alias("shard")), "labels")
 
 
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
