@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op8_bpe
 from .decontam import op1_decontamination
 from .html import op10_html_extraction
@@ -22,5 +24,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
     "op10_html_extraction": op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}

@@ -17,13 +17,13 @@ from .quality import fold
 #: Longest context in bytes. A gram (context and next symbol) is a number in base 256.
 DEPTH = 5
 #: A context is kept if it occurs at least this often, and in at least one of SHARE symbols: so there are at most SHARE contexts of a length.
-LEAST, SHARE = 12, 30_000
+LEAST, SHARE = 12, 200_000
 #: And if its next-symbol distribution differs from that of its longest proper suffix: count * divergence (nats) is over this.
 DIVERGENCE = 6.0
 #: Additive weight with which a suffix's distribution smooths a context's own counts.
 PRIOR = 4.0
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
-COMMON_WORDS, COMMON_IN_SLICE = 100_000, 8
+COMMON_WORDS, COMMON_IN_SLICE = 200_000, 4
 END, SPACE_BYTE = 10, 32  # symbols: words are joined by spaces, a text begins after and ends with a line break
 
 
