@@ -12,6 +12,7 @@ from .neardup import op4_minhash_near_dedup
 from .quality import op5_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op3_sharding
+from .substrings import op6_substring_dedup
 from .suffixtree import op9_suffix_tree_scoring
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_suffix_tree_scoring": op9_suffix_tree_scoring,
