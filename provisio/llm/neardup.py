@@ -14,7 +14,7 @@ from .common import LOWER, drop_staged, keep_members, member_filter, mix, slices
 #: Two collections of SIDE sketches of HASHES minhashes each give SIDE * SIDE tables from 2 * SIDE * HASHES minhashes. A pair of
 #: similarity s shares no key with probability below 2 * (1 - s ** HASHES) ** SIDE: 5.6e-4 at 0.8, 3e-6 at 0.9.
 SIDE, HASHES = 8, 2
-#: Rounds in which each table key offers one centre; what then is left in two classes is compared in full.
+#: Rounds in which each table key offers one centre; what then is left in two classes is compared in full where sizes allow a link.
 CENTRE_ROUNDS = 2
 
 _RNG = np.random.default_rng(77)
@@ -124,6 +124,41 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def shared_sizes(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, alone: how many shingles of each document in ids no other of them has."""
+    texts = keep_members(docs, member_filter(ids, "doc_id"), "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, count = shingles(*utf8(part.column("text")), words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(value.view(np.int64))], names=["doc_id", "shingle"])
+
+    owned = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
+    alone = owned.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    return ids.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _possible(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of entries (key, doc_id, root, n, r) of one key and two classes that can have the similarity.
+
+    A pair has at most min(r) shingles in common, so percent bounds the partner's size by ceiling = (100 + percent) / percent * r - n.
+    Where a document's ceiling is below its own size it has too much of its own: two such documents can't be linked, and one of
+    them only with a smaller document, found by steps of size. So the variants around a text, each with changes of its own,
+    make no pairs with each other.
+    """
+    e = entries.withColumn("ceiling", F.col("r") * ((100 + percent) / percent) - F.col("n"))
+    step = F.floor(F.log("n") / F.log(F.lit(1.03)))
+    close, far = e.where("ceiling >= n"), e.where(F.col("ceiling") < F.col("n"))
+    low, high = F.floor(F.log(F.greatest(F.col("n") * (percent / 100), F.lit(1.0))) / F.log(F.lit(1.03))), F.floor(F.log(F.greatest("ceiling", F.lit(1.0))) / F.log(F.lit(1.03)))
+    other = close.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("ceiling").alias("top"))
+    fits = (F.col("m") <= F.col("ceiling")) & (F.col("n") <= F.col("top"))
+    same = close.join(other, "key").where((F.col("root") < F.col("other")) & fits).select(F.col("doc_id").alias("a"), "b")
+    stepped = far.where(high >= low).withColumn("step", F.explode(F.sequence(low, high)))
+    small = close.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("ceiling").alias("top"), step.alias("step"))
+    return same.union(stepped.join(small, ["key", "step"]).where((F.col("root") != F.col("other")) & fits).select(F.col("doc_id").alias("a"), "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for all ends of edges (a, b). Labels fall to the neighbours' least, then to that label's own label."""
     both = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
@@ -144,8 +179,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     Documents with equal sets are one from the start (found by two 64-bit hashes of the whole set), so copies make no pairs. Each
     table key offers links of its smallest document to its others; verified links join classes; keys that still hold two classes
-    offer another centre, and after CENTRE_ROUNDS all their pairs between classes (never within one) are verified, so no candidate
-    is dropped. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
+    offer another centre, and after CENTRE_ROUNDS all their pairs between classes that can have the similarity are verified, so no
+    candidate is dropped. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
     one of them; a null doc_id is left out.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -178,8 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
             centres = open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "root"), by).alias("c"))
             pairs = open_.join(centres, "key").where("root != c.root").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"))
-            pairs = open_.join(other, "key").where("root < other").select(F.col("doc_id").alias("a"), "b")
+            ids = staged(open_.select("doc_id").distinct(), "open")
+            sizes = staged(shared_sizes(ids, docs, words).join(size, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("alone")).alias("r")), "sizes")
+            pairs = _possible(open_.join(sizes, "doc_id"), percent)
         fresh = staged(sized(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             seen = seen.select("a", "b", "na", "nb").union(fresh.select("a", "b", "na", "nb"))
