@@ -65,6 +65,14 @@ def _spots(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text", F.octet_length("text")).alias("k"), "doc_id", "text")
 
 
+def _bit_set(slots: DataFrame) -> np.ndarray:
+    """A bit for each slot (0 to SLOTS - 1) that stands in the table: SLOTS / 64 rows reach the driver at most."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64)
+    return bits
+
+
 def _repeated_anchors(docs: DataFrame) -> np.ndarray:
     """The bit set of anchors that stand more than once, anywhere in docs."""
 
@@ -72,20 +80,20 @@ def _repeated_anchors(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, "text"):
                 found, n = np.unique(anchors(*utf8(part.column("text")))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
+
+    often = docs.select("text").mapInArrow(run, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    return _bit_set(often.select(F.col("anchor").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
 
-    often = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = often.select(F.col("anchor").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
-    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, np.int64)
-    bits[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64)
-    return bits
 
+def _contexts(docs: DataFrame, bits: np.ndarray, with_bytes: bool) -> DataFrame:
+    """anchor, print, k, doc_id, first, size of the surroundings of anchors, that is of all strings with that anchor.
 
-def _contexts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """anchor, print, k, doc_id, first, size, bytes: the surroundings of anchors in the bit set, that is all strings with that anchor."""
+    Without bytes: those whose anchor is in the bit set. With bytes: those whose place is in it, as _place_slot has it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["anchor", "print", "k", "doc_id", "first", "size", "bytes"][: 7 if with_bytes else 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -93,21 +101,29 @@ def _contexts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for part in slices(batch, "text"):
                 data, off = utf8(part.column("text"))
                 anchor, first, last = anchors(data, off)
-                slot = anchor & (SLOTS - 1)
+                if with_bytes:
+                    print_ = span_hashes(data, first, last + LENGTH).view(np.int64)
+                    row = np.searchsorted(off, first, "right") - 1
+                    slot = (print_ ^ np.asarray(part.column("k"), np.int64)[row] ^ ((first - off[row]) << 7)) & (SLOTS - 1)
+                else:
+                    slot = anchor & (SLOTS - 1)
                 use = np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
                 anchor, first, last = anchor[use], first[use], last[use]
                 row = np.searchsorted(off, first, "right") - 1
                 size = last - first + LENGTH
-                ends = np.cumsum(size)
-                at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.binary())
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(span_hashes(data, first, last + LENGTH).view(np.int64)), part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(first - off[row]), pa.array(size), held],
-                    names=["anchor", "print", "k", "doc_id", "first", "size", "bytes"],
-                )
+                cols = [pa.array(anchor), pa.array(span_hashes(data, first, last + LENGTH).view(np.int64)), part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(first - off[row]), pa.array(size.astype(np.int32))]
+                if with_bytes:
+                    ends = np.cumsum(size)
+                    at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+                    cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, f"anchor long, print long, k long, doc_id {kind}, first long, size int" + ", bytes binary" * with_bytes)
+
 
-    return docs.mapInArrow(run, f"anchor long, print long, k long, doc_id {kind}, first long, size long, bytes binary")
+def _place_slot():
+    return F.col("print").bitwiseXOR(F.col("k")).bitwiseXOR(F.shiftleft("first", 7)).bitwiseAND(F.lit(SLOTS - 1))
 
 
 def shard_transform(data: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,16 +284,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Earlier means in a document of smaller id (null is the smallest), or in the same one before; overlaps count.
     """
     docs = _spots(docs.where("octet_length(text) >= %d" % LENGTH))
-    found = staged(_contexts(docs, _repeated_anchors(docs)), "contexts")
-    place = found.select("anchor", "print", "k", "doc_id", "first", "size")
+    place = staged(_contexts(docs, _repeated_anchors(docs), False), "places")
     heads = staged(place.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "k", "first")).alias("head"), F.count("*").alias("n")), "heads")
     is_head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.k") == F.col("k")) & (F.col("head.first") == F.col("first"))
     # a later copy of whole surroundings: all its strings start earlier too
     copies = place.join(heads.where("n > 1"), ["anchor", "print"]).where(~is_head).select("k", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"))
-    # first copies of the surroundings of anchors that have more than one kind of them
+    # first copies of the surroundings of anchors that have more than one kind of them: only their bytes are fetched
     kinds = heads.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = heads.join(kinds, "anchor").select("anchor", "print", "head", "kinds")
-    mixed = staged(found.join(several, ["anchor", "print"]).where(is_head).select("anchor", "k", "doc_id", "first", "size", "bytes", "kinds"), "mixed")
+    several = staged(heads.join(kinds, "anchor").select("anchor", "print", "head", "kinds"), "several")
+    bits = _bit_set(several.select("print", "head.k", "head.first").select(_place_slot().alias("slot")))
+    mixed = staged(_contexts(docs, bits, True).join(several, ["anchor", "print"]).where(is_head).select("anchor", "k", "doc_id", "first", "size", "bytes", "kinds").distinct(), "mixed")
     spans = copies.union(_by_transforms(mixed.where(F.col("kinds") <= MOST_CONTEXTS))).union(_by_prints(mixed.where(F.col("kinds") > MOST_CONTEXTS)))
     by = Window.partitionBy("k").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
