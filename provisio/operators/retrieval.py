@@ -168,7 +168,7 @@ def keyword_query(queries: DataFrame, text: str = "text") -> DataFrame:
     parts += [boosted(F.regexp_extract_all(t, F.lit(p), F.lit(0)), "2.5") for p in REFERENCE_PATTERNS]
     parts += [boosted(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)), boost) for words, boost in ((QUALIFIERS, "2.0"), (ACTORS, "1.0"))]
     plain = F.filter(F.regexp_extract_all(t, F.lit(r"\b[A-Za-z0-9_-]{3,}\b"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOPWORDS))
-    escaped = F.transform(plain, lambda w: F.struct(F.lower(w).alias("key"), F.concat(F.regexp_replace(w, "-", r"\\\\-"), F.lit("^0.8")).alias("s")))
+    escaped = F.transform(plain, lambda w: F.struct(F.lower(w).alias("key"), F.concat(F.regexp_replace(w, "-", r"\\-"), F.lit("^0.8")).alias("s")))
     all_ = F.concat(*parts, escaped)
     first = F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["key"]), x["key"]) == i + 1)
     return queries.withColumn("fulltext", F.array_join(F.slice(F.transform(first, lambda x: x["s"]), 1, MAX_TERMS), " OR "))

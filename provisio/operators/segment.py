@@ -48,11 +48,6 @@ OTHER_ACT = ANYCASE + r"^(of\s+(the\s+)?(Directive|Regulation|Charter|Treaty|Act
 CROSS_REFERENCE = ANYCASE + r"(?:Article|Art\.|Section|Sec\.|§|Clause|Rule)\s+([0-9]+[a-z]?(?:\s*(?:and|,)\s*[0-9]+[a-z]?)*)"
 FIRST_NUMBERS = ("1", "101", "1.1", "I")
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("ord")
-SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("doc_id")
-
 
 def is_running_header(line: Column) -> Column:
     out = F.lit(False)
@@ -121,15 +116,18 @@ def segments(docs: DataFrame) -> DataFrame:
     docs has doc_id, short_name and text. All rules are windows over a document's lines. A document's lines meet in one task, as
     they did when they were its text.
     """
+    whole = Window.partitionBy("doc_id")
+    by_line = whole.orderBy("ord")
+    so_far, before = by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(Window.unboundedPreceding, -1)
     lines = _flags(line_table(docs))
     none = F.lit(2**31 - 1)
-    lines = lines.withColumn("first_supplement", F.coalesce(F.min(F.when(F.col("supplement"), F.col("ord"))).over(WHOLE), none))
+    lines = lines.withColumn("first_supplement", F.coalesce(F.min(F.when(F.col("supplement"), F.col("ord"))).over(whole), none))
     opens = F.col("kind").isNotNull() & ~F.col("rejected") & F.col("number").isin(*FIRST_NUMBERS) & (F.col("ord") < F.col("first_supplement"))
-    lines = lines.withColumn("first_provision", F.coalesce(F.min(F.when(opens, F.col("ord"))).over(WHOLE), none))
+    lines = lines.withColumn("first_provision", F.coalesce(F.min(F.when(opens, F.col("ord"))).over(whole), none))
     inside = (F.col("ord") >= F.col("first_provision")) & (F.col("ord") < F.col("first_supplement"))
     lines = lines.withColumn("asks_title", F.coalesce(F.col("heading"), F.lit(False)) & inside)
-    consumed = (F.lag("asks_title", 1, False).over(BY_LINE) & F.col("titular") & (F.col("ord") < F.col("first_supplement"))) | (
-        F.lag("supplement", 1, False).over(BY_LINE) & ~F.col("supplement") & ~F.col("article_heading")
+    consumed = (F.lag("asks_title", 1, False).over(by_line) & F.col("titular") & (F.col("ord") < F.col("first_supplement"))) | (
+        F.lag("supplement", 1, False).over(by_line) & ~F.col("supplement") & ~F.col("article_heading")
     )
     lines = lines.withColumn("consumed", consumed)
     lines = lines.join(_recitals(lines), ["doc_id", "ord"], "left")
@@ -142,11 +140,11 @@ def segments(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("start", start)
     # headings that are refused before anything is open are dropped; later they are content
     refused = F.col("kind").isNotNull() & F.col("start").isNull() & (F.col("ord") < F.least("first_provision", "first_supplement"))
-    opened = F.coalesce(F.max(F.when(F.col("start").isNotNull() | ~refused, 1).otherwise(0)).over(BEFORE), F.lit(0)) == 1
-    lines = lines.withColumn("dropped", refused & ~opened).withColumn("seg", F.sum(F.when(F.col("start").isNotNull(), 1).otherwise(0)).over(SO_FAR))
+    opened = F.coalesce(F.max(F.when(F.col("start").isNotNull() | ~refused, 1).otherwise(0)).over(before), F.lit(0)) == 1
+    lines = lines.withColumn("dropped", refused & ~opened).withColumn("seg", F.sum(F.when(F.col("start").isNotNull(), 1).otherwise(0)).over(so_far))
     rest = F.when(F.col("start") == "paragraph", strip(F.regexp_extract("line", PARAGRAPH, 3))).when(F.col("start") == "recital", strip(F.regexp_extract("line", RECITAL, 2)))
     content = F.when(F.col("start").isNull() & ~F.col("consumed") & ~F.col("dropped"), F.col("line")).otherwise(F.when(rest != "", rest))
-    title = F.when(F.col("inline_title").isNotNull(), F.col("inline_title")).when(F.lead("consumed", 1, False).over(BY_LINE), F.lead("line").over(BY_LINE))
+    title = F.when(F.col("inline_title").isNotNull(), F.col("inline_title")).when(F.lead("consumed", 1, False).over(by_line), F.lead("line").over(by_line))
     number = (
         F.when(F.col("start") == "annex", F.regexp_extract("line", SUPPLEMENT, 1))
         .when(F.col("start") == "article", F.col("number"))
@@ -174,7 +172,7 @@ def segments(docs: DataFrame) -> DataFrame:
     default = {"article": F.concat(F.lit("Provision "), "number"), "annex": F.concat(F.lit("Annex "), "number"), "recital": F.concat(F.lit("Recital ("), "number", F.lit(")")), "paragraph": F.concat(F.lit("Paragraph "), "number")}
     for kind, value in default.items():
         body = body.withColumn("title", F.when(F.col("chunk_type") == kind, F.coalesce("title", value)).otherwise(F.col("title")))
-    last = F.col("seg") == F.max("seg").over(WHOLE)
+    last = F.col("seg") == F.max("seg").over(whole)
     body = body.withColumn("parent_id", F.when(F.col("chunk_type").isin("article", "paragraph"), F.col("article")).when((F.col("chunk_type") == "annex") & last, F.col("id")).otherwise(F.concat(sn, F.lit(":root"))))
     body = body.withColumn("text", F.when((strip("text") == "") & (F.col("chunk_type") == "article"), F.col("title")).otherwise(strip("text")))
     return body.where((F.col("text") != "") | (F.col("chunk_type") == "article")).select("doc_id", "short_name", F.col("seg").alias("ord"), "id", "chunk_type", "number", "title", "text", "parent_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provisio.functions.text import strip
 from provisio.operators import changes, graph, metadata, segment, semantics
 
 
@@ -80,7 +81,7 @@ def ingest(stored: DataFrame, files: DataFrame) -> DataFrame:
     new = files.withColumn("title", t).withColumn("short_name", metadata.short_name(F.col("title"), F.col("filename"))).withColumn("document_type", metadata.graph_type(metadata.document_type(F.col("text"), F.col("title"))))
     same = stored.select(F.col("content_hash")).distinct().withColumn("_same", F.lit(True))
     named = stored.select("short_name").distinct().withColumn("_named", F.lit(True))
-    status = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "error").when(F.col("_same"), "identical").when(F.col("_named"), "updated_document").otherwise("new_document")
+    status = F.when(F.coalesce(strip("text"), F.lit("")) == "", "error").when(F.col("_same"), "identical").when(F.col("_named"), "updated_document").otherwise("new_document")
     return new.join(same, "content_hash", "left").join(named, "short_name", "left").withColumn("status", status).drop("_same", "_named")
 
 

@@ -33,5 +33,6 @@ def stream_ingest(spark: SparkSession, landing: str, manifest: str, checkpoint:
 
 def event_windows(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Counts and sums by window and type; on a stream, state is dropped after the watermark."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late) if events.isStreaming else events
     return w.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
