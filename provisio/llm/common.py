@@ -36,6 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """df, after setting the session's Arrow batches to so many rows, so that batches of long texts stay small in Python workers and in Spark's."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about size bytes of text."""
+    held, n = [], 0
+    for batch in batches:
+        for part in slices(batch, column, size):
+            held.append(part)
+            n += int(utf8(part.column(column))[1][-1])
+            if n >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, mix, slices, span_hashes, spans, utf8
+from .common import LOWER, SPACE, bounded_batches, mix, slices, span_hashes, spans, utf8
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 #: Words a gram; share of an item's words, and of its question's and its answer's, that grams found in the passage must cover.
@@ -259,7 +259,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word"],
                     )
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -276,7 +276,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[r[0] for r in find(shared.value, part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

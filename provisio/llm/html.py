@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import staged
+from .common import bounded_batches, staged
 
 #: Fixed values of HTML: elements without content, with raw content, that never hold visible text, and that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null, empty and text-free pages give an empty text; a null url is a host of its own; repeated pages give repeated rows; pages
     without an article or main element are read whole. Columns other than page_id, url and html are not read.
     """
-    templates = template_hashes(pages)
+    templates = template_hashes(bounded_batches(pages, 500))
     joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(templates, "host", "left").select("page_id", "url", "html", "templates")
     kind = dict(pages.dtypes)["page_id"]
 

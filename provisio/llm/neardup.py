@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_staged, keep_members, member_filter, mix, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, slices, span_hashes, spans, staged, utf8
 
 #: Two collections of SIDE sketches of HASHES minhashes each give SIDE * SIDE tables from 2 * SIDE * HASHES minhashes. A pair of
 #: similarity s shares no key with probability below 2 * (1 - s ** HASHES) ** SIDE: 5.6e-4 at 0.8, 3e-6 at 0.9.
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     candidate is dropped. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
     one of them; a null doc_id is left out.
     """
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    docs = bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
     sign = staged(signatures(docs, words), "signatures")
     # one representative of each set
     groups = sign.where("n_shingles > 0").groupBy("p1", "p2", "n_shingles").agg(F.min_by("sketches", "doc_id").alias("sketches"), F.min("doc_id").alias("doc_id"))

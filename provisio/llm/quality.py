@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import bounded_batches
+
 #: Each class gives at most so many labelled texts, and stops after so many bytes; DICTIONARY_TEXTS of them train its dictionary.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_TEXTS = 5_000, 64 << 20, 2_000
 DICTIONARY_BYTES, LEVEL = 112_640, 3
@@ -133,7 +135,7 @@ def classify(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3,
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("label"))
     model = fit(docs.select("doc_id", "text"), known.select(F.col("_id").alias("doc_id"), "label").where(fold(F.col("_id"), folds) != held))
     return (
-        docs.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
+        bounded_batches(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
         .withColumn("score", score(F.col("text"), model))
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     )

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, _powers, keep_members, member_filter, mix, slices, span_hashes, staged, utf8, without_members
+from .common import BYTE_VALUE, _powers, bounded_batches, keep_members, member_filter, mix, slices, span_hashes, staged, utf8, without_members
 
 LENGTH, GRAM = 100, 24
 #: Bits of the prefilter of repeated anchors: 8 MB whatever the size of the corpus. It only saves work; an exact join follows.
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Earlier means in a document of smaller id (null is the smallest), or in the same one before; overlaps count.
     """
-    docs = _spots(docs.where("octet_length(text) >= %d" % LENGTH))
+    docs = _spots(bounded_batches(docs).where("octet_length(text) >= %d" % LENGTH))
     place = staged(_contexts(docs, _repeated_anchors(docs), False), "places")
     heads = staged(place.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "k", "first")).alias("head"), F.count("*").alias("n")), "heads")
     is_head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.k") == F.col("k")) & (F.col("head.first") == F.col("first"))

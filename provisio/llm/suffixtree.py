@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, drop_staged, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, SPACE, bounded_batches, drop_staged, slices, span_hashes, spans, staged, utf8
 from .quality import fold
 
 #: Longest context in bytes. A gram (context and next symbol) is a number in base 256.
@@ -275,7 +275,7 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
     Null texts count as empty and have the end token alone; a null doc_id is in fold 0; repeated rows count each. Both models learn
     from all whole texts outside the held-out fold.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text", F.octet_length("text")))
+    docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text", F.octet_length("text")))
     train = docs.where(fold(F.col("doc_id"), folds) != held)
     counts = staged(gram_counts(train), "grams")
     tree = fit_tree(counts)
