@@ -169,9 +169,9 @@ def keyword_query(queries: DataFrame, text: str = "text") -> DataFrame:
     parts += [boosted(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)), boost) for words, boost in ((QUALIFIERS, "2.0"), (ACTORS, "1.0"))]
     plain = F.filter(F.regexp_extract_all(t, F.lit(r"\b[A-Za-z0-9_-]{3,}\b"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOPWORDS))
     escaped = F.transform(plain, lambda w: F.struct(F.lower(w).alias("key"), F.concat(F.regexp_replace(w, "-", r"\\-"), F.lit("^0.8")).alias("s")))
-    all_ = F.concat(*parts, escaped)
-    first = F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["key"]), x["key"]) == i + 1)
-    return queries.withColumn("fulltext", F.array_join(F.slice(F.transform(first, lambda x: x["s"]), 1, MAX_TERMS), " OR "))
+    found = queries.withColumn("_all", F.concat(*parts, escaped)).withColumn("_keys", F.transform("_all", lambda y: y["key"]))
+    first = F.filter("_all", lambda x, i: F.array_position(F.col("_keys"), x["key"]) == i + 1)
+    return found.withColumn("fulltext", F.array_join(F.slice(F.transform(first, lambda x: x["s"]), 1, MAX_TERMS), " OR ")).drop("_all", "_keys")
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataFrame:
@@ -180,10 +180,12 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataF
     Both sides meet on hashes of runs of words (white space apart), the phrase's inner ones; the substring test then decides. So
     phrases need words + 2 words; shorter ones match nothing here.
     """
-    def grams(c: Column) -> Column:
-        w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-        return F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))).otherwise(F.array().cast("array<bigint>"))
-
-    inner = phrases.select("item_id", F.col("text").alias("phrase"), F.get(grams(F.col("text")), F.lit(1)).alias("gram"), F.size(grams(F.col("text"))).alias("n")).where("n >= 3").drop("n")
-    found = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram")).join(inner.select("gram", "item_id"), "gram").select("doc_id", "item_id").distinct()
+    def grams(df: DataFrame) -> DataFrame:
+        """df with _g; words are a column of their own, so that a text is split once."""
+        w = df.withColumn("_w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+        own = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(words)]))
+        return w.withColumn("_g", F.when(F.size("_w") >= words, own).otherwise(F.array().cast("array<bigint>")))
+
+    inner = grams(phrases.select("item_id", "text")).where(F.size("_g") >= 3).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
+    found = grams(docs.select("doc_id", "text")).select("doc_id", F.explode("_g").alias("gram")).join(inner, "gram").select("doc_id", "item_id").distinct()
     return found.join(docs.select("doc_id", "text"), "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
