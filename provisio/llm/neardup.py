@@ -16,6 +16,8 @@ from .common import LOWER, bounded_batches, drop_staged, keep_members, member_fi
 SIDE, HASHES = 8, 2
 #: Rounds in which each table key offers one centre; what then is left in two classes is compared in full where sizes allow a link.
 CENTRE_ROUNDS = 2
+#: In that comparison a shingle of so few documents is rare: its documents are paired outright.
+RARE = 4
 
 _RNG = np.random.default_rng(77)
 _FACTOR = _RNG.integers(1, 2**63, 2 * SIDE * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,8 +126,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def shared_sizes(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, alone: how many shingles of each document in ids no other of them has."""
+def rare_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingle, df of the shingles that at most RARE of the documents in ids have; a common one is counted before it moves."""
     texts = keep_members(docs, member_filter(ids, "doc_id"), "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +136,17 @@ def shared_sizes(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 value, count = shingles(*utf8(part.column("text")), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(value.view(np.int64))], names=["doc_id", "shingle"])
 
-    owned = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
-    alone = owned.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    return ids.join(alone, "doc_id", "left").select("doc_id", F.coalesce("alone", F.lit(0)).alias("alone"))
+    rows = staged(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long"), "shingles")
+    few = rows.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    out = staged(rows.join(few, "shingle"), "rare")
+    drop_staged(rows)
+    return out
 
 
 def _possible(entries: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of entries (key, doc_id, root, n, r) of one key and two classes that can have the similarity.
 
-    A pair has at most min(r) shingles in common, so percent bounds the partner's size by ceiling = (100 + percent) / percent * r - n.
+    r counts the shingles that are not rare: without a rare one in common, a pair has at most min(r) in common, so percent bounds the partner's size by ceiling = (100 + percent) / percent * r - n.
     Where a document's ceiling is below its own size it has too much of its own: two such documents can't be linked, and one of
     them only with a smaller document, found by steps of size. So the variants around a text, each with changes of its own,
     make no pairs with each other.
@@ -180,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     Documents with equal sets are one from the start (found by two 64-bit hashes of the whole set), so copies make no pairs. Each
     table key offers links of its smallest document to its others; verified links join classes; keys that still hold two classes
     offer another centre, and after CENTRE_ROUNDS all their pairs between classes that can have the similarity are verified, so no
-    candidate is dropped. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
+    candidate is dropped: a pair has a rare shingle in common, or its sizes without rare shingles bound what it can have. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
     one of them; a null doc_id is left out.
     """
     docs = bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -214,8 +218,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
             pairs = open_.join(centres, "key").where("root != c.root").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
             ids = staged(open_.select("doc_id").distinct(), "open")
-            sizes = staged(shared_sizes(ids, docs, words).join(size, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("alone")).alias("r")), "sizes")
-            pairs = _possible(open_.join(sizes, "doc_id"), percent)
+            rare = rare_shingles(ids, docs, words)
+            own = ids.join(rare.groupBy("doc_id").agg(F.count("*").alias("rare")), "doc_id", "left").join(size, "doc_id")
+            sizes = staged(own.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("r")), "sizes")
+            # pairs with a rare shingle in common, RARE at most a row; and those whose other shingles can suffice
+            labels = open_.select("doc_id", "root").distinct()
+            some = rare.where("df > 1").join(labels, "doc_id").select("shingle", "doc_id", "root")
+            met = some.join(some.select("shingle", F.col("doc_id").alias("b"), F.col("root").alias("other")), "shingle").where("root < other").select(F.col("doc_id").alias("a"), "b")
+            pairs = _possible(open_.join(sizes, "doc_id"), percent).union(met)
         fresh = staged(sized(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             seen = seen.select("a", "b", "na", "nb").union(fresh.select("a", "b", "na", "nb"))
