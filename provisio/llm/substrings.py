@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE, _powers, bounded_batches, keep_members, member_filter, mix, slices, span_hashes, staged, utf8, without_members
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Bits of the prefilter of repeated anchors: 8 MB whatever the size of the corpus. It only saves work; an exact join follows.
 SLOTS = 1 << 26
 #: Bytes of a shard's transform, and of the surroundings that one merge takes (an anchor's are never divided).
@@ -152,7 +152,7 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tupl
     while their characters have been equal so far; the round that parts them gives their common prefix.
     """
     joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint32), [len(t) for t in transforms])
     n = len(joined)
     place, block = np.arange(n), np.zeros(n, np.int32)
     common = np.full(n, rounds, np.int16)
@@ -181,11 +181,11 @@ def later_windows(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray) -> tupl
         to = max(begin + 1, int(np.searchsorted(ends, (ends[begin] - sizes[begin]) + SHARD_BYTES, "right")))
         own = sizes[begin:to] + 1
         stop = np.cumsum(own)
-        text = np.zeros(int(stop[-1]), np.int16)
+        text = np.zeros(int(stop[-1]), np.uint8)
         inner = np.ones(len(text), bool)
         inner[stop - 1] = False
         low, high = int(ends[begin] - sizes[begin]), int(ends[to - 1])
-        text[inner] = data[low:high].astype(np.int16) + 1
+        text[inner] = data[low:high] + 1  # UTF-8 has no byte 255, so 0 is free for the ends
         following = np.arange(1, len(text) + 1)
         following[stop - 1] = stop - own
         transform, order = shard_transform(text, following)
