@@ -186,6 +186,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataF
         own = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(words)]))
         return w.withColumn("_g", F.when(F.size("_w") >= words, own).otherwise(F.array().cast("array<bigint>")))
 
-    inner = grams(phrases.select("item_id", "text")).where(F.size("_g") >= 3).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
-    found = grams(docs.select("doc_id", "text")).select("doc_id", F.explode("_g").alias("gram")).join(inner, "gram").select("doc_id", "item_id").distinct()
+    inner = grams(phrases.select("item_id", "text")).where(F.size("_w") >= words + 2).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
+    # outer, as the filter that the optimizer derives from a plain explode would split each text once a word
+    found = grams(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("_g").alias("gram")).join(inner, "gram").select("doc_id", "item_id").distinct()
     return found.join(docs.select("doc_id", "text"), "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
