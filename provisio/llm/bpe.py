@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gathered, slices
+from .common import bounded_batches, gathered, release, slices
 
 #: Texts of about so many bytes share one index; it bounds a task's memory, and a longer text has an index of its own.
-REPLAY_BYTES = 5 << 20
+REPLAY_BYTES = 4 << 20
 NO_RANK = np.int64(1) << 40
 
 
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = Encoder(shared.value)
         for batch in gathered(batches, "_text", REPLAY_BYTES):
             for part in slices(batch, "_text", 2 * REPLAY_BYTES):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Texts are worked on in slices of about so many bytes, which bounds memory; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from stage to stage and would keep each one's most."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     """df, after setting the session's Arrow batches to so many rows, so that batches of long texts stay small in Python workers and in Spark's."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

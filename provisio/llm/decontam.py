@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, mix, slices, span_hashes, spans, utf8
+from .common import LOWER, SPACE, bounded_batches, mix, release, slices, span_hashes, spans, utf8
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 #: Words a gram; share of an item's words, and of its question's and its answer's, that grams found in the passage must cover.
@@ -250,6 +250,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)  # INDEX_BYTES of items, whatever the size of the corpus
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 for part in slices(batch, "text"):
                     rows = find(shared.value, part.column("text"))
@@ -270,6 +271,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)

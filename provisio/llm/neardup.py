@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, release, slices, span_hashes, spans, staged, utf8
 
 #: Two collections of SIDE sketches of HASHES minhashes each give SIDE * SIDE tables from 2 * SIDE * HASHES minhashes. A pair of
 #: similarity s shares no key with probability below 2 * (1 - s ** HASHES) ** SIDE: 5.6e-4 at 0.8, 3e-6 at 0.9.
@@ -71,6 +71,7 @@ def signatures(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str =
     """doc_id, n_shingles, print (two hashes of the whole set) and sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 value, count = shingles(*utf8(part.column("_text")), words)
@@ -104,6 +105,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         centre, of = None, np.zeros(0, np.uint64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
