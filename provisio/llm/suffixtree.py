@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, bounded_batches, drop_staged, slices, span_hashes, spans, staged, utf8
 from .quality import fold
 
-#: Longest context in bytes. A gram (context and next symbol) is a number in base 256.
-DEPTH = 5
-#: A context is kept if it occurs at least this often, and in at least one of SHARE symbols: so there are at most SHARE contexts of a length.
-LEAST, SHARE = 12, 200_000
+#: Longest context in bytes. A gram (context and next symbol) is a number in base 256; of eight bytes, it fills one long.
+DEPTH = 7
+#: A context is kept if it occurs at least this often, however large the corpus.
+LEAST = 12
 #: And if its next-symbol distribution differs from that of its longest proper suffix: count * divergence (nats) is over this.
 DIVERGENCE = 6.0
 #: Additive weight with which a suffix's distribution smooths a context's own counts.
 PRIOR = 4.0
+#: Documents are looked up in chunks of 2 ** CHUNK_BITS rows of a partition: each distinct gram of a chunk once.
+CHUNK_BITS = 13
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
 COMMON_WORDS, COMMON_IN_SLICE = 200_000, 4
+_CONTEXT = (1 << 8 * DEPTH) - 1  # a gram of eight bytes may be negative
 END, SPACE_BYTE = 10, 32  # symbols: words are joined by spaces, a text begins after and ends with a line break
 
 
@@ -65,30 +68,52 @@ def _grams(symbols: np.ndarray, new: np.ndarray, depth: int) -> np.ndarray:
     return gram << 8 | symbols
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram, n over all docs: counted in each slice, then summed. The table follows the corpus."""
+def seen_grams(docs: DataFrame) -> DataFrame:
+    """_chunk, gram, n over docs (_chunk, train, text): the distinct grams of each chunk and how often its training texts hold them.
+
+    Counted in each slice, then in each chunk of a task; a chunk that two tasks share has rows of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: list[pa.Table] = []
+        size, now = 0, None
 
-        def out() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+        def merged() -> pa.Table:
+            t = pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")])
+            return pa.table({"gram": t.column("gram"), "n": t.column("n_sum")})
+
+        def out(chunk: int) -> Iterator[pa.RecordBatch]:
+            for part in merged().combine_chunks().to_batches(100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, chunk)), part.column("gram"), part.column("n")], names=["_chunk", "gram", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                g = _grams(*_symbols(part.column("text")), DEPTH)
-                held.append(g)
-                size += len(g)
-                if size > 8 << 20:
-                    yield out()
-                    size = 0
+                chunk = np.asarray(part.column("_chunk"), np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held and now != chunk[a]:
+                        yield from out(now)
+                        held, size = [], 0
+                    now = int(chunk[a])
+                    own = part.slice(a, b - a)
+                    symbols, new = _symbols(own.column("text"))
+                    known = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
+                    train = np.repeat(np.asarray(own.column("train").to_numpy(zero_copy_only=False), float), np.diff(new))
+                    n = np.bincount(known.indices.to_numpy(), train, minlength=len(known.dictionary)).astype(np.int64)
+                    held.append(pa.table({"gram": known.dictionary, "n": pa.array(n)}))
+                    size += len(n)
+                    if size > 4 << 20:
+                        held = [merged()]
+                        size = 0
         if held:
-            yield out()
+            yield from out(now)
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("_chunk", "train", "text").mapInArrow(run, "_chunk long, gram long, n long")
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n over all docs. The table follows the corpus."""
+    return seen_grams(docs.select(F.lit(0).cast("long").alias("_chunk"), F.lit(True).alias("train"), "text")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -101,50 +126,73 @@ class Automaton:
     value: np.ndarray
 
 
-def _retained(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By length of context: grams (context and next byte) of the contexts retained, and their counts.
+def _short(d: int):
+    """The gram without the first symbol of its context of d symbols."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))
+
+
+def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By length of context: gram, n of all grams, and context, all (its count) of the contexts retained.
 
-    A context must pass the count test and the divergence test, or be the suffix of one that does. All counts and tests are Spark
-    aggregations and joins. What is retained reaches the driver: at most SHARE contexts of each length, whatever the size of the
-    corpus, since each holds at least one SHARE-th of all symbols.
+    A context must pass the count test and the divergence test, or be the suffix of one that does. All are Spark tables that follow
+    the corpus; a gram or context meets at most 256 rows of another table.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, math.ceil(total / SHARE))
     levels, kept, chosen = {DEPTH: counts}, {}, {}
     for d in range(DEPTH - 1, -1, -1):
-        short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        levels[d] = staged(levels[d + 1].groupBy(short.alias("gram")).agg(F.sum("n").alias("n")), f"grams{d}")
+        levels[d] = staged(levels[d + 1].groupBy(_short(d + 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams{d}")
     for d in range(DEPTH + 1):
-        g = levels[d].select("gram", "n", F.shiftrightunsigned("gram", 8).alias("context"))
-        size = g.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= (least if d else 0))
+        g = levels[d].where("n > 0").select("gram", "n", F.shiftrightunsigned("gram", 8).alias("context"))
+        size = g.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= (LEAST if d else 0))
         kept[d] = staged(g.join(size, "context"), f"contexts{d}")
     needed = None
     for d in range(DEPTH, 0, -1):
-        own = kept[d].withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1)))
+        own = kept[d].withColumn("short", _short(d))
         short = kept[d - 1].select(F.col("gram").alias("short"), (F.col("n") / F.col("all")).alias("q"))
-        gain = own.join(short, "short").groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("q"))).alias("gain"))
-        passed = gain.where(F.col("gain") > DIVERGENCE).select("context")
-        chosen[d] = staged((passed if needed is None else passed.union(needed)).distinct(), f"chosen{d}")
-        needed = chosen[d].select(F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("context"))
-    out = []
-    for d in range(DEPTH + 1):
-        rows = (kept[d].join(chosen[d], "context", "left_semi") if d else kept[d]).select("gram", "n").toArrow()
-        gram, n = np.asarray(rows.column("gram"), np.int64), np.asarray(rows.column("n"), np.int64)
-        order = np.argsort(gram)
-        out.append((gram[order], n[order]))
-    drop_staged(*[levels[d] for d in range(DEPTH)], *kept.values(), *chosen.values())
-    return out
+        gain = own.join(short, "short").groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("q"))).alias("gain"), F.first("all").alias("all"))
+        found = gain.select("context", "all", (F.col("gain") > DIVERGENCE).alias("use"))
+        if needed is not None:
+            found = found.join(needed, "context", "left").withColumn("use", F.col("use") | F.col("longer").isNotNull())
+        chosen[d] = staged(found.where("use").select("context", "all"), f"chosen{d}")
+        needed = chosen[d].select(F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("context")).distinct().withColumn("longer", F.lit(True))
+    chosen[0] = staged(kept[0].select("context", "all").distinct(), "chosen0")
+    drop_staged(*kept.values())
+    return [levels[d] for d in range(DEPTH + 1)], [chosen[d] for d in range(DEPTH + 1)]
+
+
+def gram_values(levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """gram, value: log10 probability of the last symbol of every gram after its longest retained context.
+
+    From the empty context on, each gram takes its suffix's probability, into which a retained context's own counts are mixed.
+    """
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    share = levels[0].select("gram", ((F.col("n") + 1) / F.lit(total + 256.0)).alias("share"))  # add one over all 256 bytes
+    for d in range(1, DEPTH + 1):
+        own = levels[d].select("gram", "n", F.shiftrightunsigned("gram", 8).alias("context"), _short(d).alias("short"))
+        both = own.join(share.withColumnRenamed("gram", "short"), "short").join(contexts[d], "context", "left")
+        mixed = (F.col("n") + PRIOR * F.col("share")) / (F.col("all") + PRIOR)
+        last, share = share, staged(both.select("gram", F.coalesce(mixed, "share").alias("share")), f"shares{d}")
+        if d > 1:
+            drop_staged(last)
+    return share.select("gram", F.log10("share").alias("value"))
 
 
 def fit_tree(counts: DataFrame) -> Automaton:
-    """The machine of the retained contexts. Every part of a retained context is a state, so that no context is lost on the way;
-    one that was not retained itself takes its suffix's distribution. A context's counts are smoothed by its suffix's distribution."""
-    grams = _retained(counts)
+    """The machine of the retained contexts, in memory: for small corpora only, score() looks its values up in gram_values().
+
+    Every part of a retained context is a state, so that no context is lost on the way; one that was not retained itself takes its
+    suffix's distribution. A context's counts are smoothed by its suffix's distribution."""
+    counts = staged(counts, "grams")
+    levels, contexts = retained(counts)
+    grams = []
+    for level, context in zip(levels, contexts, strict=True):
+        rows = level.where("n > 0").withColumn("context", F.shiftrightunsigned("gram", 8)).join(context, "context", "left_semi").select("gram", "n").orderBy("gram").toArrow()
+        grams.append((np.asarray(rows.column("gram"), np.int64), np.asarray(rows.column("n"), np.int64)))
+    drop_staged(*levels, *contexts)
     used = np.unique(np.r_[grams[0][0], END]).astype(np.int64)
     symbol = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int64)
     symbol[used] = np.arange(len(used))
     width = len(used) + 1
-    states = [np.zeros(1, np.int64)] + [np.unique(g >> 8) for g, _ in grams[1:]]
+    states = [np.zeros(1, np.int64)] + [np.unique(g >> 8 & _CONTEXT) for g, _ in grams[1:]]
     for d in range(DEPTH, 0, -1):
         states[d - 1] = np.unique(np.r_[states[d - 1], states[d] >> 8, states[d] & ((1 << 8 * (d - 1)) - 1)])
     base = np.cumsum([0, *map(len, states)])
@@ -152,7 +200,7 @@ def fit_tree(counts: DataFrame) -> Automaton:
     for d, own in enumerate(states):
         here = slice(base[d], base[d + 1])
         gram, n = grams[d]
-        at, there = _find(own, gram >> 8)
+        at, there = _find(own, gram >> 8 & _CONTEXT)
         at, n, next_ = at[there], n[there].astype(float), symbol[gram[there] & 255]
         all_ = np.bincount(at, n, minlength=len(own))
         if d:
@@ -276,33 +324,48 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
     from all whole texts outside the held-out fold.
     """
     docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text", F.octet_length("text")))
-    train = docs.where(fold(F.col("doc_id"), folds) != held)
-    counts = staged(gram_counts(train), "grams")
-    tree = fit_tree(counts)
-    drop_staged(counts)
+    docs = docs.withColumn("train", fold(F.col("doc_id"), folds) != held).withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    docs = staged(docs, "texts")  # so that a chunk holds the same documents whenever it is read
+    seen = staged(seen_grams(docs), "seen")
+    counts = staged(seen.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    levels, contexts = retained(counts)
+    values = gram_values(levels, contexts)
+    drop_staged(*levels, *contexts)
     by_doc, words, found, tokens, distinct = word_counts(docs, held, folds)
-    ends = docs.where(fold(F.col("doc_id"), folds) != held).count()
-    model = docs.sparkSession.sparkContext.broadcast((tree, words, np.log10(found + 1.0)))
+    ends = docs.where("train").count()
+    model = docs.sparkSession.sparkContext.broadcast((words, np.log10(found + 1.0)))  # COMMON_WORDS at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words, logs = model.value
-        for batch in batches:
+    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+        words, logs = model.value
+        gram, value = np.asarray(values.column("gram"), np.int64), np.asarray(values.column("value"), float)
+        order = np.argsort(gram)
+        gram, value = gram[order], value[order]
+        out = []
+        for batch in texts.combine_chunks().to_batches():
             for part in slices(batch, "text"):
                 n_rows = part.num_rows
                 symbols, new = _symbols(part.column("text"))
-                value = np.add.reduceat(log10_values(tree, symbols), new[:-1])
+                own = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
+                at, there = _find(gram, np.asarray(own.dictionary, np.int64))
+                if not there.all():
+                    raise ValueError("a gram of a chunk has no value")
+                score = np.add.reduceat(value[at][own.indices.to_numpy()], new[:-1])
                 word, row = _word_rows(part)
                 at, is_common = _find(words, word)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("_row"), pa.array(np.bincount(row, minlength=n_rows) + 1), pa.array(np.bincount(row[is_common], minlength=n_rows)),
-                        pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(words) else np.zeros(n_rows)), pa.array(value),
-                    ],
-                    names=["doc_id", "_row", "n_tokens", "common_known", "common_log", "score"],
+                out.append(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc_id"), part.column("_row"), pa.array(np.bincount(row, minlength=n_rows) + 1), pa.array(np.bincount(row[is_common], minlength=n_rows)),
+                            pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(words) else np.zeros(n_rows)), pa.array(score),
+                        ],
+                        names=["doc_id", "_row", "n_tokens", "common_known", "common_log", "score"],
+                    )
                 )
+        return pa.Table.from_batches(out)
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, n_tokens long, common_known long, common_log double, score double")
+    looked_up = seen.select("_chunk", "gram").join(values, "gram").groupBy("_chunk")
+    scored = docs.select("_chunk", "doc_id", "_row", "text").groupBy("_chunk").cogroup(looked_up).applyInArrow(run, f"doc_id {kind}, _row long, n_tokens long, common_known long, common_log double, score double")
     # rows that repeat an id and text share _row, and their rare words are counted once for each of them
     copies = F.count("*").over(Window.partitionBy("_row"))
     joined = scored.join(by_doc, "_row", "left").withColumn("_copies", copies)
