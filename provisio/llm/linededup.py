@@ -37,18 +37,52 @@ def _classes(windows: DataFrame) -> DataFrame:
     return out
 
 
+def _least_windows(lines: DataFrame, least_chars: int) -> DataFrame:
+    """k, start, width: for each line the shortest window that begins there, and the shortest that ends there, with least_chars.
+
+    lines (k, line, chars) are those that stand more than once; windows do not cross others. Every window with least_chars is the
+    union of such windows inside it, and equal windows have equal ones, so these are all that need to be looked up.
+    """
+    by = Window.partitionBy("k").orderBy("line")
+    part = Window.partitionBy("k", "part").orderBy("line")
+    own = lines.select("k", "line", "chars", (F.col("line") - F.row_number().over(by)).alias("part"))
+    own = own.withColumn("upto", F.sum("chars").over(part)).withColumn("last", F.lead("line").over(part).isNull())
+    # boundaries of lines, with the characters before them
+    here, after = F.struct(F.col("line").alias("at"), (F.col("upto") - F.col("chars")).alias("before")), F.struct((F.col("line") + 1).alias("at"), F.col("upto").alias("before"))
+    points = own.select("k", "part", F.explode(F.when(F.col("last"), F.array(here, after)).otherwise(F.array(here))).alias("p")).select("k", "part", "p.at", "p.before")
+    points = points.withColumn("back", -F.col("before"))
+    far = lambda order: Window.partitionBy("k", "part").orderBy(order).rangeBetween(Window.unboundedPreceding, -least_chars)
+    both = points.select("k", "at", F.max("at").over(far("before")).alias("start"), F.min("at").over(far("back")).alias("end"))
+    begins, ends = both.select("k", F.col("at").alias("start"), (F.col("end") - F.col("at")).alias("width")), both.select("k", "start", (F.col("at") - F.col("start")).alias("width"))
+    return begins.union(ends).where("start IS NOT NULL AND width IS NOT NULL").distinct()
+
+
 def repeated_runs(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """k, start, end: maximal runs of lines (end exclusive) made of windows that stand earlier too.
 
     Windows have 1, 2, 4, ... lines. A window of twice the length is named by the names of its halves, as in building a suffix array by
-    prefix doubling; its class is the interval of suffixes with that common prefix. A line is deleted when a window around it holds
-    least_chars and starts earlier as well: in a document of smaller id, or above in the same one; overlaps count. Only windows
-    that stand more than once are carried on, and the doubling ends when none is left, after the logarithm of the longest run.
+    prefix doubling; its class is the interval of suffixes with that common prefix. A window of any other width is named by two windows
+    of the largest power of two, which overlap. A line is deleted when a window of whatever width around it holds least_chars and
+    starts earlier as well: in a document of smaller id, or above in the same one; overlaps count. Only windows that stand more than
+    once are carried on, and the doubling ends when none is left or none of the shortest windows with least_chars is wider.
     """
     level = _classes(line_table(docs))
+    least = staged(_least_windows(level, least_chars), "least")
+    widest = least.agg(F.max("width")).first()[0] or 0
     hits, width = [], 1
     while True:
         hits.append(staged(level.where(F.col("later") & (F.col("chars") >= least_chars)).select("k", F.col("line").alias("start"), (F.col("line") + width).alias("end")), "hits"))
+        if widest > width > 1:
+            wanted = least.where((F.col("width") > width) & (F.col("width") < 2 * width)).withColumn("line", F.col("start") + F.col("width") - width)
+            tail = level.select("k", "line", F.col("name").alias("name2"))
+            head = level.select("k", F.col("line").alias("start"), "doc_id", "name")
+            named = wanted.join(tail, ["k", "line"]).join(head, ["k", "start"])
+            # the width takes the place of the characters, of which there are enough
+            other = _classes(named.select("k", "doc_id", F.col("start").alias("line"), F.xxhash64("name", "name2", "width").alias("id"), F.col("width").alias("chars")))
+            hits.append(staged(other.where("later").select("k", F.col("line").alias("start"), (F.col("line") + F.col("chars")).alias("end")), "hits"))
+            drop_staged(other)
+        if 2 * width > widest:
+            break
         right = level.select("k", (F.col("line") - width).alias("line"), F.col("name").alias("name2"), F.col("chars").alias("chars2"))
         pairs = level.join(right, ["k", "line"])
         last = level
