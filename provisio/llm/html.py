@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +28,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ENDS_P = BLOCK - {"body", "html", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 #: What a template may be: containers, never a paragraph, heading, list item or table part of an article.
 CONTAINER = frozenset("div section ul ol dl table figure details center fieldset blockquote".split())
+#: A template stands on so many different pages of a host, however many the host has.
+LEAST_PAGES = 5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
@@ -159,9 +160,9 @@ def main_roots(root: Element) -> list[Element]:
 
 
 def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees of this page that could be templates: containers with text."""
+    """Hashes of the subtrees of this page that could be templates: all its containers."""
     digests(root)
-    return {e.digest for top in main_roots(root) for e in _post_order(top) if e is not top and e.tag in CONTAINER}
+    return {e.digest for e in _post_order(root) if e.tag in CONTAINER}
 
 
 def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
@@ -200,31 +201,39 @@ def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
     return "\n".join(blocks)
 
 
-def template_hashes(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
-    """host, templates: hashes of container subtrees found on at least least_pages pages and on least_share of the host's pages.
+def main_text(root: Element, templates: frozenset[int] | set[int]) -> str:
+    """The page's text without templates; where they hold all of its text, they are no templates of this page."""
+    return text_of(root, templates) or (text_of(root, frozenset()) if templates else "")
 
-    Counts are made before rows move (one row for each host and hash of a task), so a host with a third of all pages is no burden.
-    A host has at most 1 / least_share times as many templates as one page has containers.
+
+def template_hashes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, page, templates: by host and hash of a page's HTML, its container subtrees found on least_pages different pages of the host.
+
+    Pages of equal content (tags and words) count once. The table of subtrees follows the corpus; different pages are told apart by
+    host, subtree and content, and counted in part before rows move, so a host with a third of all pages is no burden.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = candidates(parse(page or ""))
-                hosts += [host] * (len(found) + 1)
-                hashes += [None, *found]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "digest"])
-
-    counted = staged(pages.select(_host(F.col("url")).alias("host"), F.col("html")).mapInArrow(run, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
-    size = counted.where("digest IS NULL").select("host", F.col("n").alias("n_pages"))
-    return (
-        counted.where(F.col("digest").isNotNull() & (F.col("n") >= least_pages))
-        .join(size, "host")
-        .where(F.col("n") >= least_share * F.col("n_pages"))
-        .groupBy("host")
-        .agg(F.collect_list("digest").alias("templates"))
-    )
+            at, contents, hashes = [], [], []
+            for k, page in enumerate(batch.column(2).to_pylist()):
+                root = parse(page or "")
+                found = candidates(root)
+                at += [k] * len(found)
+                contents += [root.digest] * len(found)
+                hashes += found
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "content", "digest"])
+
+    keyed = pages.select(_host(F.col("url")).alias("host"), _page().alias("page"), "html")
+    found = staged(keyed.mapInArrow(run, "host string, page long, content long, digest long"), "subtrees")
+    common = found.groupBy("host", "digest", "content").agg(F.count("*").alias("n")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    own = found.select("host", "page", "digest").distinct().join(common.select("host", "digest"), ["host", "digest"])
+    return own.groupBy("host", "page").agg(F.collect_list("digest").alias("templates"))
+
+
+def _page():
+    return F.xxhash64("html")
 
 
 def _host(url):
@@ -238,18 +247,13 @@ def extract(pages: DataFrame) -> DataFrame:
     without an article or main element are read whole. Columns other than page_id, url and html are not read.
     """
     templates = template_hashes(bounded_batches(pages, 500))
-    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _page().alias("page")).join(templates, ["host", "page"], "left").select("page_id", "url", "html", "templates")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, frozenset[int]] = {}
-            texts = []
-            for page, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = crc32(repr(found).encode()) if found else 0
-                if found and key not in known:
-                    known[key] = frozenset(found)
-                texts.append(text_of(parse(page or ""), known[key] if found else frozenset()))
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            texts = [main_text(parse(page or ""), frozenset(found or ())) for page, found in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
