@@ -1,13 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items with block maxima, queried by every passage of the corpus.
 
 Scores are shares of an item's own score: 1 means that all its terms occur. All items with a share of THRESHOLD or more are
-retrieved (safe pruning, no top-k), then the overlap of question and answer with the passage is verified by word 5-grams.
+retrieved (safe pruning, no top-k), then the overlap of question and answer with the passage is verified by word 5-grams
+or, part by part, by the words to change, insert or leave out. Items too short for that are found by their exact words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, bounded_batches, mix, release, slices, span_hashes, spans, utf8
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
-#: Words a gram; share of an item's words, and of its question's and its answer's, that grams found in the passage must cover.
+#: Words a gram; share of an item's words, and of its question's and its answer's, that must be found in the passage.
 GRAM, COVER, PART_COVER = 5, 0.8, 0.5
-#: Items with fewer words prove nothing and are never reported.
+#: Items with fewer words are reported where exactly their words stand one after the other.
 LEAST_WORDS = 5
 #: Items a posting block.
 POSTING_BLOCK = 4
@@ -79,6 +80,7 @@ class Index:
     question: list[int]
     own: np.ndarray
     passage: int
+    short: list[tuple[np.ndarray, object, float]] = field(default_factory=list)  # words, id and BM25 score of items under LEAST_WORDS
 
 
 def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df: dict[int, int] | None = None) -> Index:
@@ -88,6 +90,19 @@ def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df
     use = np.flatnonzero(n >= LEAST_WORDS)
     first = np.cumsum(n) - n
     words = [h[first[i] : first[i] + n[i]] for i in use]
+    short = []
+    brief = np.flatnonzero((n > 0) & (n < LEAST_WORDS))
+    if len(brief):
+        known = df
+        if known is None:
+            each = np.unique(np.column_stack([row.astype(np.uint64), h]), axis=0)[:, 1]
+            known = dict(zip(*(x.tolist() for x in np.unique(each, return_counts=True)), strict=True))
+        for i in brief:
+            w = h[first[i] : first[i] + n[i]]
+            terms, tf = np.unique(w, return_counts=True)
+            count = np.array([known[int(t)] for t in terms])
+            weights = np.log(1 + (n_items - count + 0.5) / (count + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / max(mean_words, 1)))
+            short.append((w, ids[i], float(weights.sum())))
     # items with like openings share blocks, which keeps block maxima close to their items
     order = sorted(range(len(use)), key=lambda k: texts[use[k]][:40])
     use, words = use[order], [words[k] for k in order]
@@ -123,7 +138,7 @@ def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df
     blocks, starts = np.unique(key, return_index=True)
     return Index(
         terms, common, rest, np.searchsorted(blocks // n_blocks, np.arange(len(terms) + 1)), blocks % n_blocks, np.maximum.reduceat(share, starts) if len(starts) else np.zeros(0),
-        np.r_[starts, len(share)], item % POSTING_BLOCK, share, [ids[i] for i in use], words, [_question_words(texts[i]) for i in use], own, max([64, *map(len, words)]),
+        np.r_[starts, len(share)], item % POSTING_BLOCK, share, [ids[i] for i in use], words, [_question_words(texts[i]) for i in use], own, max([64, *map(len, words)]), short,
     )
 
 
@@ -183,6 +198,39 @@ def retrieve(index: Index, h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple
     return doc, (number - pass_first[doc]) * stride, pair % n_blocks * POSTING_BLOCK + good % POSTING_BLOCK, score[good]
 
 
+def _edits(part: list[int], passage: list[int]) -> int:
+    """Fewest words to change, insert or leave out so that part stands somewhere in the passage (Myers's bit-parallel search)."""
+    m = len(part)
+    mask, top, same = (1 << m) - 1, 1 << (m - 1), {}
+    for k, w in enumerate(part):
+        same[w] = same.get(w, 0) | 1 << k
+    up, down, score, best = mask, 0, m, m
+    for w in passage:
+        eq = same.get(w, 0)
+        x = eq | down
+        y = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(y | up) & mask, up & y
+        score += bool(more & top) - bool(less & top)
+        more, less = more << 1 & mask, less << 1 & mask
+        up, down = less | ~(x | more) & mask, more & x
+        best = min(best, score)
+    return best
+
+
+def _short(index: Index, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+    """Rows of find() for items under LEAST_WORDS: the first place of their exact words in each text."""
+    for words, item, score in index.short:
+        n = len(h) - len(words) + 1
+        if n <= 0:
+            continue
+        here = row[:n] == row[len(words) - 1 :]
+        for k, w in enumerate(words):
+            here &= h[k : k + n] == w
+        at = np.flatnonzero(here)
+        doc, where = np.unique(row[at], return_index=True)
+        yield from ((d, item, score, 1.0, 1.0, 1.0, p) for d, p in zip(doc.tolist(), (at[where] - first[doc]).tolist(), strict=True))
+
+
 def find(index: Index, texts: pa.Array) -> list[tuple[int, object, float, float, float, float, int]]:
     """row, item id, BM25 score, share of words covered, of the question, of the answer, first word of the passage: the best passage of each verified item."""
     h, row = _words(texts)
@@ -198,9 +246,14 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, object, float, float,
             covered[hit + k] = True
         q = index.question[item]
         parts = [float(x.mean()) if len(x) else 1.0 for x in (covered, covered[:q], covered[q:])]
+        if parts[0] < COVER or min(parts) < PART_COVER:  # altered, or a part shorter than a gram: each part by itself
+            passage = h[a : min(a + 2 * index.passage, first[doc] + n_words[doc])].tolist()
+            size = [q, len(words) - q]
+            found = [max(x * n, n - _edits(part, passage)) if n else 0 for x, n, part in zip(parts[1:], size, (words[:q].tolist(), words[q:].tolist()), strict=True)]
+            parts = [sum(found) / len(words), *(x / n if n else 1.0 for x, n in zip(found, size, strict=True))]
         if parts[0] >= COVER and min(parts) >= PART_COVER and parts > best.get((doc, item), (0, 0, 0, [0]))[3]:
             best[doc, item] = (share * float(index.own[item]), share, begin, parts)
-    return [(doc, index.ids[item], x[0], *x[3], x[2]) for (doc, item), x in sorted(best.items())]
+    return [(doc, index.ids[item], x[0], *x[3], x[2]) for (doc, item), x in sorted(best.items())] + list(_short(index, h, row, first))
 
 
 def indexes(benchmark: DataFrame, key: str = "item_id") -> Iterator[Index]:
@@ -237,7 +290,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap, first_word: the items found in each document.
 
     The documents are read once for each index and never shuffled. Null and empty texts and items match nothing; items with fewer
-    than LEAST_WORDS words are left out; repeated documents or items give repeated rows; other columns are not read.
+    than LEAST_WORDS words are matched by their exact words; repeated documents or items give repeated rows; other columns are not read.
     """
     spark, out = docs.sparkSession, None
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
