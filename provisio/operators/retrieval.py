@@ -177,8 +177,8 @@ def keyword_query(queries: DataFrame, text: str = "text") -> DataFrame:
 def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, item_id of documents that contain a phrase (item_id, text) as a substring.
 
-    Both sides meet on hashes of runs of words (white space apart), the phrase's inner ones; the substring test then decides. So
-    phrases need words + 2 words; shorter ones match nothing here.
+    Both sides meet on hashes of runs of words (white space apart), the phrase's inner ones; the substring test then decides. Phrases
+    of fewer than words + 2 words have no inner run and are tested against every document; those without a word match nothing.
     """
     def grams(df: DataFrame) -> DataFrame:
         """df with _g; words are a column of their own, so that a text is split once."""
@@ -186,7 +186,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataF
         own = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(words)]))
         return w.withColumn("_g", F.when(F.size("_w") >= words, own).otherwise(F.array().cast("array<bigint>")))
 
-    inner = grams(phrases.select("item_id", "text")).where(F.size("_w") >= words + 2).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
+    split = grams(phrases.select("item_id", "text"))
+    inner = split.where(F.size("_w") >= words + 2).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
     # outer, as the filter that the optimizer derives from a plain explode would split each text once a word
     found = grams(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("_g").alias("gram")).join(inner, "gram").select("doc_id", "item_id").distinct()
-    return found.join(docs.select("doc_id", "text"), "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+    long = found.join(docs.select("doc_id", "text"), "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    brief = split.where(F.size("_w").between(1, words + 1)).select("item_id", F.col("text").alias("phrase"))
+    short = docs.select("doc_id", "text").join(brief, F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    return long.union(short).distinct()
