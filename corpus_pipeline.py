@@ -55,7 +55,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: SQL can't express the classifier, nor the tokenizer; the tests hold run() against a brute-force version.
+#: SQL can't express the classifier, nor the tokenizer; no test holds run() or the stages against another version yet.
 ORACLE_SQL = None
 
 
