@@ -21,11 +21,12 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: A-Z to a-z; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: One random odd-free 64-bit value per byte, and an odd base with its inverse modulo 2**64.
+#: A random 64-bit value for each byte, and an odd base with its inverse modulo 2**64; SECOND: others, for an independent hash.
 _RNG = np.random.default_rng(20240611)
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 2**64)
+SECOND_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SECOND = 0xD1342543DE82EF95
 #: Texts are worked on in slices of about so many bytes, which bounds memory; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (local mode)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = getattr(spark, "_provisio_shared", None) or tempfile.mkdtemp(prefix="provisio-")
         spark._provisio_shared = where
     return where.rstrip("/")
@@ -135,23 +138,25 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((BASE, BASE_INVERSE)):
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 2**64)):
             p = np.full(n + n // 4, np.uint64(b))
             p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS[0], _POWERS[1]
+            out.append(np.cumprod(p))
+        _POWERS[base] = (out[0], out[1])
+    return _POWERS[base]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    power, inverse = _powers(len(data) + 1)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever the span stands. base: BASE or SECOND."""
+    power, inverse = _powers(len(data) + 1, base)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=total[1:])
+    np.cumsum((BYTE_VALUE if base == BASE else SECOND_VALUE)[data] * power[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

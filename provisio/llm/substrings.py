@@ -2,8 +2,9 @@
 
 Two equal strings of LENGTH bytes have the same anchor: the least hashed gram in them. Anchors that stand once cannot lie in a
 repeat, so only the surroundings of repeated anchors are sorted. Surroundings with the same anchor meet in one task, which builds the
-transforms of small shards and merges them by refining their interleaving, one character a round; blocks that are still
-together after LENGTH rounds are the suffixes with a common prefix of LENGTH, and all but the first of them are repeats.
+transforms of small shards and merges them by refining their interleaving; rows whose common prefix with the row above
+is LENGTH form the repeated intervals, and all but the first place in each are repeats. Where very many surroundings share an anchor, the anchor is made
+longer on both sides until few do, so no task has to hold them all.
 """
 
 from __future__ import annotations
@@ -17,29 +18,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, _powers, bounded_batches, keep_members, member_filter, mix, slices, span_hashes, staged, utf8, without_members
+from .common import BYTE_VALUE, SECOND, _powers, bounded_batches, drop_staged, keep_members, member_filter, mix, slices, span_hashes, staged, utf8, without_members
 
 LENGTH, GRAM = 100, 40
 #: Bits of the prefilter of repeated anchors: 8 MB whatever the size of the corpus. It only saves work; an exact join follows.
 SLOTS = 1 << 26
 #: Bytes of a shard's transform, and of the surroundings that one merge takes (an anchor's are never divided).
 SHARD_BYTES, MERGE_BYTES = 1 << 16, 1 << 20
-#: An anchor with more different surroundings than this has its strings compared by fingerprints instead, so that no task has to
-#: hold them all; the result is the same.
-MOST_CONTEXTS = 2_000
+#: An anchor with more different surroundings than this is made longer (40, 70, 85, 93, 97, 99, 100 bytes) until it has fewer; one of
+#: LENGTH bytes has one. So many surroundings take 160 bytes each at most.
+MOST_CONTEXTS = 4_000
+#: Bits of a gram's place within a block of text when anchors are chosen; the others are its hash's.
+PLACE_BITS = 21
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, first and last start of the LENGTH-byte strings whose anchor it is; strings never cross rows."""
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and place of each anchor, first and last start of the LENGTH-byte strings whose anchor it is; strings never cross rows.
+
+    Of grams whose hashes agree but for PLACE_BITS the leftmost counts, wherever the string stands; a long text is read in blocks,
+    and an anchor over a block's end is given twice, with the strings of either block.
+    """
+    size = 1 << PLACE_BITS
+    if len(data) <= size:
+        return _anchors(data, off)
+    out = []
+    for begin in range(0, len(data) - LENGTH + 1, size - LENGTH + 1):
+        part = data[begin : begin + size]
+        gram, *places = _anchors(part, np.clip(off - begin, 0, len(part)))
+        out.append((gram, *(x + begin for x in places)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < LENGTH:
-        return none, none, none
+        return none, none, none, none
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[data] * power[:n], out=total[1:])
     gram = mix((total[GRAM:] - total[: n - GRAM + 1]) * inverse[: n - GRAM + 1])
-    place = np.uint64((1 << int(n).bit_length()) - 1)
+    place = np.uint64((1 << PLACE_BITS) - 1)
     least = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
     width, size = LENGTH - GRAM + 1, 1
     while size * 2 <= width:
@@ -54,10 +73,10 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     np.add.at(crossing, inner, -1)
     start = np.flatnonzero(np.cumsum(crossing)[: len(at)] == 0)
     if not len(start):
-        return none, none, none
+        return none, none, none, none
     at = at[start]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
-    return gram[at[new]].view(np.int64), start[new], start[np.r_[new[1:], len(start)] - 1]
+    return gram[at[new]].view(np.int64), at[new], start[new], start[np.r_[new[1:], len(start)] - 1]
 
 
 def _spots(docs: DataFrame) -> DataFrame:
@@ -87,20 +106,21 @@ def _repeated_anchors(docs: DataFrame) -> np.ndarray:
 
 
 def _contexts(docs: DataFrame, bits: np.ndarray, with_bytes: bool) -> DataFrame:
-    """anchor, print, k, doc_id, first, size of the surroundings of anchors, that is of all strings with that anchor.
+    """anchor, print, second, k, doc_id, first, size of the surroundings of anchors, that is of all strings with that anchor.
 
-    Without bytes: those whose anchor is in the bit set. With bytes: those whose place is in it, as _place_slot has it.
+    print and second are independent hashes of the bytes. Without bytes: those whose anchor is in the bit set. With bytes (and at,
+    the anchor's place): those whose own place is in it, as _place_slot has it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["anchor", "print", "k", "doc_id", "first", "size", "bytes"][: 7 if with_bytes else 6]
+    names = ["anchor", "print", "second", "k", "doc_id", "first", "size", "at", "bytes"][: 9 if with_bytes else 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 data, off = utf8(part.column("text"))
-                anchor, first, last = anchors(data, off)
+                anchor, at, first, last = anchors(data, off)
                 if with_bytes:
                     print_ = span_hashes(data, first, last + LENGTH).view(np.int64)
                     row = np.searchsorted(off, first, "right") - 1
@@ -108,66 +128,106 @@ def _contexts(docs: DataFrame, bits: np.ndarray, with_bytes: bool) -> DataFrame:
                 else:
                     slot = anchor & (SLOTS - 1)
                 use = np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
-                anchor, first, last = anchor[use], first[use], last[use]
+                anchor, at, first, last = anchor[use], at[use], first[use], last[use]
                 row = np.searchsorted(off, first, "right") - 1
                 size = last - first + LENGTH
                 pick = pa.array(row)
-                cols = [pa.array(anchor), pa.array(span_hashes(data, first, last + LENGTH).view(np.int64)), part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(first - off[row]), pa.array(size.astype(np.int32))]
+                cols = [pa.array(anchor), *[pa.array(h) for h in _prints(data, first, last + LENGTH)], part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(first - off[row]), pa.array(size.astype(np.int32))]
                 if with_bytes:
-                    ends = np.cumsum(size)
-                    at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-                    cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.binary()))
+                    cols += [pa.array((at - first).astype(np.int32)), _cut(data, first, size)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, f"anchor long, print long, k long, doc_id {kind}, first long, size int" + ", bytes binary" * with_bytes)
+    return docs.mapInArrow(run, f"anchor long, print long, second long, k long, doc_id {kind}, first long, size int" + ", at int, bytes binary" * with_bytes)
+
+
+def _prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each span's bytes."""
+    return span_hashes(data, start, end).view(np.int64), span_hashes(data, start, end, SECOND).view(np.int64)
+
+
+def _cut(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The spans' bytes."""
+    ends = np.cumsum(size)
+    at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.binary())
 
 
 def _place_slot():
     return F.col("print").bitwiseXOR(F.col("k")).bitwiseXOR(F.shiftleft("first", 7)).bitwiseAND(F.lit(SLOTS - 1))
 
 
+def _packed(first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight characters from each row on as one number, and the row eight steps further."""
+    key, at = first.astype(np.uint64), step
+    for _ in range(7):
+        key = key << np.uint64(8) | first[at]
+        at = step[at]
+    return key, at
+
+
+def _refined(order: np.ndarray, key: np.ndarray, step: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """order, sorted by eight characters (key), refined to LENGTH of them, and each row's common prefix with the row above.
+
+    Rows with equal prefixes are a block. Those of a block are told apart by the blocks of the rows that stand as many characters further
+    (step is one, ahead eight characters on), which doubles the prefix; rows that are alone in their block are left where they are. The common
+    prefix is LENGTH, or the last length at which the two were still in one block.
+    """
+    n = len(order)
+    each = np.arange(n)
+    head = np.r_[True, key[order[1:]] != key[order[:-1]]]
+    block = np.empty(n, np.int64)
+    block[order] = np.maximum.accumulate(np.where(head, each, 0))
+    common = np.where(head, 0, LENGTH)
+    open_ = np.flatnonzero(~head | np.r_[~head[1:], False])
+    depth, jump = 8, 8
+    while depth < LENGTH and len(open_):
+        if depth + jump > LENGTH:
+            jump, ahead = LENGTH - depth, _ahead(step, LENGTH - depth)
+        rows = order[open_]
+        key = block[rows] * n + block[ahead[rows]]
+        by = np.argsort(key, kind="stable")
+        rows, key = rows[by], key[by]
+        order[open_] = rows
+        head = np.r_[True, key[1:] != key[:-1]]
+        block[rows] = open_[np.maximum.accumulate(np.where(head, each[: len(rows)], 0))]
+        parted = open_[head]
+        common[parted[common[parted] == LENGTH]] = depth
+        open_ = open_[~head | np.r_[~head[1:], False]]
+        depth += jump
+        jump, ahead = 2 * jump, ahead[ahead]
+    return order, common
+
+
+def _ahead(step: np.ndarray, n: int) -> np.ndarray:
+    """The row n steps further."""
+    out = np.arange(len(step))
+    while n:
+        if n & 1:
+            out = step[out]
+        step, n = step[step], n >> 1
+    return out
+
+
 def shard_transform(data: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The Burrows-Wheeler transform of strings that end with 0 and wrap (following: next position), and the sorted positions."""
-    rank, step = data.astype(np.int64), following
-    width = 1
-    order = np.argsort(rank, kind="stable")
-    while width < LENGTH:
-        key = rank << 32 | rank[step]
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(len(data), np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-        step = step[step]
-        width *= 2
+    """The Burrows-Wheeler transform of strings that end with 0 and wrap (following: next position), and the positions sorted by LENGTH characters."""
+    key, ahead = _packed(data, following)
+    order, _ = _refined(np.argsort(key, kind="stable"), key, following, ahead)
     before = np.empty(len(data), np.int64)
     before[following] = np.arange(len(data))
     return data[before[order]], order
 
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave transforms: for each merged row its place in their concatenation, its block, and its common prefix with the row above.
+def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave transforms: for each merged row its place in their concatenation, and its common prefix with the row above.
 
-    Round h sorts rows by h characters: each row moves, in order, to the bucket of its character, taking its shard along; the
-    t-th row of a shard is that shard's t-th row in every round, so no suffix is compared with another. Two rows are in one block
-    while their characters have been equal so far; the round that parts them gives their common prefix.
+    The interleaving by eight characters is refined to 16, 32, 64 and LENGTH. A shard's rows keep their order throughout, so the t-th row of a shard
+    is that shard's t-th in every round. Characters are read from the transforms alone: the row of the suffix that begins one
+    character later is where the row's first character stands in its shard's transform.
     """
-    joined = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint32), [len(t) for t in transforms])
-    n = len(joined)
-    place, block = np.arange(n), np.zeros(n, np.int32)
-    common = np.full(n, rounds, np.int16)
-    for h in range(rounds):
-        char = joined[place]
-        order = np.argsort(char, kind="stable")
-        shard, char, block = shard[order], char[order], block[order]
-        parts = np.r_[True, (char[1:] != char[:-1]) | (block[1:] != block[:-1])]
-        common[parts & (common == rounds)] = h
-        block = np.cumsum(parts, dtype=np.int32)
-        by_shard = np.argsort(shard, kind="stable")
-        place[by_shard] = np.arange(n)
-        if block[-1] == n:
-            break
-    return place, block, common
+    later = np.concatenate([np.argsort(t, kind="stable") + at for t, at in zip(transforms, np.cumsum([0, *map(len, transforms)]), strict=False)])
+    first = np.concatenate(transforms)[later]
+    key, ahead = _packed(first, later)
+    return _refined(np.argsort(key, kind="stable"), key, later, ahead)
 
 
 def later_windows(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,18 +254,22 @@ def later_windows(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray) -> tupl
         transforms.append(transform)
         starts.append(at[order])
         begin = to
-    place, block, _ = merge_transforms(transforms)
-    position = np.concatenate(starts)[place]
+    place, common = merge_transforms(transforms)
+    # repeated intervals: rows whose common prefix with the row above, or below, has the whole length
+    same = common == LENGTH
+    rows = np.flatnonzero(same | np.r_[same[1:], False])
+    interval = np.cumsum(~same)[rows]
+    position = np.concatenate(starts)[place[rows]]
     string = np.searchsorted(ends, position, "right")
     string[position < 0] = 0
     offset = position - (ends - sizes)[string]
     whole = (position >= 0) & (offset <= sizes[string] - LENGTH)
-    block, string, offset = block[whole], string[whole], offset[whole]
+    interval, string, offset = interval[whole], string[whole], offset[whole]
     where = rank[string] + offset
-    order = np.lexsort((where, block))
-    block, string, offset, where = block[order], string[order], offset[order], where[order]
-    head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    first = np.repeat(where[head], np.diff(np.r_[head, len(block)]))
+    order = np.lexsort((where, interval))
+    interval, string, offset, where = interval[order], string[order], offset[order], where[order]
+    head = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]]) if len(interval) else np.zeros(0, np.int64)
+    first = np.repeat(where[head], np.diff(np.r_[head, len(interval)]))
     late = where > first
     string, offset = string[late], offset[late]
     order = np.lexsort((offset, string))
@@ -217,7 +281,6 @@ def later_windows(sizes: np.ndarray, data: np.ndarray, rank: np.ndarray) -> tupl
 
 def _by_transforms(contexts: DataFrame) -> DataFrame:
     """k, start, end of repeats among the surroundings (one row for each anchor and content); anchors meet by a shuffle."""
-    kind = dict(contexts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,33 +312,62 @@ def _by_transforms(contexts: DataFrame) -> DataFrame:
             yield out(pa.Table.from_batches(held))
 
     dealt = contexts.select("anchor", "k", "doc_id", "first", "size", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "k long, start long, end long") if kind else dealt
+    return dealt.mapInArrow(run, "k long, start long, end long")
 
 
-def _by_prints(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many surroundings: all windows by fingerprint; each print's first place is found before rows move."""
+def _longer(contexts: DataFrame, core: int) -> DataFrame:
+    """contexts (with bytes) of anchors of core bytes as those of longer ones: each string keeps its anchor and the bytes on that side of it which has more of them.
+
+    Equal strings have their anchor in the same place, so they share the longer one too.
+    """
+    half = (LENGTH - core + 1) // 2
+    kind = dict(contexts.dtypes)["doc_id"]
+    names = ["anchor", "print", "second", "k", "doc_id", "first", "size", "at", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 20_000):
-                part = batch.slice(low, 20_000)
-                sizes = np.asarray(part.column("size"), np.int64)
+            for low in range(0, batch.num_rows, 10_000):
+                part = batch.slice(low, 10_000)
+                size, at = np.asarray(part.column("size"), np.int64), np.asarray(part.column("at"), np.int64)
                 data = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8)
-                count = sizes - LENGTH + 1
-                row = np.repeat(np.arange(len(sizes)), count)
-                offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                start = (np.cumsum(sizes) - sizes)[row] + offset
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("anchor").take(pick), pa.array(span_hashes(data, start, start + LENGTH).view(np.int64)), part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(np.asarray(part.column("first"), np.int64)[row] + offset)],
-                    names=["anchor", "print", "k", "doc_id", "start"],
-                )
+                begin = np.cumsum(size) - size
+                last = size - LENGTH  # starts of strings: 0 to last
+                for side in (0, 1):
+                    lo, hi = (np.zeros_like(at), np.minimum(last, at - half)) if side == 0 else (np.maximum(0, at - half + 1), last)
+                    use = np.flatnonzero(lo <= hi)
+                    lo, hi, own = lo[use], hi[use], begin[use]
+                    new = at[use] - half * (side == 0)
+                    anchor = mix(np.asarray(part.column("anchor"), np.int64)[use].view(np.uint64) + span_hashes(data, own + new, own + new + core + half) + np.uint64(side)).view(np.int64)
+                    pick = pa.array(use)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), *[pa.array(h) for h in _prints(data, own + lo, own + hi + LENGTH)], part.column("k").take(pick), part.column("doc_id").take(pick), pa.array(np.asarray(part.column("first"), np.int64)[use] + lo), pa.array((hi - lo + LENGTH).astype(np.int32)), pa.array((new - lo).astype(np.int32)), _cut(data, own + lo, hi - lo + LENGTH)],
+                        names=names,
+                    )
+
+    return contexts.select(*names).mapInArrow(run, f"anchor long, print long, second long, k long, doc_id {kind}, first long, size int, at int, bytes binary")
+
+
+_CONTENT = ["anchor", "print", "second"]
+
+
+def _is_head():
+    return F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.k") == F.col("k")) & (F.col("head.first") == F.col("first"))
 
-    kind = dict(contexts.dtypes)["doc_id"]
-    windows = contexts.select("anchor", "k", "doc_id", "first", "size", "bytes").mapInArrow(run, f"anchor long, print long, k long, doc_id {kind}, start long")
-    least = windows.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "k", "start")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    late = windows.join(least, ["anchor", "print"]).where(~(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.k") == F.col("k")) & (F.col("head.start") == F.col("start"))))
-    return late.select("k", "start", (F.col("start") + LENGTH).alias("end"))
+
+def _heads(place: DataFrame) -> DataFrame:
+    """anchor, print, second, head, n: the first of all surroundings of equal content; counted before rows move."""
+    return staged(place.groupBy(*_CONTENT).agg(F.min(F.struct("doc_id", "k", "first")).alias("head"), F.count("*").alias("n")), "heads")
+
+
+def _copies(place: DataFrame, heads: DataFrame) -> DataFrame:
+    """k, start, end of later copies of whole surroundings: all their strings start earlier too."""
+    return place.join(heads.where("n > 1"), _CONTENT).where(~_is_head()).select("k", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"))
+
+
+def _several(heads: DataFrame) -> DataFrame:
+    """Heads of the anchors that have surroundings of more than one kind."""
+    kinds = heads.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return staged(heads.join(kinds, "anchor").select(*_CONTENT, "head", "kinds"), "several")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -285,16 +377,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     docs = _spots(bounded_batches(docs).where("octet_length(text) >= %d" % LENGTH))
     place = staged(_contexts(docs, _repeated_anchors(docs), False), "places")
-    heads = staged(place.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "k", "first")).alias("head"), F.count("*").alias("n")), "heads")
-    is_head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.k") == F.col("k")) & (F.col("head.first") == F.col("first"))
-    # a later copy of whole surroundings: all its strings start earlier too
-    copies = place.join(heads.where("n > 1"), ["anchor", "print"]).where(~is_head).select("k", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"))
+    heads = _heads(place)
+    spans = staged(_copies(place, heads), "copies")
+    several = _several(heads)
+    drop_staged(place, heads)
     # first copies of the surroundings of anchors that have more than one kind of them: only their bytes are fetched
-    kinds = heads.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = staged(heads.join(kinds, "anchor").select("anchor", "print", "head", "kinds"), "several")
     bits = _bit_set(several.select("print", "head.k", "head.first").select(_place_slot().alias("slot")))
-    mixed = staged(_contexts(docs, bits, True).join(several, ["anchor", "print"]).where(is_head).select("anchor", "k", "doc_id", "first", "size", "bytes", "kinds").distinct(), "mixed")
-    spans = copies.union(_by_transforms(mixed.where(F.col("kinds") <= MOST_CONTEXTS))).union(_by_prints(mixed.where(F.col("kinds") > MOST_CONTEXTS)))
+    columns = [*_CONTENT, "k", "doc_id", "first", "size", "at", "bytes", "kinds"]
+    mixed = staged(_contexts(docs, bits, True).join(several, _CONTENT).where(_is_head()).select(*columns).dropDuplicates([*_CONTENT, "k", "first"]), "mixed")
+    core = GRAM
+    while True:
+        spans = spans.union(staged(_by_transforms(mixed.where(F.col("kinds") <= MOST_CONTEXTS)), "spans"))
+        crowded = mixed.where(F.col("kinds") > MOST_CONTEXTS)
+        if core == LENGTH or not crowded.limit(1).count():
+            break
+        place = staged(_longer(crowded, core), "places")
+        core += (LENGTH - core + 1) // 2
+        heads = _heads(place)
+        spans = spans.union(staged(_copies(place, heads), "copies"))
+        last, mixed = mixed, staged(place.join(_several(heads), _CONTENT).where(_is_head()).select(*columns), "mixed")
+        drop_staged(last, place, heads)
+    drop_staged(mixed)
     by = Window.partitionBy("k").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.distinct().withColumn("new", F.when(F.col("start") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

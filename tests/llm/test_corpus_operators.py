@@ -122,12 +122,27 @@ def test_substring_dedup(docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(raw), sum(cut), runs, kept), i
 
 
-def test_fingerprints_and_transforms_agree(docs, monkeypatch):
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_longer_anchors_agree(docs, monkeypatch, most):
     want = by_id(substrings.remove_repeats(docs, False))
-    monkeypatch.setattr(substrings, "MOST_CONTEXTS", 1)
+    monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
     assert by_id(substrings.remove_repeats(docs, False)) == want
 
 
+def test_anchors_do_not_depend_on_the_block(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    off = np.array([0, 1200, 1200, 1250, 4100, 5000])
+    each = lambda: {(g, s) for g, _, a, b in zip(*map(np.ndarray.tolist, substrings.anchors(data, off)), strict=True) for s in range(a, b + 1)}
+    want = each()
+    monkeypatch.setattr(substrings, "PLACE_BITS", 10)
+    assert {s for _, s in each()} == {s for _, s in want} and len(each() & want) > 0.9 * len(want)
+    monkeypatch.setattr(substrings, "PLACE_BITS", 12)
+    assert len(each() ^ want) < 0.01 * len(want)
+
+
 def test_merged_transforms():
     import numpy as np
 
