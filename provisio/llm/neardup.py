@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, release, slices, span_hashes, spans, staged, utf8
@@ -16,6 +16,9 @@ from .common import LOWER, bounded_batches, drop_staged, keep_members, member_fi
 SIDE, HASHES = 8, 2
 #: Rounds in which each table key offers one centre; what then is left in two classes is compared in full where sizes allow a link.
 CENTRE_ROUNDS = 2
+#: Bits of a set's parities: bit b tells whether the set has an odd number of shingles of hash b. Two sets differ in at least as many
+#: shingles as their parities do, which rules pairs out before their texts move.
+PARITY_BITS = 512
 #: In that comparison a shingle of so few documents is rare: its documents are paired outright.
 RARE = 4
 
@@ -67,8 +70,15 @@ def _sketches(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits of each row's set, as numbers of 64 bits."""
+    slot = np.repeat(np.arange(len(count)) * PARITY_BITS, count) + (value >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=len(count) * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, print (two hashes of the whole set) and sketches of every row."""
+    """doc_id, n_shingles, p1 and p2 (two hashes of the whole set), sketches and parities of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -82,23 +92,37 @@ def signatures(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str =
                     if len(full):
                         total[full] = np.add.reduceat(mix(value * _PLACE[k] + _PLACE[k]), (np.cumsum(count) - count)[full])
                     prints.append(total)
-                sketch = _sketches(value, count)
+                lists = [(_sketches(value, count).reshape(-1).view(np.int64), 2 * SIDE), (_parities(value, count), PARITY_BITS // 64)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(count, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * (2 * SIDE)), pa.array(sketch.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "n_shingles", "p1", "p2", "sketches"],
+                    [part.column(0), pa.array(count, pa.int64()), *[pa.array(p.view(np.int64)) for p in prints], *[pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * n), pa.array(x)) for x, n in lists]],
+                    names=["doc_id", "n_shingles", "p1", "p2", "sketches", "parities"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, sketches array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, sketches array<long>, parities array<long>")
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
-    """doc_id, key: one row for each of the SIDE * SIDE tables."""
-    pairs = [F.xxhash64(F.lit(i * SIDE + j), F.get("sketches", F.lit(i)), F.get("sketches", F.lit(SIDE + j))) for i in range(SIDE) for j in range(SIDE)]
-    return reps.select("doc_id", F.explode(F.array(*pairs)).alias("key"))
+    """doc_id, key: a row for each of the SIDE * SIDE tables in which the document may meet another one.
+
+    Two documents share a table's key only if they share both of its sketches, so sketches that stand once are left out first, in the small
+    collections, before pairs are formed.
+    """
+    rows = reps.select("doc_id", F.posexplode("sketches").alias("i", "sketch"))
+    often = rows.groupBy("i", "sketch").agg(F.count("*").alias("n")).where("n > 1").select("i", "sketch")
+    own = rows.join(often, ["i", "sketch"]).groupBy("doc_id").agg(F.collect_list(F.struct("i", "sketch")).alias("own"))  # 2 * SIDE at most
+    left, right = F.filter("own", lambda x: x["i"] < SIDE), F.filter("own", lambda x: x["i"] >= SIDE)
+    pairs = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x["i"] * (2 * SIDE) + y["i"], x["sketch"], y["sketch"]))))
+    return own.select("doc_id", F.explode(pairs).alias("key"))
+
+
+def possible(percent: int, n: str, m: str, own: str, other: str) -> Column:
+    """Whether sets of sizes n and m with these parities can have the similarity."""
+    apart = sum((F.bit_count(F.get(own, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(1, PARITY_BITS // 64)), F.bit_count(F.get(own, F.lit(0)).bitwiseXOR(F.get(other, F.lit(0)))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union. Only texts that stand in pairs move."""
+    """pairs (a, b) whose full sets have 100 * intersection >= percent * union, as a staged table. Only texts that stand in pairs move."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     texts = staged(keep_members(docs, member_filter(ends, "id"), "doc_id").join(ends.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -125,7 +149,9 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
                     at += 1
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    out = staged(both.mapInArrow(run, "a long, b long"), "links")
+    drop_staged(texts)
+    return out
 
 
 def rare_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -146,22 +172,21 @@ def rare_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 
 def _possible(entries: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of entries (key, doc_id, root, n, r) of one key and two classes that can have the similarity.
+    """a, b: pairs of entries (key, doc_id, root, n, r, parities) of one key and two classes that can have the similarity.
 
     r counts the shingles that are not rare: without a rare one in common, a pair has at most min(r) in common, so percent bounds the partner's size by ceiling = (100 + percent) / percent * r - n.
     Where a document's ceiling is below its own size it has too much of its own: two such documents can't be linked, and one of
     them only with a smaller document, found by steps of size. So the variants around a text, each with changes of its own,
-    make no pairs with each other.
+    make no pairs with each other. Of the others, parities rule out most.
     """
     e = entries.withColumn("ceiling", F.col("r") * ((100 + percent) / percent) - F.col("n"))
-    step = F.floor(F.log("n") / F.log(F.lit(1.03)))
     close, far = e.where("ceiling >= n"), e.where(F.col("ceiling") < F.col("n"))
     low, high = F.floor(F.log(F.greatest(F.col("n") * (percent / 100), F.lit(1.0))) / F.log(F.lit(1.03))), F.floor(F.log(F.greatest("ceiling", F.lit(1.0))) / F.log(F.lit(1.03)))
-    other = close.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("ceiling").alias("top"))
-    fits = (F.col("m") <= F.col("ceiling")) & (F.col("n") <= F.col("top"))
+    other = close.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("ceiling").alias("top"), F.col("parities").alias("others"))
+    fits = (F.col("m") <= F.col("ceiling")) & (F.col("n") <= F.col("top")) & possible(percent, "n", "m", "parities", "others")
     same = close.join(other, "key").where((F.col("root") < F.col("other")) & fits).select(F.col("doc_id").alias("a"), "b")
     stepped = far.where(high >= low).withColumn("step", F.explode(F.sequence(low, high)))
-    small = close.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("ceiling").alias("top"), step.alias("step"))
+    small = other.withColumn("step", F.floor(F.log("m") / F.log(F.lit(1.03))))
     return same.union(stepped.join(small, ["key", "step"]).where((F.col("root") != F.col("other")) & fits).select(F.col("doc_id").alias("a"), "b"))
 
 
@@ -185,44 +210,50 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     Documents with equal sets are one from the start (found by two 64-bit hashes of the whole set), so copies make no pairs. Each
     table key offers links of its smallest document to its others; verified links join classes; keys that still hold two classes
-    offer another centre, and after CENTRE_ROUNDS all their pairs between classes that can have the similarity are verified, so no
-    candidate is dropped: a pair has a rare shingle in common, or its sizes without rare shingles bound what it can have. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
+    offer other centres, first the document with the least of its own, and after CENTRE_ROUNDS all their pairs between classes that can have the similarity are
+    verified, so no candidate is dropped: a pair has a rare shingle in common, or its sizes without rare shingles bound what it can have; and
+    sizes and parities rule out pairs that cannot have the similarity. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
     one of them; a null doc_id is left out.
     """
     docs = bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
     sign = staged(signatures(docs, words), "signatures")
     # one representative of each set
-    groups = sign.where("n_shingles > 0").groupBy("p1", "p2", "n_shingles").agg(F.min_by("sketches", "doc_id").alias("sketches"), F.min("doc_id").alias("doc_id"))
-    reps = staged(groups.select("p1", "p2", "doc_id", "n_shingles", "sketches"), "sets")
-    keys = _table_keys(reps)
+    content = ["p1", "p2", "n_shingles"]
+    groups = sign.where("n_shingles > 0").groupBy(*content).agg(F.min_by(F.struct("sketches", "parities"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"))
+    reps = staged(groups.select(*content, "doc_id", "x.sketches", "x.parities"), "sets")
+    keys = staged(_table_keys(reps), "keys")
     crowded = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
     entries = staged(keys.join(crowded, "key").select("key", "doc_id", "centre", "size"), "entries")
-    size = reps.select("doc_id", "n_shingles")
+    drop_staged(keys)
+    about = staged(reps.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "parities"), "about")
+    first = about.select(F.col("doc_id").alias("a"), "n", "parities")
+    second = about.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("parities").alias("others"))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose set sizes allow the similarity."""
+        """Distinct pairs that can have the similarity."""
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        p = p.join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")), "b")
-        return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return p.join(first, "a").join(second, "b").where(possible(percent, "n", "m", "parities", "others")).select("a", "b")
 
     seen = staged(sized(entries.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))), "pairs")
-    links = staged(verified(seen, docs, percent, words), "links")
+    links = verified(seen, docs, percent, words)
     roots = components(links)
     # keys of two documents have had their only pair
     open_ = entries.where("size > 2").select("key", "doc_id")
+    sizes = None
     for turn in range(CENTRE_ROUNDS + 1):
         labelled = open_.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
         open_ = staged(labelled.join(mixed, "key").select("key", "doc_id", "root"), "mixed")
+        if sizes is None:
+            ids = staged(open_.select("doc_id").distinct(), "open")
+            rare = rare_shingles(ids, docs, words)
+            own = ids.join(rare.groupBy("doc_id").agg(F.count("*").alias("rare")), "doc_id", "left").join(about, "doc_id")
+            sizes = staged(own.select("doc_id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("r"), "parities"), "sizes")
         if turn < CENTRE_ROUNDS:
-            by = F.xxhash64("doc_id", F.lit(turn)) if turn else -F.col("doc_id")
-            centres = open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "root"), by).alias("c"))
+            ranked = open_.join(sizes.select("doc_id", (F.col("r") / F.col("n")).alias("share")), "doc_id") if not turn else open_.withColumn("share", F.xxhash64("doc_id"))
+            centres = ranked.groupBy("key").agg(F.max_by(F.struct("doc_id", "root"), F.struct("share", "doc_id")).alias("c"))
             pairs = open_.join(centres, "key").where("root != c.root").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
-            ids = staged(open_.select("doc_id").distinct(), "open")
-            rare = rare_shingles(ids, docs, words)
-            own = ids.join(rare.groupBy("doc_id").agg(F.count("*").alias("rare")), "doc_id", "left").join(size, "doc_id")
-            sizes = staged(own.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("r")), "sizes")
             # pairs with a rare shingle in common, RARE at most a row; and those whose other shingles can suffice
             labels = open_.select("doc_id", "root").distinct()
             some = rare.where("df > 1").join(labels, "doc_id").select("shingle", "doc_id", "root")
@@ -230,14 +261,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
             pairs = _possible(open_.join(sizes, "doc_id"), percent).union(met)
         fresh = staged(sized(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
-            seen = seen.select("a", "b", "na", "nb").union(fresh.select("a", "b", "na", "nb"))
-            found = staged(verified(fresh, docs, percent, words), "links")
+            seen = seen.union(fresh)
+            found = verified(fresh, docs, percent, words)
             links = links.union(found)
             if found.limit(1).count():
                 roots = components(links)
         open_ = open_.select("key", "doc_id")
-    rooted = reps.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("p1", "p2", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
-    out = sign.select("doc_id", "n_shingles", "p1", "p2").join(rooted, ["p1", "p2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    rooted = reps.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(*content, F.coalesce("root", "doc_id").alias("root"))
+    out = sign.select("doc_id", *content).join(rooted, content, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

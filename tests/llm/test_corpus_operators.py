@@ -77,16 +77,29 @@ def test_near_duplicates(docs):
 
 def test_partners_are_bounded_not_lost(spark):
     """Variants with changes of their own make no pairs; a pair that can be similar stays."""
-    rows = [("k", i, i, 100, 85) for i in range(50)] + [("k", 100, 100, 100, 98), ("k", 101, 101, 90, 90), ("k", 102, 102, 92, 88)]
-    pairs = {tuple(sorted(r)) for r in neardup._possible(spark.createDataFrame(rows, "key string, doc_id long, root long, n long, r long"), 80).collect()}
+    none = [0] * (neardup.PARITY_BITS // 64)
+    rows = [("k", i, i, 100, 85, none) for i in range(50)] + [("k", 100, 100, 100, 98, none), ("k", 101, 101, 90, 90, none), ("k", 102, 102, 92, 88, none)]
+    pairs = {tuple(sorted(r)) for r in neardup._possible(spark.createDataFrame(rows, "key string, doc_id long, root long, n long, r long, parities array<long>"), 80).collect()}
     want = set()
-    for _, a, _, na, ra in rows:
-        for _, b, _, nb, rb in rows:
+    for _, a, _, na, ra, _ in rows:
+        for _, b, _, nb, rb, _ in rows:
             if a < b and 180 * min(ra, rb) >= 80 * (na + nb):
                 want.add((a, b))
     assert want <= pairs and len(pairs) <= 2 * len(want) + 60
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        base = rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) * np.uint64(2)
+        x, y = (np.unique(np.r_[base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, 10, dtype=np.uint64)]) for _ in range(2))
+        p, q = (neardup._parities(v, np.array([len(v)])) for v in (x, y))
+        apart = sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((a ^ b) + (1 << 64)).bit_count() for a, b in zip(p.tolist(), q.tolist(), strict=True))
+        assert len(p) == neardup.PARITY_BITS // 64 and apart <= len(np.setxor1d(x, y)) and apart >= 0.5 * min(len(np.setxor1d(x, y)), 200)
+
+
 def test_line_dedup(docs):
     got = by_id(linededup.dedup_lines(docs))
     lines = {i: t.split("\n") for i, t in enumerate(TEXTS) if t is not None}
