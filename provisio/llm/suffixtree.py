@@ -5,28 +5,31 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, drop_staged, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, SPACE, bounded_batches, drop_staged, gathered, release, slices, span_hashes, spans, staged, utf8
 from .quality import fold
 
-#: Longest context in bytes. A gram (context and next symbol) is a number in base 256; of eight bytes, it fills one long.
-DEPTH = 7
+#: Longest context in bytes. A gram (context and next symbol) is a number in base 256; of seven bytes, it fits in a long.
+DEPTH = 6
 #: A context is kept if it occurs at least this often, however large the corpus.
 LEAST = 12
 #: And if its next-symbol distribution differs from that of its longest proper suffix: count * divergence (nats) is over this.
 DIVERGENCE = 6.0
 #: Additive weight with which a suffix's distribution smooths a context's own counts.
 PRIOR = 4.0
-#: Documents are looked up in chunks of 2 ** CHUNK_BITS rows of a partition: each distinct gram of a chunk once.
-CHUNK_BITS = 13
+#: A tree of at most so many grams (12 bytes each) is broadcast; a larger one is joined to the distinct grams of chunks of documents, with the
+#: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition.
+MODEL_GRAMS, CHUNK_BITS = 8_000_000, 13
+#: Bytes of text that are scored at a time.
+SCORE_BYTES = 4 << 20
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
 COMMON_WORDS, COMMON_IN_SLICE = 200_000, 4
-_CONTEXT = (1 << 8 * DEPTH) - 1  # a gram of eight bytes may be negative
 END, SPACE_BYTE = 10, 32  # symbols: words are joined by spaces, a text begins after and ends with a line break
 
 
@@ -69,7 +72,7 @@ def _grams(symbols: np.ndarray, new: np.ndarray, depth: int) -> np.ndarray:
 
 
 def seen_grams(docs: DataFrame) -> DataFrame:
-    """_chunk, gram, n over docs (_chunk, train, text): the distinct grams of each chunk and how often its training texts hold them.
+    """_chunk, gram, n over docs (_chunk, text): the distinct grams of each chunk and how often they occur in it.
 
     Counted in each slice, then in each chunk of a task; a chunk that two tasks share has rows of both.
     """
@@ -95,11 +98,8 @@ def seen_grams(docs: DataFrame) -> DataFrame:
                         yield from out(now)
                         held, size = [], 0
                     now = int(chunk[a])
-                    own = part.slice(a, b - a)
-                    symbols, new = _symbols(own.column("text"))
-                    known = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
-                    train = np.repeat(np.asarray(own.column("train").to_numpy(zero_copy_only=False), float), np.diff(new))
-                    n = np.bincount(known.indices.to_numpy(), train, minlength=len(known.dictionary)).astype(np.int64)
+                    known = pa.array(_grams(*_symbols(part.slice(a, b - a).column("text")), DEPTH)).dictionary_encode()
+                    n = np.bincount(known.indices.to_numpy(), minlength=len(known.dictionary))
                     held.append(pa.table({"gram": known.dictionary, "n": pa.array(n)}))
                     size += len(n)
                     if size > 4 << 20:
@@ -108,27 +108,21 @@ def seen_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from out(now)
 
-    return docs.select("_chunk", "train", "text").mapInArrow(run, "_chunk long, gram long, n long")
+    return docs.select("_chunk", "text").mapInArrow(run, "_chunk long, gram long, n long")
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """gram, n over all docs. The table follows the corpus."""
-    return seen_grams(docs.select(F.lit(0).cast("long").alias("_chunk"), F.lit(True).alias("train"), "text")).groupBy("gram").agg(F.sum("n").alias("n"))
+    return seen_grams(docs.select(F.lit(0).cast("long").alias("_chunk"), "text")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Automaton:
-    """The suffix tree as a machine: following[state, symbol] is the state of the longest known context after that symbol, and
-    value[state, symbol] its log10 probability. symbol numbers the bytes; unseen ones share a number."""
-
-    symbol: np.ndarray
-    following: np.ndarray
-    value: np.ndarray
+def _short(d: int, column: str = "gram"):
+    """The last d symbols of a gram or context."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * d) - 1))
 
 
-def _short(d: int):
-    """The gram without the first symbol of its context of d symbols."""
-    return F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))
+def _context():
+    return F.shiftrightunsigned("gram", 8).alias("context")
 
 
 def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -141,7 +135,7 @@ def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     for d in range(DEPTH - 1, -1, -1):
         levels[d] = staged(levels[d + 1].groupBy(_short(d + 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams{d}")
     for d in range(DEPTH + 1):
-        g = levels[d].where("n > 0").select("gram", "n", F.shiftrightunsigned("gram", 8).alias("context"))
+        g = levels[d].select("gram", "n", _context())
         size = g.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= (LEAST if d else 0))
         kept[d] = staged(g.join(size, "context"), f"contexts{d}")
     needed = None
@@ -153,69 +147,86 @@ def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         if needed is not None:
             found = found.join(needed, "context", "left").withColumn("use", F.col("use") | F.col("longer").isNotNull())
         chosen[d] = staged(found.where("use").select("context", "all"), f"chosen{d}")
-        needed = chosen[d].select(F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("context")).distinct().withColumn("longer", F.lit(True))
+        needed = chosen[d].select(_short(d - 1, "context").alias("context")).distinct().withColumn("longer", F.lit(True))
     chosen[0] = staged(kept[0].select("context", "all").distinct(), "chosen0")
     drop_staged(*kept.values())
     return [levels[d] for d in range(DEPTH + 1)], [chosen[d] for d in range(DEPTH + 1)]
 
 
-def gram_values(levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
-    """gram, value: log10 probability of the last symbol of every gram after its longest retained context.
+def grow(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree of these gram counts, as staged tables: depth, gram, share (probability of the last symbol) of the grams seen after a
+    retained context; and depth, context, back: what a retained context leaves to its suffix for symbols not seen after it.
 
-    From the empty context on, each gram takes its suffix's probability, into which a retained context's own counts are mixed.
+    A context's own counts are mixed with its suffix's distribution: (n + PRIOR * suffix) / (all + PRIOR). The empty context adds one for each of
+    256 bytes; all of them are in the table.
     """
+    levels, contexts = retained(counts)
     total = levels[0].agg(F.sum("n")).first()[0] or 0
-    share = levels[0].select("gram", ((F.col("n") + 1) / F.lit(total + 256.0)).alias("share"))  # add one over all 256 bytes
+    alphabet = counts.sparkSession.range(256).select(F.col("id").alias("gram")).join(levels[0], "gram", "left")
+    shares = [staged(alphabet.select("gram", ((F.coalesce("n", F.lit(0)) + 1) / F.lit(total + 256.0)).alias("share")), "shares0")]
     for d in range(1, DEPTH + 1):
-        own = levels[d].select("gram", "n", F.shiftrightunsigned("gram", 8).alias("context"), _short(d).alias("short"))
-        both = own.join(share.withColumnRenamed("gram", "short"), "short").join(contexts[d], "context", "left")
+        own = levels[d].select("gram", "n", _context(), _short(d).alias("short")).join(contexts[d], "context")
         mixed = (F.col("n") + PRIOR * F.col("share")) / (F.col("all") + PRIOR)
-        last, share = share, staged(both.select("gram", F.coalesce(mixed, "share").alias("share")), f"shares{d}")
-        if d > 1:
-            drop_staged(last)
-    return share.select("gram", F.log10("share").alias("value"))
-
+        shares.append(staged(own.join(shares[-1].withColumnRenamed("gram", "short"), "short").select("gram", mixed.alias("share")), f"shares{d}"))
+    share = staged(reduce(DataFrame.union, [t.select(F.lit(d).alias("depth"), "gram", "share") for d, t in enumerate(shares)]), "tree")
+    back = staged(reduce(DataFrame.union, [t.select(F.lit(d).alias("depth"), "context", (F.lit(PRIOR) / (F.col("all") + PRIOR)).alias("back")) for d, t in enumerate(contexts) if d]), "backs")
+    drop_staged(*levels[:-1], *contexts, *shares)
+    return share, back
 
-def fit_tree(counts: DataFrame) -> Automaton:
-    """The machine of the retained contexts, in memory: for small corpora only, score() looks its values up in gram_values().
 
-    Every part of a retained context is a state, so that no context is lost on the way; one that was not retained itself takes its
-    suffix's distribution. A context's counts are smoothed by its suffix's distribution."""
-    counts = staged(counts, "grams")
-    levels, contexts = retained(counts)
-    grams = []
-    for level, context in zip(levels, contexts, strict=True):
-        rows = level.where("n > 0").withColumn("context", F.shiftrightunsigned("gram", 8)).join(context, "context", "left_semi").select("gram", "n").orderBy("gram").toArrow()
-        grams.append((np.asarray(rows.column("gram"), np.int64), np.asarray(rows.column("n"), np.int64)))
-    drop_staged(*levels, *contexts)
-    used = np.unique(np.r_[grams[0][0], END]).astype(np.int64)
-    symbol = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int64)
-    symbol[used] = np.arange(len(used))
-    width = len(used) + 1
-    states = [np.zeros(1, np.int64)] + [np.unique(g >> 8 & _CONTEXT) for g, _ in grams[1:]]
-    for d in range(DEPTH, 0, -1):
-        states[d - 1] = np.unique(np.r_[states[d - 1], states[d] >> 8, states[d] & ((1 << 8 * (d - 1)) - 1)])
-    base = np.cumsum([0, *map(len, states)])
-    share, following = np.empty((base[-1], width)), np.zeros((base[-1], width), np.int32)
-    for d, own in enumerate(states):
-        here = slice(base[d], base[d + 1])
-        gram, n = grams[d]
-        at, there = _find(own, gram >> 8 & _CONTEXT)
-        at, n, next_ = at[there], n[there].astype(float), symbol[gram[there] & 255]
-        all_ = np.bincount(at, n, minlength=len(own))
+@dataclass
+class Tree:
+    """grow()'s tables in memory: by depth, sorted grams with log10 probabilities, and sorted contexts with log10 weights of their suffix."""
+
+    grams: list[np.ndarray]
+    values: list[np.ndarray]
+    contexts: list[np.ndarray]
+    backs: list[np.ndarray]
+
+
+def collected(share: DataFrame, back: DataFrame) -> Tree:
+    """For trees of MODEL_GRAMS at most."""
+    out = []
+    for table, key, value in ((share, "gram", "share"), (back, "context", "back")):
+        rows = table.toArrow()
+        depth, keys, values = (rows.column(c).to_numpy() for c in ("depth", key, value))
+        order = np.lexsort((keys, depth))
+        cuts = np.searchsorted(depth[order], np.arange(DEPTH + 2))
+        out.append([keys[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out.append([np.log10(values[order[a:b]]).astype(np.float32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return Tree(*out)
+
+
+def log10_values(tree: Tree, gram: np.ndarray) -> np.ndarray:
+    """log10 probability of the last symbol of each gram (DEPTH symbols and one), from its longest retained context: seen there, or left to that context's suffix."""
+    out, rest = np.zeros(len(gram)), np.arange(len(gram))
+    for d in range(DEPTH, -1, -1):
+        own = gram[rest] & ((1 << 8 * (d + 1)) - 1)
+        at, there = _find(tree.grams[d], own)
+        out[rest[there]] += tree.values[d][at[there]]
+        rest, own = rest[~there], own[~there]
+        if not len(rest):
+            break
+        at, there = _find(tree.contexts[d], own >> 8)
+        out[rest[there]] += tree.backs[d][at[there]]
+    return out
+
+
+def joined_values(grams: DataFrame, share: DataFrame, back: DataFrame) -> DataFrame:
+    """gram, value of distinct grams, as log10_values has it, by joins with the tree's tables."""
+    out = grams.select("gram", F.lit(0.0).alias("value"), F.lit(False).alias("found"))
+    for d in range(DEPTH, -1, -1):
+        s = share.where(F.col("depth") == d).select(F.col("gram").alias("_own"), "share")
+        out = out.withColumn("_own", F.when(~F.col("found"), _short(d + 1))).join(s, "_own", "left")
         if d:
-            suffix = base[d - 1] + np.searchsorted(states[d - 1], own & ((1 << 8 * (d - 1)) - 1))
-            part, following[here] = PRIOR * share[suffix], following[suffix]
-            part[at, next_] += n
-            share[here] = part / (all_ + PRIOR)[:, None]
+            b = back.where(F.col("depth") == d).select(F.col("context").alias("_context"), "back")
+            out = out.withColumn("_context", F.when(~F.col("found") & F.col("share").isNull(), F.shiftrightunsigned(_short(d + 1), 8))).join(b, "_context", "left")
+            left = F.coalesce(F.log10("back"), F.lit(0.0))
         else:
-            part = np.ones((1, width))  # add one over all 256 bytes
-            part[at, next_] += n
-            share[here] = part / (all_[0] + 256)
-        if d < DEPTH:  # where the longer context is a state too, it follows
-            longer = states[d + 1]
-            following[base[d] + np.searchsorted(own, longer >> 8), symbol[longer & 255]] = base[d + 1] + np.arange(len(longer))
-    return Automaton(symbol, following, np.log10(share).astype(np.float32))
+            left = F.lit(0.0)
+        out = out.select("gram", (F.col("value") + F.coalesce(F.log10("share"), left)).alias("value"), (F.col("found") | F.col("share").isNotNull()).alias("found"))
+        out = staged(out, "values") if d in (DEPTH, DEPTH // 2) else out
+    return out.select("gram", "value")
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,31 +236,6 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
-def log10_values(tree: Automaton, symbols: np.ndarray, strips: int = 4096) -> np.ndarray:
-    """log10 probability of each symbol of texts that stand one after the other, each ended by END.
-
-    The stream is cut into strips that run side by side; each begins DEPTH symbols early, after which its state is the right one.
-    """
-    n = len(symbols)
-    length = max(DEPTH, -(-n // strips))
-    rows = -(-n // length)
-    stream = np.full(DEPTH + rows * length, END, np.uint8)
-    stream[DEPTH : DEPTH + n] = symbols
-    numbered = tree.symbol[stream].astype(np.int64)
-    width = tree.value.shape[1]
-    following, value = tree.following.ravel(), tree.value.ravel()
-    start = np.arange(rows) * length
-    state = np.zeros(rows, np.int64)
-    for t in range(DEPTH):
-        state = following[state * width + numbered[start + t]].astype(np.int64)
-    out = np.empty((length, rows), np.float32)
-    for t in range(length):
-        at = state * width + numbered[start + DEPTH + t]
-        out[t] = value[at]
-        state = following[at].astype(np.int64)
-    return out.T.ravel()[:n].astype(float)
-
-
 def _word_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     data, off = utf8(part.column("text"))
     data = LOWER[data]
@@ -324,48 +310,65 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
     from all whole texts outside the held-out fold.
     """
     docs = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text", F.octet_length("text")))
-    docs = docs.withColumn("train", fold(F.col("doc_id"), folds) != held).withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
-    docs = staged(docs, "texts")  # so that a chunk holds the same documents whenever it is read
-    seen = staged(seen_grams(docs), "seen")
-    counts = staged(seen.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    levels, contexts = retained(counts)
-    values = gram_values(levels, contexts)
-    drop_staged(*levels, *contexts)
+    docs = docs.withColumn("train", fold(F.col("doc_id"), folds) != held)
+    counts = staged(gram_counts(docs.where("train")), "grams")
+    share, back = grow(counts)
+    drop_staged(counts)
     by_doc, words, found, tokens, distinct = word_counts(docs, held, folds)
     ends = docs.where("train").count()
-    model = docs.sparkSession.sparkContext.broadcast((words, np.log10(found + 1.0)))  # COMMON_WORDS at most
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    model = spark.sparkContext.broadcast((words, np.log10(found + 1.0)))  # COMMON_WORDS at most
+    schema = f"doc_id {kind}, _row long, n_tokens long, common_known long, common_log double, score double"
 
-    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+    def scored_part(part: pa.RecordBatch, values) -> pa.RecordBatch:
+        """values: the log10 probabilities of an array of distinct grams."""
         words, logs = model.value
-        gram, value = np.asarray(values.column("gram"), np.int64), np.asarray(values.column("value"), float)
-        order = np.argsort(gram)
-        gram, value = gram[order], value[order]
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                n_rows = part.num_rows
-                symbols, new = _symbols(part.column("text"))
-                own = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
-                at, there = _find(gram, np.asarray(own.dictionary, np.int64))
-                if not there.all():
-                    raise ValueError("a gram of a chunk has no value")
-                score = np.add.reduceat(value[at][own.indices.to_numpy()], new[:-1])
-                word, row = _word_rows(part)
-                at, is_common = _find(words, word)
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            part.column("doc_id"), part.column("_row"), pa.array(np.bincount(row, minlength=n_rows) + 1), pa.array(np.bincount(row[is_common], minlength=n_rows)),
-                            pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(words) else np.zeros(n_rows)), pa.array(score),
-                        ],
-                        names=["doc_id", "_row", "n_tokens", "common_known", "common_log", "score"],
-                    )
-                )
-        return pa.Table.from_batches(out)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    looked_up = seen.select("_chunk", "gram").join(values, "gram").groupBy("_chunk")
-    scored = docs.select("_chunk", "doc_id", "_row", "text").groupBy("_chunk").cogroup(looked_up).applyInArrow(run, f"doc_id {kind}, _row long, n_tokens long, common_known long, common_log double, score double")
+        n_rows = part.num_rows
+        symbols, new = _symbols(part.column("text"))
+        own = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
+        total = np.add.reduceat(values(np.asarray(own.dictionary, np.int64))[own.indices.to_numpy()], new[:-1])
+        word, row = _word_rows(part)
+        at, is_common = _find(words, word)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"), part.column("_row"), pa.array(np.bincount(row, minlength=n_rows) + 1), pa.array(np.bincount(row[is_common], minlength=n_rows)),
+                pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(words) else np.zeros(n_rows)), pa.array(total),
+            ],
+            names=["doc_id", "_row", "n_tokens", "common_known", "common_log", "score"],
+        )
+
+    if share.count() <= MODEL_GRAMS:
+        tree = spark.sparkContext.broadcast(collected(share, back))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+
+            def values(gram: np.ndarray) -> np.ndarray:
+                order = np.argsort(gram)
+                out = np.empty(len(gram))
+                out[order] = log10_values(tree.value, gram[order])
+                return out
+
+            for batch in gathered(batches, "text", SCORE_BYTES):
+                for part in slices(batch, "text", 2 * SCORE_BYTES):
+                    yield scored_part(part, values)
+
+        scored = docs.select("doc_id", "_row", "text").mapInArrow(run, schema)
+    else:
+        # the tree follows the corpus: each distinct gram of a chunk of documents gets its value by joins, and meets its documents again
+        texts = staged(docs.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "texts")  # so that a chunk holds the same documents whenever it is read
+        seen = staged(seen_grams(texts).select("_chunk", "gram").distinct(), "seen")
+        values_of = staged(joined_values(seen.select("gram").distinct(), share, back), "values")
+
+        def run_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
+            gram, value = np.asarray(known.column("gram"), np.int64), np.asarray(known.column("value"), float)
+            order = np.argsort(gram)
+            gram, value = gram[order], value[order]
+            parts = [p for b in texts.combine_chunks().to_batches() for p in slices(b, "text")]
+            return pa.Table.from_batches([scored_part(p, lambda g: value[np.searchsorted(gram, g)]) for p in parts])
+
+        looked_up = seen.join(values_of, "gram").groupBy("_chunk")
+        scored = texts.select("_chunk", "doc_id", "_row", "text").groupBy("_chunk").cogroup(looked_up).applyInArrow(run_chunk, schema)
     # rows that repeat an id and text share _row, and their rare words are counted once for each of them
     copies = F.count("*").over(Window.partitionBy("_row"))
     joined = scored.join(by_doc, "_row", "left").withColumn("_copies", copies)

@@ -262,15 +262,6 @@ def test_scores(docs):
         assert abs(got[i].base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in x)) < 1e-6 and got[i].score < 0
 
 
-def test_suffix_tree_sums_to_one(docs):
-    import numpy as np
-
-    tree = suffixtree.fit_tree(suffixtree.gram_counts(docs.where("text IS NOT NULL")))
-    seen = tree.value.shape[1] - 1
-    total = (10 ** tree.value[:, :seen].astype(float)).sum(1) + (256 - seen) * 10 ** tree.value[:, seen].astype(float)
-    assert np.allclose(total, 1, atol=1e-4)
-
-
 def test_html(spark):
     ad = "<div class='promo-block'>Buy</div>"
     page = lambda i: f"<html><head><title>T</title></head><body><nav><a>menu</a></nav><div class='page'><div><span>Same on all pages</span></div><p>Own {i}<p>A &amp; B&nbsp;{i}</div>{ad}<footer>f</footer>"

@@ -1,21 +1,81 @@
-"""The suffix tree as a table that grows with the corpus."""
+"""The suffix tree against a brute-force version, and its two ways of looking values up."""
 
+import collections
+import math
+
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from provisio.llm import suffixtree
 
 TEXTS = [None, "", "abcdefgh " * 3, "q", "Caf\u00e9 \u65e5\u672c\u8a9e " * 20] + [f"the cat {i} sat on the mat and said hello" for i in range(40)]
 
 
-def test_table_equals_machine(spark):
-    """Scores by joins are those of the machine of all retained contexts, texts of the held-out fold and bytes over 127 among them."""
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
-    tree = suffixtree.fit_tree(suffixtree.gram_counts(docs.where(suffixtree.fold(suffixtree.F.col("doc_id"), 7) != 2)))
-    got = {r.doc_id: r.score for r in suffixtree.score(docs).collect()}
-    assert len(got) == len(TEXTS)
-    for i, t in enumerate(TEXTS):
-        symbols, _ = suffixtree._symbols(pa.array([t], pa.string()))
-        assert abs(got[i] - suffixtree.log10_values(tree, symbols).sum()) < 1e-4 * max(1, len(symbols)), i
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", 0.5) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[7]], "doc_id long, text string, gram string, score double").repartition(3)
+
+
+def brute_force():
+    """Scores by the definition: contexts in dictionaries, one symbol at a time."""
+    depth, end = suffixtree.DEPTH, bytes([suffixtree.END])
+    symbols = [b" ".join((t or "").lower().encode().split()) + end for t in TEXTS]
+    train = [s for i, s in enumerate(symbols) if suffixtree_fold(i) != 2 for _ in range(2 if i == 7 else 1)]
+    after = collections.defaultdict(collections.Counter)
+    for s in train:
+        for k in range(len(s)):
+            before = end * depth + s[:k]
+            for d in range(depth + 1):
+                after[before[len(before) - d :]][s[k]] += 1
+    tests = {c: sum(n * math.log(n / x.total() / (after[c[1:]][b] / after[c[1:]].total())) for b, n in x.items()) for c, x in after.items() if c and x.total() >= suffixtree.LEAST}
+    kept = {c[k:] for c, gain in tests.items() if gain > suffixtree.DIVERGENCE for k in range(len(c))}
+
+    def share(context, b):
+        if not context:
+            return (after[b""][b] + 1) / (after[b""].total() + 256)
+        q = share(context[1:], b)
+        x = after[context] if context in kept else None
+        return q if x is None else (x[b] + suffixtree.PRIOR * q) / (x.total() + suffixtree.PRIOR)
+
+    out = []
+    for s in symbols:
+        total = 0.0
+        for k in range(len(s)):
+            before = end * depth + s[:k]
+            total += math.log10(share(before[-depth:], s[k]))
+        out.append(total)
+    return out, len(kept)
+
+
+def suffixtree_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 7
+
+
+@pytest.mark.parametrize("most", [suffixtree.MODEL_GRAMS, 0])
+def test_scores_equal_brute_force(docs, monkeypatch, most):
+    """By broadcast and by joins; texts of the held-out fold, bytes over 127 and repeated rows among them."""
+    monkeypatch.setattr(suffixtree, "MODEL_GRAMS", most)
+    want, contexts = brute_force()
+    rows = suffixtree.score(docs).collect()
+    assert contexts > 30 and len(rows) == len(TEXTS) + 1
+    for r in rows:
+        assert abs(r.score - want[r.doc_id]) < 1e-5 * max(1, -want[r.doc_id]), r.doc_id
+
+
+def test_sums_to_one(docs):
+    tree = suffixtree.collected(*suffixtree.grow(suffixtree.staged(suffixtree.gram_counts(docs.where("text IS NOT NULL")), "grams")))
+    contexts = [int.from_bytes(c, "big") for c in (b"the ca", b"at on ", b"zzzzzz", b"\n\n\n\n\n\n", b"q\nt\xc3\xa9x")]
+    for c in contexts:
+        assert abs((10 ** suffixtree.log10_values(tree, np.arange(256) + (c << 8))).sum() - 1) < 1e-4
+
+
+def test_symbols():
+    symbols, new = suffixtree._symbols(pa.array([" A  b\t", None, "\u00c9"]))
+    assert bytes(symbols) == b"a b\n\n\xc3\x89\n" and new.tolist() == [0, 4, 5, 8]
 
 
 def test_rare_contexts_outlive_a_larger_corpus(spark):
