@@ -1,4 +1,8 @@
-"""Main text of web pages: element subtrees that recur across a host's pages are templates and go; so do page furniture and markup."""
+"""Main text of web pages: element subtrees that recur across a host's pages are templates and go; so do page furniture and markup.
+
+A subtree recurs by its content (tags and words), wherever it stands, or by its frame (tags and attributes without words) outside of articles:
+a menu, an advert's box and a footer have other words on each page, but the same frame.
+"""
 
 from __future__ import annotations
 
@@ -22,46 +26,68 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 FURNITURE = frozenset("nav header footer aside menu".split())
 FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_WORD = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion related respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that may stand beside one of those in a class or id: "share-buttons" is furniture, "share-price" is not.
+NEUTRAL_WORD = frozenset("area bar block body bottom box button buttons col column container content group holder icon icons inner item items label left link links list main outer panel right row section site slot top unit wrap wrapper".split())
 #: An open element of the second kind ends where one of the first begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = BLOCK - {"body", "html", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 #: What a template may be: containers, never a paragraph, heading, list item or table part of an article.
 CONTAINER = frozenset("div section ul ol dl table figure details center fieldset blockquote".split())
+#: What a frame template may be, besides those.
+FRAMED = CONTAINER | FURNITURE | {"form", "search", "address"}
 #: A template stands on so many different pages of a host, however many the host has.
 LEAST_PAGES = 5
+#: A table of so many templates is broadcast (16 bytes each, and the hosts' names); a larger one is joined to the pages, with the same results.
+BROADCAST_TEMPLATES = 500_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
+ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
 WORDS = re.compile(r"[a-z]+")
 WHITE = re.compile(r"\s+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    """One element: tag, furniture or not, children (elements and strings), and its subtree's hash."""
+    """One element: tag, furniture or not, name (tag, class, id and role), children (elements and strings), and its subtree's hashes."""
 
-    __slots__ = ("children", "digest", "out", "tag")
+    __slots__ = ("children", "digest", "frame", "name", "out", "tag")
 
-    def __init__(self, tag: str, out: bool):
-        self.tag, self.out, self.children, self.digest = tag, out, [], 0
+    def __init__(self, tag: str, out: bool, name: str = ""):
+        self.tag, self.out, self.name, self.children, self.digest, self.frame = tag, out, name or tag, [], 0, 0
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in FURNITURE_ROLE:
-            return True
-        if name in ("class", "id") and not FURNITURE_WORD.isdisjoint(WORDS.findall(value)):
+def _marked(value: str) -> bool:
+    """Whether a class or id is furniture: one of its parts has a word of furniture and beside it only neutral ones."""
+    for part in value.split():
+        words = WORDS.findall(part)
+        if not FURNITURE_WORD.isdisjoint(words) and all(w in FURNITURE_WORD or w in NEUTRAL_WORD for w in words):
             return True
     return False
 
 
+def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is furniture or hidden, and its name."""
+    out, name = tag in FURNITURE, tag
+    if attributes:
+        for key, a, b, c in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), (a or b or c).lower()
+            if key in ("class", "id", "role"):
+                name += f" {key}={DIGITS.sub('0', value)}"
+            if tag in ("html", "body"):
+                continue
+            out = (
+                out
+                or key == "hidden" and value != "until-found"
+                or key == "aria-hidden" and value == "true"
+                or key == "style" and UNSEEN.search(value) is not None
+                or key == "role" and value in FURNITURE_ROLE
+                or key in ("class", "id") and tag != "main" and _marked(value)
+            )
+    return out, name
+
+
 def parse(page: str) -> Element:
     """The page's tree. Unclosed elements end where HTML ends them; stray end tags are left out."""
     root = Element("", False)
@@ -111,7 +137,7 @@ def parse(page: str) -> Element:
                         break
                 elif stack[k].tag in SCOPE[tag]:
                     break
-        element = Element(tag, _furniture(tag, m[3]))
+        element = Element(tag, *_furniture(tag, m[3]))
         stack[-1].children.append(element)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -133,17 +159,28 @@ def _post_order(root: Element) -> list[Element]:
     return order
 
 
+def _hash(parts: list[str]) -> int:
+    return xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
+
+
 def digests(root: Element) -> None:
-    """Give every element the hash of its tag and content; white space between words does not count."""
+    """Give every element the hash of its tag and content, in which white space between words does not count, and of its frame, in which
+    elements that repeat side by side count once."""
     for e in _post_order(root):
-        parts = [e.tag]
+        parts, frame, last = [e.tag], ["frame", e.name], None
         for c in e.children:
-            parts.append(f"\x01{c.digest}" if isinstance(c, Element) else " ".join(c.split()))
-        e.digest = xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
+            if isinstance(c, Element):
+                parts.append(f"\x01{c.digest}")
+                if c.frame != last:
+                    frame.append(str(c.frame))
+                    last = c.frame
+            else:
+                parts.append(" ".join(c.split()))
+        e.digest, e.frame = _hash(parts), _hash(frame)
 
 
 def main_roots(root: Element) -> list[Element]:
-    """The outermost articles; else main elements; else the whole page. Those inside furniture (comments, say) do not count."""
+    """The outermost articles; else main elements; else the whole page. Those inside furniture, or furniture themselves (comments, say), do not count."""
     for tag in ("article", "main"):
         found, stack = [], [root]
         while stack:
@@ -160,13 +197,35 @@ def main_roots(root: Element) -> list[Element]:
 
 
 def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees of this page that could be templates: all its containers."""
+    """Hashes of the subtrees of this page that could be templates: the contents of all its containers, and the frames of those that
+    have no article or main element in or around them and, on pages without any, whose text is mostly links."""
     digests(root)
-    return {e.digest for e in _post_order(root) if e.tag in CONTAINER}
+    found = {e.digest for e in _post_order(root) if e.tag in CONTAINER}
+    return found | {e.frame for e in _framed(root)}
+
+
+def _framed(root: Element) -> list[Element]:
+    tops = main_roots(root)
+    inside = {id(e) for t in tops if t is not root for e in _post_order(t)}
+    around: set[int] = set()
+    linked: dict[int, tuple[int, int]] = {}
+    out = []
+    for e in _post_order(root):
+        kids = [c for c in e.children if isinstance(c, Element)]
+        if id(e) in inside or any(id(c) in inside or id(c) in around for c in kids):
+            around.add(id(e))
+        text = sum(len("".join(c.split())) for c in e.children if not isinstance(c, Element)) + sum(linked[id(c)][0] for c in kids)
+        linked[id(e)] = (text, text if e.tag == "a" else sum(linked[id(c)][1] for c in kids))
+        if e.tag in FRAMED and id(e) not in around and (inside or 2 * linked[id(e)][1] > text > 0):
+            out.append(e)
+    return out
 
 
-def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
-    """Blocks in page order, white space inside each made one space, joined by line breaks."""
+def text_of(root: Element, templates: frozenset[int] | set[int], lists: bool = True) -> str:
+    """Blocks in page order, white space inside each made one space, joined by line breaks.
+
+    Templates go first, from the whole page; of what is left, without the furniture of the lists, the main part stays. Without lists, all that is left stays.
+    """
     blocks: list[str] = []
     line: list[str] = []
 
@@ -176,9 +235,11 @@ def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
                 blocks.append(found)
             line.clear()
 
+    gone: set[int] = set()
     if templates:
         digests(root)
-    for top in main_roots(root):
+        gone = {id(e) for e in _framed(root) if e.frame in templates} | {id(e) for e in _post_order(root) if e.tag in CONTAINER and e.digest in templates}
+    for top in main_roots(root) if lists else [root]:
         stack: list = [top]
         while stack:
             e = stack.pop()
@@ -188,7 +249,7 @@ def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
                 line.append(e)
             elif e.tag == "br":
                 line.append(" ")
-            elif e.out or e.tag in HIDDEN or templates and e is not top and e.tag in CONTAINER and e.digest in templates:
+            elif e.out and lists or e.tag in HIDDEN or e is not top and id(e) in gone:
                 if e.tag in BLOCK:
                     close()
             elif e.tag in BLOCK:
@@ -207,7 +268,7 @@ def main_text(root: Element, templates: frozenset[int] | set[int]) -> str:
 
 
 def template_hashes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, page, templates: by host and hash of a page's HTML, its container subtrees found on least_pages different pages of the host.
+    """host, digest: subtrees (by content or frame) found on least_pages different pages of the host, as a staged table.
 
     Pages of equal content (tags and words) count once. The table of subtrees follows the corpus; different pages are told apart by
     host, subtree and content, and counted in part before rows move, so a host with a third of all pages is no burden.
@@ -216,24 +277,18 @@ def template_hashes(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, contents, hashes = [], [], []
-            for k, page in enumerate(batch.column(2).to_pylist()):
+            for k, page in enumerate(batch.column(1).to_pylist()):
                 root = parse(page or "")
                 found = candidates(root)
                 at += [k] * len(found)
                 contents += [root.digest] * len(found)
                 hashes += found
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "content", "digest"])
-
-    keyed = pages.select(_host(F.col("url")).alias("host"), _page().alias("page"), "html")
-    found = staged(keyed.mapInArrow(run, "host string, page long, content long, digest long"), "subtrees")
-    common = found.groupBy("host", "digest", "content").agg(F.count("*").alias("n")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    own = found.select("host", "page", "digest").distinct().join(common.select("host", "digest"), ["host", "digest"])
-    return own.groupBy("host", "page").agg(F.collect_list("digest").alias("templates"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "content", "digest"])
 
-
-def _page():
-    return F.xxhash64("html")
+    keyed = pages.select(_host(F.col("url")).alias("host"), "html")
+    found = keyed.mapInArrow(run, "host string, content long, digest long")
+    common = found.groupBy("host", "digest", "content").agg(F.count("*").alias("n")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+    return staged(common.where(F.col("n") >= least_pages).select("host", "digest"), "templates")
 
 
 def _host(url):
@@ -246,17 +301,44 @@ def extract(pages: DataFrame) -> DataFrame:
     Null, empty and text-free pages give an empty text; a null url is a host of its own; repeated pages give repeated rows; pages
     without an article or main element are read whole. Columns other than page_id, url and html are not read.
     """
+    spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
     templates = template_hashes(bounded_batches(pages, 500))
-    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _page().alias("page")).join(templates, ["host", "page"], "left").select("page_id", "url", "html", "templates")
-    kind = dict(pages.dtypes)["page_id"]
+    own = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
+    schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        texts = [main_text(parse(page or ""), hashes) for page, hashes in zip(batch.column(2).to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if templates.count() <= BROADCAST_TEMPLATES:
+        by_host: dict[str, set[int]] = {}
+        for host, digest in zip(*(c.to_pylist() for c in templates.toArrow().columns), strict=True):
+            by_host.setdefault(host, set()).add(digest)
+        shared = spark.sparkContext.broadcast(by_host)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield out(batch, [shared.value.get(h, frozenset()) for h in batch.column(3).to_pylist()])
+
+        return own.mapInArrow(run, schema)
+
+    # each different page of a host meets the templates that it holds, so no host's pages have to meet in one place
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [candidates(parse(page or "")) for page in batch.column(2).to_pylist()]
+            at = pa.array([k for k, x in enumerate(found) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([d for x in found for d in x], pa.int64())], names=["host", "page", "digest"])
+
+    page = F.xxhash64("html")
+    rows = own.select("host", page.alias("page"), "html").mapInArrow(held, "host string, page long, digest long").distinct()
+    mine = rows.join(templates, ["host", "digest"]).groupBy("host", "page").agg(F.collect_list("digest").alias("hashes"))
+    joined = own.withColumn("page", page).join(mine, ["host", "page"], "left").select("page_id", "url", "html", "hashes")
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            texts = [main_text(parse(page or ""), frozenset(found or ())) for page, found in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield out(batch, [frozenset(x or ()) for x in batch.column(3).to_pylist()])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(run_joined, schema)
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -16,3 +16,41 @@ def test_templates_by_different_pages(spark):
     assert all(got[200 + i] == "Only text of one page\nMore" for i in range(5))
     assert [got[400 + i] for i in range(8)] == ["Shared and all", *["Shared"] * 7]
     assert all(got[500 + i] == f"Own {i}" for i in range(6))
+
+
+def one(page, templates=frozenset()):
+    return html.main_text(html.parse(page), templates)
+
+
+def test_comments_and_hidden_parts_go():
+    assert one("<article><p>Main.</p></article><article class='comment'><p>Reader says hi</p></article>") == "Main."
+    assert one("<article><p>Main.</p><section id=comments><article>Hi</article></section></article><article hidden>x</article>") == "Main."
+    assert one("<article><p>Main.</p><p style='color:red; display : none'>x</p><div aria-hidden=true>y</div></article>") == "Main."
+
+
+def test_furniture_words_in_names_of_content():
+    page = "<article><p>A</p><div class='share-price'>12</div><div id='social-history'>B</div><div class='header-note'>C</div><div class='share-buttons x'>no</div><div class='ad'>no</div></article>"
+    assert one(page) == "A\n12\nB\nC"
+
+
+def frame_pages(n, host):
+    """Menu, advert and footer with other words on each page, as many sites have them; no tag or class that lists know but nav."""
+    return [(f"http://{host}/{i}", f"<body><div class='zq'><ul>{''.join(f'<li><a>m{i}{k}</a></li>' for k in range(3 + i % 3))}</ul></div><div class='qx-{i}'>Buy {i}</div><article><h1>T{i}</h1><p>Own {i}</p></article><div class='foot'>f{i}</div>") for i in range(n)]
+
+
+def test_frames_of_a_hot_host_alone_leave_the_article(spark):
+    rows = [(i, *x) for i, x in enumerate(frame_pages(60, "hot.example") + frame_pages(3, "few.example"))] + [(100 + i, f"http://h{i}.example/", "<p>x</p>") for i in range(120)]
+    templates = html.template_hashes(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    hashes = {r.digest for r in templates.where("host = 'hot.example'").collect()}
+    assert not templates.where("host = 'few.example'").count()
+    for i, (_, page) in enumerate(frame_pages(60, "hot.example")):
+        assert html.text_of(html.parse(page), hashes, lists=False) == f"T{i}\nOwn {i}"
+
+
+def test_joined_templates_give_the_same(spark, monkeypatch):
+    rows = [(i, *x, 7) for i, x in enumerate(frame_pages(20, "a.example") + [(None, None), (None, ""), ("u", "<div><a>1</a></div>")] + frame_pages(1, "b.example") * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    want = sorted(map(repr, html.extract(df).collect()))
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", 0)
+    assert len(want) == len(rows) and sorted(map(repr, html.extract(df).collect())) == want
+    assert html.extract(df.limit(0)).count() == 0
