@@ -11,10 +11,16 @@ from .common import staged
 SEPARATORS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
-#: Rejecting more than RISK of a stratum's good documents is what a certified cutoff rules out, together with CONFIDENCE over all tests.
+#: Rejecting RISK or more of a stratum's good documents, by all rules together, is what certified cutoffs rule out, with CONFIDENCE over all strata.
 RISK, CONFIDENCE = 0.02, 0.95
-#: A share of good documents lost weighs so many times a share of bad ones caught when one of the certified cutoffs is chosen.
+#: A share of good documents lost weighs so many times a share of bad ones caught when cutoffs are chosen.
 COST = 5
+#: Shares of good documents that a single rule may lose, in the half of the labels that proposes cutoffs: from the mildest to the strictest proposal.
+LEVELS = (0.0, 0.001, 0.002, 0.003, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02)
+#: A table of so many strata is broadcast; a larger one is joined.
+BROADCAST_STRATA = 10_000
+#: Capital letters that count: fixed values.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u00c0\u00c1\u00c2\u00c3\u00c4\u00c5\u00c6\u00c7\u00c8\u00c9\u00ca\u00cb\u00cc\u00cd\u00ce\u00cf\u00d0\u00d1\u00d2\u00d3\u00d4\u00d5\u00d6\u00d8\u00d9\u00da\u00db\u00dc\u00dd\u00de\u1e9e"
 #: A rule rejects where its value is over the cutoff; these cutoffs are tried. Values are parts in a thousand, integers so that they are exact.
 GRID = (5, 10, 20, 30, 40, 50, 60, 80, 100, 120, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900, 950)
 #: value name: expression over the base counts.
@@ -56,7 +62,7 @@ def base_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFra
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
         .withColumn("n_marks", (length - F.length(F.translate("_t", "!?|", ""))).cast("long"))
-        .withColumn("n_upper", F.length(F.regexp_replace("_t", "[^\\p{Lu}]+", "")).cast("long"))
+        .withColumn("n_upper", (length - F.length(F.translate("_t", CAPITALS, ""))).cast("long"))
         .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
         .drop("_t", "_w", "_l", "_h", "_s", "_p")
     )
@@ -77,44 +83,73 @@ def _certified(k: Column, n: Column, tests: Column) -> Column:
     return F.when((n == 0) | (k >= n * RISK), False).otherwise(log_p <= F.log(F.lit(1 - CONFIDENCE) / tests))
 
 
-def thresholds(values: DataFrame, labels: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """stratum, rule, cutoff, false_rejections, n_good, caught, n_bad: of the certified cutoffs, the one that separates best.
+def _over(cutoffs: Column) -> list[Column]:
+    """By rule, whether the value is over its cutoff (no cutoff: not)."""
+    return [F.coalesce(F.col(name) > cutoffs[name], F.lit(False)) for name in RULES]
 
-    values has doc_id, the stratum and RULES' columns. Per stratum and rule the cutoffs are tested from the mildest to the
-    strictest, each by an exact binomial test on the labelled good documents, until one fails; that needs no correction among
-    cutoffs, and the error is divided by the number of strata times rules (Bonferroni). So with CONFIDENCE over all of them, no
-    certified cutoff rejects RISK or more of its stratum's good documents. Strata with too few labels get no cutoff, hence no
-    rejection. Contradicting labels of a document count as bad.
+
+def _with_strata(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with a table of one row a stratum, which is broadcast if its size allows."""
+    small = table.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    return rows.join(F.broadcast(table) if small else table, "stratum", "left")
+
+
+def proposals(own: DataFrame) -> DataFrame:
+    """stratum, proposed: for each of LEVELS the cutoffs by rule, from labelled rows (stratum, good, RULES' columns).
+
+    Of the cutoffs with which the rule alone loses no more than that share of good documents, the one that separates best; none where no
+    cutoff catches enough bad ones.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("good"))
-    own = values.join(known, F.col("doc_id") == F.col("_id"))
-    long = own.select(stratum, "good", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
+    long = own.select("stratum", "good", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
     at_least = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: F.col("value") > c))  # value is over the first so many cutoffs
-    grouped = long.groupBy(stratum, "rule", at_least.alias("over")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    grouped = long.groupBy("stratum", "rule", at_least.alias("over")).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     # a few numbers for each stratum and rule from here on: len(GRID) + 1 rows at most
-    each = grouped.groupBy(stratum, "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("rows"), F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    total = lambda name: lambda i: F.aggregate(F.filter("rows", lambda r: r["over"] > i), F.lit(0).cast("long"), lambda a, r: a + r[name])
-    tests = each.agg((F.count_distinct(stratum) * len(RULES)).alias("tests")).first()["tests"] or 1
-    cut = each.select(stratum, "rule", "n_good", "n_bad", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(GRID) - 1)), lambda i: F.struct(total("good")(i).alias("k"), total("bad")(i).alias("caught")))).alias("i", "c"))
-    tested = cut.withColumn("pass", _certified(F.col("c.k"), F.col("n_good"), F.lit(float(tests))))
-    failed = F.coalesce(F.max(F.when(~F.col("pass"), F.col("i"))).over(Window.partitionBy(stratum, "rule")), F.lit(-1))
+    each = grouped.groupBy("stratum", "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("rows"), F.greatest(F.sum("good"), F.lit(1)).alias("n_good"), F.greatest(F.sum("bad"), F.lit(1)).alias("n_bad"))
+    total = lambda name, i: F.aggregate(F.filter("rows", lambda r: r["over"] > i), F.lit(0).cast("long"), lambda a, r: a + r[name])
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(len(GRID) - 1)), lambda i: F.struct((total("bad", i) / F.col("n_bad") - COST * total("good", i) / F.col("n_good")).alias("gain"), F.element_at(F.array(*map(F.lit, GRID)), i + 1).alias("cutoff"), (total("good", i) / F.col("n_good")).alias("lost")))
+    each = each.withColumn("cuts", F.filter(cuts, lambda c: c["gain"] > 0))
+    within = lambda share: F.filter("cuts", lambda c: c["lost"] <= share)
+    best = F.array(*[F.array_max(within(share))["cutoff"] for share in LEVELS])
+    by_level = each.select("stratum", "rule", F.posexplode(best).alias("level", "cutoff")).groupBy("stratum", "level").agg(F.struct(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(name) for name in RULES]).alias("cutoffs"))
+    return by_level.groupBy("stratum").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "cutoffs"))), lambda x: x["cutoffs"]).alias("proposed"))
+
+
+def thresholds(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, cutoffs (by rule), false_rejections, n_good, caught, n_bad: of the certified proposals, the one that separates best.
+
+    values has doc_id, stratum and RULES' columns. Half of the labelled documents propose cutoffs of all rules at once, from mild to strict;
+    on the other half each proposal is tested, in that order, until one fails: an exact binomial test of the share of good documents that
+    any of the rules rejects. The order was fixed before, so the sequence needs no correction; among strata the error is divided
+    (Bonferroni). So with CONFIDENCE over all strata, no certified verdict rejects RISK or more of its stratum's good documents. Strata with too few labels
+    get no cutoffs, hence no rejection. Contradicting labels of a document count as bad.
+    """
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("good"))
+    own = staged(values.select("doc_id", "stratum", *RULES).join(known, F.col("doc_id") == F.col("_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))), "labelled")
+    tested = _with_strata(own.where("half = 1"), proposals(own.where("half = 0"))).where("proposed IS NOT NULL")
+    hit = [F.reduce(F.array(*_over(F.get("proposed", F.lit(i)))), F.lit(False), lambda a, x: a | x) for i in range(len(LEVELS))]
+    sums = [F.sum(F.when(h, F.col("good")).otherwise(0)).alias(f"k{i}") for i, h in enumerate(hit)] + [F.sum(F.when(h, 1 - F.col("good")).otherwise(0)).alias(f"c{i}") for i, h in enumerate(hit)]
+    each = tested.groupBy("stratum").agg(F.first("proposed").alias("proposed"), F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"), *sums)
+    strata = own.select("stratum").distinct().count()
+    steps = F.array(*[F.struct(F.col(f"k{i}").alias("k"), F.col(f"c{i}").alias("caught"), F.get("proposed", F.lit(i)).alias("cutoffs")) for i in range(len(LEVELS))])
+    cut = each.select("stratum", "n_good", "n_bad", F.posexplode(steps).alias("i", "c"))
+    judged = cut.withColumn("pass", _certified(F.col("c.k"), F.col("n_good"), F.lit(float(max(strata, 1)))))
+    failed = F.coalesce(F.min(F.when(~F.col("pass"), F.col("i"))).over(Window.partitionBy("stratum")), F.lit(len(LEVELS)))
     gain = F.col("c.caught") / F.greatest(F.col("n_bad"), F.lit(1)) - COST * F.col("c.k") / F.greatest(F.col("n_good"), F.lit(1))
-    best = tested.withColumn("failed", failed).where("i > failed").groupBy(stratum, "rule", "n_good", "n_bad").agg(F.max_by(F.struct("i", "c"), F.struct(gain, "i")).alias("b"))
-    cutoff = F.element_at(F.array(*map(F.lit, GRID)), F.col("b.i") + 1)
-    return best.select(stratum, "rule", cutoff.alias("cutoff"), F.col("b.c.k").alias("false_rejections"), "n_good", F.col("b.c.caught").alias("caught"), "n_bad")
+    best = judged.withColumn("failed", failed).where("i < failed").groupBy("stratum", "n_good", "n_bad").agg(F.max_by("c", F.struct(gain, -F.col("i"))).alias("b"))
+    return best.select("stratum", "b.cutoffs", F.col("b.k").alias("false_rejections"), "n_good", "b.caught", "n_bad")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed, failed_rules and kept for every row of docs.
 
-    A null or missing stratum is one of its own. Empty texts fail the base rule. Repeated rows give repeated results.
+    A null or missing stratum is one of its own. Empty texts fail the base rule, which is fixed and no part of the certified risk. Repeated rows give repeated results.
     """
     where = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     counted = base_counts(docs.select("doc_id", "text", where.alias("stratum"))).drop("text")
     values = staged(counted.select("*", *[F.expr(e).alias(name) for name, e in RULES.items()]), "rules")
-    cutoffs = thresholds(values, labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    over = [F.when(F.col(name) > F.col("cutoffs")[name], F.lit(name)) for name in RULES]
-    judged = values.join(cutoffs, "stratum", "left").withColumn("failed_rules", F.array_compact(F.array(*over)))
+    cutoffs = staged(thresholds(values, labels).select("stratum", "cutoffs"), "cutoffs")
+    over = [F.when(o, F.lit(name)) for name, o in zip(RULES, _over(F.col("cutoffs")), strict=True)]
+    judged = _with_strata(values, cutoffs).withColumn("failed_rules", F.array_compact(F.array(*over)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoffs")
 
 
