@@ -33,7 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = common.staged(classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     bitmap = common.staged(common.member_filter(gone, "_gone"), "bitmap")
-    left = common.keep_members(docs, bitmap, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # an anti join would be moved below the bitmap, and all texts with it
+    left = common.keep_members(docs, bitmap, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left").where("_gone IS NULL").drop("_gone")
     return _columns(left.unionByName(common.without_members(docs, bitmap, "doc_id")), docs)
 
 

@@ -121,10 +121,15 @@ def possible(percent: int, n: str, m: str, own: str, other: str) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of docs for each of these ids. An inner join: a semi join would be moved below the bitmap, and all texts with it."""
+    return keep_members(docs, member_filter(ids, "doc_id"), "doc_id").join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """pairs (a, b) whose full sets have 100 * intersection >= percent * union, as a staged table. Only texts that stand in pairs move."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    texts = staged(keep_members(docs, member_filter(ends, "id"), "doc_id").join(ends.distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = staged(_of(docs, ends.select(F.col("id").alias("doc_id"))), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -156,7 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
 
 def rare_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """doc_id, shingle, df of the shingles that at most RARE of the documents in ids have; a common one is counted before it moves."""
-    texts = keep_members(docs, member_filter(ids, "doc_id"), "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _of(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
