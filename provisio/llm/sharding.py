@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, staged
 
-#: Lines of at least so many characters link the documents that hold them.
+#: Lines of at least so many characters link the documents that hold them (the parameter link_chars of assign()).
 LINK_CHARS = 40
 #: Rounds of propagation; in each, half of the nodes may move.
 ROUNDS = 4
+#: Rounds before that in which nodes take up labels without quotas, so that those of a community begin on one shard.
+SEED_ROUNDS = 3
+#: A shard may be over its quota by so much while labels move; the last step makes counts even.
+SLACK = 0.1
 #: A group of equal texts stays whole up to this share of a shard; a larger one is cut into as few parts as keep to it.
 PART = 0.75
 #: Nodes of at least 1 / LARGE of all rows (at most LARGE of them) are placed first, largest first, each on the emptiest shard.
@@ -50,6 +54,20 @@ def _place_large(nodes: DataFrame, n_rows: int, shards: int) -> list[tuple[int,
     return placed
 
 
+def _seeds(links: DataFrame, sizes: DataFrame, most: float) -> DataFrame:
+    """node, anchor: label propagation without quotas. A node begins with its rarest link as label, and takes up the least label of the nodes it is linked with, unless
+    that label's nodes would then have more than most rows. Links of more nodes than that pass no label on."""
+    labels = staged(links.groupBy("node").agg(F.min_by("key", F.struct("_k", "key")).alias("anchor")).join(sizes, "node"), "seeds")
+    own = links.where(F.col("_k") <= most).select("node", "key")
+    for _ in range(SEED_ROUNDS):
+        least = own.join(labels, "node").groupBy("key").agg(F.min("anchor").alias("_a"))
+        new = staged(labels.join(own.join(least, "key").groupBy("node").agg(F.min("_a").alias("_a")), "node", "left").withColumn("_a", F.coalesce("_a", "anchor")), "seeds")
+        large = new.groupBy("_a").agg(F.sum("n").alias("_n")).where(F.col("_n") > most).select("_a", F.lit(True).alias("_large"))  # fewer than rows / most
+        last, labels = labels, staged(new.join(F.broadcast(large), "_a", "left").select("node", "n", F.when(F.col("_large"), F.col("anchor")).otherwise(F.col("_a")).alias("anchor")), "seeds")
+        drop_staged(last, new)
+    return labels.select("node", "anchor")
+
+
 def _propagate(labels: DataFrame, links: DataFrame, n_rows: int, shards: int, turn: int) -> DataFrame:
     """One round: node, n, shard after the moves that quotas allow."""
     each = [f"w{s}" for s in range(shards)]
@@ -63,55 +81,71 @@ def _propagate(labels: DataFrame, links: DataFrame, n_rows: int, shards: int, tu
     target = (F.array_position("_v", F.col("_best")) - 1).cast("int")
     bin_ = F.least(F.lit(GAIN_BINS - 1), F.floor(F.log2(1 + 64 * gain) * 3)).cast("int")
     state = staged(state.select("node", "n", "shard", F.when(moving, target).alias("_to"), F.when(moving, bin_).alias("_bin")), "moves")
-    # quotas: shards * GAIN_BINS sums decide how far down the gains each shard takes nodes in
+    # quotas: sums by shard, target and gain (shards ** 2 * GAIN_BINS rows at most) decide which share of each may move
     load = {r["shard"]: r["load"] for r in state.groupBy("shard").agg(F.sum("n").alias("load")).collect()}
-    wish: dict[int, list] = {}
-    for r in state.where("_to IS NOT NULL").groupBy("_to", "_bin").agg(F.sum("n").alias("n")).collect():
-        wish.setdefault(r["_to"], []).append((r["_bin"], r["n"]))
-    quota, shares = n_rows // shards, []
-    for to, bins in wish.items():
-        room = max(0, quota - load.get(to, 0))
-        for b, n in sorted(bins, reverse=True):
-            shares.append((to, b, min(1.0, room / n)))
-            room = max(0, room - n)
-    allowed = labels.sparkSession.createDataFrame(shares, "_to int, _bin int, _share double")  # shards * GAIN_BINS rows at most
+    wishes = [(r["_bin"], r["shard"], r["_to"], r["n"]) for r in state.where("_to IS NOT NULL").groupBy("shard", "_to", "_bin").agg(F.sum("n").alias("n")).collect()]
+    shares = allowed_shares(load, wishes, n_rows / shards * (1 + SLACK))
+    allowed = labels.sparkSession.createDataFrame(shares, "shard int, _to int, _bin int, _share double")
     taken = F.pmod(F.xxhash64("node", F.lit(turn), F.lit(1)), F.lit(1 << 20)) < F.coalesce("_share", F.lit(0.0)) * (1 << 20)
-    return staged(state.join(F.broadcast(allowed), ["_to", "_bin"], "left").select("node", "n", F.when(taken, F.col("_to")).otherwise(F.col("shard")).alias("shard")), "labels")
+    return staged(state.join(F.broadcast(allowed), ["shard", "_to", "_bin"], "left").select("node", "n", F.when(taken, F.col("_to")).otherwise(F.col("shard")).alias("shard")), "labels")
 
 
-def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
+def allowed_shares(load: dict[int, int], wishes: list[tuple[int, int, int, int]], quota: float) -> list[tuple[int, int, int, float]]:
+    """shard, target, bin and the share of these rows that may move, for wishes (bin, shard, target, rows), greatest gains first.
+
+    A shard takes rows in while it is under its quota; what leaves it makes room for others, so passes go on until nothing moves.
+    """
+    now = {s: float(load.get(s, 0)) for s in {*load, *(t for _, _, t, _ in wishes)}}
+    left = {w[:3]: float(w[3]) for w in sorted(wishes, reverse=True)}
+    for _ in range(100):
+        moved = 0.0
+        for (b, s, t), n in left.items():
+            m = min(n, quota - now[t])
+            if m > 0:
+                now[t], now[s], left[b, s, t] = now[t] + m, now[s] - m, n - m
+                moved += m
+        if moved < 1:
+            break
+    return [(s, t, b, 1 - left[b, s, t] / n) for b, s, t, n in wishes if left[b, s, t] < n]
+
+
+def assign(docs: DataFrame, shards: int = 16, link_chars: int = LINK_CHARS) -> DataFrame:
     """doc_id, size, text_crc32, group, node, linked, shard, slot for every row of docs (doc_id, text).
 
-    Equal texts are one node; nodes that share long lines are linked. After propagation each shard keeps its quota of rows,
+    Equal texts are one node; nodes that share a line of link_chars are linked. Nodes of one community begin on one shard. After propagation each shard keeps its quota of rows,
     linked ones first; what is over fills the other shards, so counts are at most one apart. Repeated rows count each; null
     texts count as empty; other columns are not read; no rows give no rows.
     """
     n_rows = docs.count()
     rows = staged(_nodes(_rows(docs), n_rows, shards), "rows")
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
-    line = F.explode(F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= LINK_CHARS), lambda x: F.xxhash64(x))))
+    line = F.explode(F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= link_chars), lambda x: F.xxhash64(x))))
     of_group = docs.select(F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))).alias("group"), line.alias("key")).distinct()
     parts = rows.groupBy("group", "node").agg(F.count("*").alias("_n")).select("group", "node")
     by_node = of_group.join(parts, "group").select("node", "key")
-    common = by_node.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key")
-    links = staged(by_node.join(common, "key"), "links")
-    linked = links.select("node").distinct().withColumn("_l", F.lit(True))
-    nodes = staged(sizes.join(linked, "node", "left").select("node", "n", (F.col("_l").isNotNull() | (F.col("n") > 1)).alias("linked")), "nodes")
-    start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
+    common = by_node.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1")
+    found = staged(by_node.join(common, "key"), "links")
+    linked = _seeds(found, sizes, n_rows / (8 * shards))
+    links = found.select("node", "key")
+    nodes = staged(sizes.join(linked, "node", "left").select("node", "n", "anchor", (F.col("anchor").isNotNull() | (F.col("n") > 1)).alias("linked")), "nodes")
+    # communities that would bring more than an eighth of a shard to one place do not (fewer than 8 * shards rows)
+    heavy = nodes.where("anchor IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("_n")).where(F.col("_n") * 8 * shards > n_rows).select("anchor", F.lit(True).alias("_heavy"))
+    nodes = staged(nodes.join(F.broadcast(heavy), "anchor", "left").select("node", "n", "linked", F.when(F.col("_heavy").isNull(), F.col("anchor")).alias("anchor")), "nodes")
+    start = F.pmod(F.xxhash64(F.coalesce("anchor", "node"), F.lit(5)), F.lit(shards)).cast("int")
     placed = _place_large(nodes, n_rows, shards)
     first = docs.sparkSession.createDataFrame(placed, "node long, _s int")  # at most LARGE rows
     labels = staged(nodes.where("linked").join(F.broadcast(first), "node", "left").select("node", "n", F.coalesce("_s", start).alias("shard")), "labels")
     for turn in range(ROUNDS):
         before, labels = labels, _propagate(labels, links, n_rows, shards, turn)
         drop_staged(before)
-    located = rows.join(labels.select("node", "shard"), "node", "left").withColumn("linked", F.col("shard").isNotNull()).withColumn("shard", F.coalesce("shard", start))
-    return _even(located, n_rows, shards)
+    located = rows.join(nodes.select("node", "anchor", "linked", start.alias("_start")), "node").join(labels.select("node", "shard"), "node", "left").withColumn("shard", F.coalesce("shard", "_start")).drop("_start")
+    return _even(located, n_rows, shards).drop("anchor")
 
 
 def _even(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """rows with shard and slot such that counts are at most one apart; rows of a shard keep it by rank, linked rows first."""
+    """rows with shard and slot such that counts are at most one apart; rows of a shard keep it by rank, linked rows first and those of one anchor together."""
     buckets = max(64, n_rows // 500_000)
-    rows = rows.withColumn("_b", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets)))
+    rows = rows.withColumn("_b", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64(F.coalesce("anchor", "doc_id"), F.lit(3)), F.lit(buckets)))
     rows = staged(rows, "located")
     count = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     before = count.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_before"))
