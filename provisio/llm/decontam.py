@@ -25,6 +25,8 @@ GRAM, COVER, PART_COVER = 5, 0.8, 0.5
 LEAST_WORDS = 5
 #: Items a posting block.
 POSTING_BLOCK = 4
+#: Items are indexed by length, up to so many words times a power of four, so that a passage is no more than eight times as long as its items.
+SHORTEST_BUCKET = 64
 #: Bytes of items in one index. A larger benchmark is dealt to several indexes, each of which scans the documents.
 INDEX_BYTES = 16 << 20
 
@@ -79,12 +81,12 @@ class Index:
     words: list[np.ndarray]
     question: list[int]
     own: np.ndarray
-    passage: int
+    passage: int  # words of a stride: the length of the longest item of the bucket
     short: list[tuple[np.ndarray, object, float]] = field(default_factory=list)  # words, id and BM25 score of items under LEAST_WORDS
 
 
-def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df: dict[int, int] | None = None) -> Index:
-    """The index of these items; n_items, mean_words and df are of the whole benchmark (df None: these items are all)."""
+def _build(ids: list, texts: list[str], n_items: int, mean_words: float, df: dict[int, int] | None = None) -> Index:
+    """The index of one bucket of items."""
     h, row = _words(pa.array(texts, pa.string()))
     n = np.bincount(row, minlength=len(ids))
     use = np.flatnonzero(n >= LEAST_WORDS)
@@ -138,10 +140,22 @@ def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df
     blocks, starts = np.unique(key, return_index=True)
     return Index(
         terms, common, rest, np.searchsorted(blocks // n_blocks, np.arange(len(terms) + 1)), blocks % n_blocks, np.maximum.reduceat(share, starts) if len(starts) else np.zeros(0),
-        np.r_[starts, len(share)], item % POSTING_BLOCK, share, [ids[i] for i in use], words, [_question_words(texts[i]) for i in use], own, max([64, *map(len, words)]), short,
+        np.r_[starts, len(share)], item % POSTING_BLOCK, share, [ids[i] for i in use], words, [_question_words(texts[i]) for i in use], own, max([SHORTEST_BUCKET, *map(len, words)]), short,
     )
 
 
+def build_index(ids: list, texts: list[str], n_items: int, mean_words: float, df: dict[int, int] | None = None) -> list[Index]:
+    """The index of these items, a part for each bucket of lengths; n_items, mean_words and df are of the whole benchmark (df None: these items are all)."""
+    h, row = _words(pa.array(texts, pa.string()))
+    if df is None:
+        each = np.unique(np.column_stack([row.astype(np.uint64), h]), axis=0)[:, 1] if len(h) else h
+        df = dict(zip(*(x.tolist() for x in np.unique(each, return_counts=True)), strict=True))
+    size = np.bincount(row, minlength=len(ids))
+    bucket = np.ceil(np.log(np.maximum(size, SHORTEST_BUCKET) / SHORTEST_BUCKET) / np.log(4) - 1e-9).astype(int)
+    parts = [np.flatnonzero(bucket == b).tolist() for b in np.unique(bucket)]
+    return [_build([ids[i] for i in p], [texts[i] for i in p], n_items, mean_words, df) for p in parts]
+
+
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions start .. start + count of each, one after the other, and whose they are."""
     owner = np.repeat(np.arange(len(count)), count)
@@ -178,9 +192,12 @@ def retrieve(index: Index, h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple
     pairs, inverse = np.unique(passage[rare][who] * n_blocks + index.block_no[at], return_inverse=True)
     bound = np.bincount(inverse, index.block_max[at], minlength=len(pairs)) + index.rest[pairs % n_blocks]
     pairs = pairs[bound >= THRESHOLD - 1e-9]
-    if (index.rest >= THRESHOLD - 1e-9).any():  # blocks that common terms alone may decide are read for every passage
-        open_ = np.flatnonzero(index.rest >= THRESHOLD - 1e-9)
-        pairs = np.union1d(pairs, (np.unique(passage)[:, None] * n_blocks + open_).ravel())
+    open_ = index.rest >= THRESHOLD - 1e-9
+    if open_.any():  # blocks that common terms alone may decide are bounded by the maxima of all terms that the passage has
+        at, who = _spread(index.block_start[term], index.block_start[term + 1] - index.block_start[term])
+        own = open_[index.block_no[at]]
+        more, inverse = np.unique(passage[who[own]] * n_blocks + index.block_no[at[own]], return_inverse=True)
+        pairs = np.union1d(pairs, more[np.bincount(inverse, index.block_max[at[own]], minlength=len(more)) >= THRESHOLD - 1e-9])
     # read the postings of all terms of the passage in these blocks
     begin, end = np.searchsorted(passage, pairs // n_blocks), np.searchsorted(passage, pairs // n_blocks, "right")
     at, who = _spread(begin, end - begin)
@@ -231,13 +248,21 @@ def _short(index: Index, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> I
         yield from ((d, item, score, 1.0, 1.0, 1.0, p) for d, p in zip(doc.tolist(), (at[where] - first[doc]).tolist(), strict=True))
 
 
-def find(index: Index, texts: pa.Array) -> list[tuple[int, object, float, float, float, float, int]]:
+def find(indexes: list[Index], texts: pa.Array) -> list[tuple[int, object, float, float, float, float, int]]:
     """row, item id, BM25 score, share of words covered, of the question, of the answer, first word of the passage: the best passage of each verified item."""
     h, row = _words(texts)
     n_words = np.bincount(row, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
+    out = []
+    for index in indexes:
+        out += _verified(index, h, row, n_words, first) + list(_short(index, h, row, first))
+    return sorted(out, key=lambda x: x[0])
+
+
+def _verified(index: Index, h: np.ndarray, row: np.ndarray, n_words: np.ndarray, first: np.ndarray) -> list[tuple]:
+    """Rows of find() for the items of one part of the index."""
     best: dict[tuple[int, int], tuple] = {}
-    for doc, begin, item, share in zip(*(x.tolist() for x in retrieve(index, h, row, len(texts))), strict=True):
+    for doc, begin, item, share in zip(*(x.tolist() for x in retrieve(index, h, row, len(n_words))), strict=True):
         a = first[doc] + begin
         words = index.words[item]
         hit = np.flatnonzero(np.isin(_grams(words), _grams(h[a : min(a + 2 * index.passage, first[doc] + n_words[doc])])))
@@ -253,10 +278,10 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, object, float, float,
             parts = [sum(found) / len(words), *(x / n if n else 1.0 for x, n in zip(found, size, strict=True))]
         if parts[0] >= COVER and min(parts) >= PART_COVER and parts > best.get((doc, item), (0, 0, 0, [0]))[3]:
             best[doc, item] = (share * float(index.own[item]), share, begin, parts)
-    return [(doc, index.ids[item], x[0], *x[3], x[2]) for (doc, item), x in sorted(best.items())] + list(_short(index, h, row, first))
+    return [(doc, index.ids[item], x[0], *x[3], x[2]) for (doc, item), x in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id") -> Iterator[Index]:
+def indexes(benchmark: DataFrame, key: str = "item_id") -> Iterator[list[Index]]:
     """One index for each INDEX_BYTES of items; term and length statistics are of the whole benchmark."""
     items = benchmark.select(F.col(key).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()

@@ -227,7 +227,7 @@ def test_retrieval_equals_full_scoring():
     rng = random.Random(9)
     v = [f"w{i}" for i in range(60)]
     items = [" ".join(rng.choices(v, range(60, 0, -1), k=rng.randint(5, 20))) for _ in range(40)]
-    index = decontam.build_index(list(range(40)), items, 40, 12.0)
+    index = decontam.build_index(list(range(40)), items, 40, 12.0)[0]
     texts = [" ".join(rng.choices(v, range(60, 0, -1), k=rng.randint(0, 300))) for _ in range(30)]
     h, row = decontam._words(pa.array(texts))
     got = set(zip(*(x.tolist() for x in decontam.retrieve(index, h, row, 30)[:3]), strict=True))
