@@ -27,7 +27,7 @@ PRIOR = 4.0
 #: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition.
 MODEL_GRAMS, CHUNK_BITS = 8_000_000, 13
 #: Bytes of text that are scored at a time.
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 2 << 20
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
 COMMON_WORDS, COMMON_IN_SLICE = 200_000, 4
 END, SPACE_BYTE = 10, 32  # symbols: words are joined by spaces, a text begins after and ends with a line break
@@ -61,14 +61,21 @@ def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(symbols: np.ndarray, new: np.ndarray, depth: int) -> np.ndarray:
     """For each symbol the number of its preceding depth symbols and itself; before a text stand END symbols."""
-    gram = np.full(len(symbols), 0, np.int64)
-    place = np.arange(len(symbols)) - np.repeat(new[:-1], np.diff(new))
-    for k in range(depth, 0, -1):
-        shifted = np.full(len(symbols), END, np.uint8)
-        shifted[k:] = symbols[:-k] if k < len(symbols) else symbols[:0]
-        shifted[place < k] = END
-        gram = gram << 8 | shifted
-    return gram << 8 | symbols
+    at = np.arange(len(symbols)) + np.repeat(depth * np.arange(1, len(new)), np.diff(new))
+    stream = np.full(len(symbols) + depth * (len(new) - 1), END, np.int64)
+    stream[at] = symbols
+    # numbers of 1, 2, 4, ... symbols, from which that of depth + 1 is put together
+    powers, width = {1: stream}, 1
+    while 2 * width <= depth + 1:
+        last = powers[width]
+        powers[2 * width] = last[:-width] << 8 * width | last[width:]
+        width *= 2
+    out, have = powers[width], width
+    while have < depth + 1:
+        width = max(w for w in powers if have + w <= depth + 1)
+        end = len(stream) - have - width + 1
+        out, have = out[:end] << 8 * width | powers[width][have : have + end], have + width
+    return out[at - depth]
 
 
 def seen_grams(docs: DataFrame) -> DataFrame:
@@ -78,6 +85,7 @@ def seen_grams(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.Table] = []
         size, now = 0, None
 
@@ -102,7 +110,7 @@ def seen_grams(docs: DataFrame) -> DataFrame:
                     n = np.bincount(known.indices.to_numpy(), minlength=len(known.dictionary))
                     held.append(pa.table({"gram": known.dictionary, "n": pa.array(n)}))
                     size += len(n)
-                    if size > 4 << 20:
+                    if size > 3 << 20:
                         held = [merged()]
                         size = 0
         if held:
@@ -185,15 +193,19 @@ class Tree:
 
 
 def collected(share: DataFrame, back: DataFrame) -> Tree:
-    """For trees of MODEL_GRAMS at most."""
+    """For trees of MODEL_GRAMS at most; 12 bytes a row come to the driver, a depth at a time."""
     out = []
     for table, key, value in ((share, "gram", "share"), (back, "context", "back")):
-        rows = table.toArrow()
-        depth, keys, values = (rows.column(c).to_numpy() for c in ("depth", key, value))
-        order = np.lexsort((keys, depth))
-        cuts = np.searchsorted(depth[order], np.arange(DEPTH + 2))
-        out.append([keys[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        out.append([np.log10(values[order[a:b]]).astype(np.float32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        keys, values = [], []
+        for d in range(DEPTH + 1):
+            rows = table.where(F.col("depth") == d).select(key, F.log10(value).cast("float").alias("value")).toArrow()
+            own, logs = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            order = np.argsort(own)
+            keys.append(own[order])
+            values.append(logs[order])
+            del rows, own, logs
+            release()
+        out += [keys, values]
     return Tree(*out)
 
 
