@@ -17,6 +17,8 @@ from .common import bounded_batches
 #: Each class gives at most so many labelled texts, and stops after so many bytes; DICTIONARY_TEXTS of them train its dictionary.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_TEXTS = 5_000, 64 << 20, 2_000
 DICTIONARY_BYTES, LEVEL = 112_640, 3
+#: Bytes that are compressed at a time.
+BLOCK_BYTES = 1024
 
 
 @dataclass
@@ -41,27 +43,43 @@ def _compressors(model: CompressionModel) -> list[zstandard.ZstdCompressor]:
 
 
 def _features(texts: Iterator[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """The normalised size difference, the size a byte, and products of these; each text is compressed whole."""
+    """The normalised difference of compressed sizes, the compressed size a byte, its square and the product of both.
+
+    A text is compressed whole, block by block, each against the dictionaries alone: so the difference does not fade, and no text's score depends on its length.
+    """
     rows = []
     for t in texts:
-        g, b, n = len(good.compress(t)), len(bad.compress(t)), len(t) + 1
-        rows.append((g, b, n))
+        g = b = 0
+        for at in range(0, max(1, len(t)), BLOCK_BYTES):
+            block = t[at : at + BLOCK_BYTES]
+            g, b = g + len(good.compress(block)), b + len(bad.compress(block))
+        rows.append((g, b, len(t) + 1))
     g, b, n = np.array(rows, float).reshape(-1, 3).T
-    difference, rate, size = (b - g) / np.maximum(b + g, 1), np.minimum(g, b) / n, np.log(n)
-    return np.column_stack([difference, (b - g) / n, rate, rate * rate, size, rate * size, difference * size])
+    difference, rate = (b - g) / np.maximum(b + g, 1), np.minimum(g, b) / n
+    return np.column_stack([difference, rate, rate * rate, difference * rate])
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression on a bounded sample."""
+    """Logistic regression on a bounded sample; a step that does not lower the loss is halved."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ penalty @ w / 2)
+
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        last, now = now, loss(w)
+        if last - now < 1e-9:
             break
     return w
 
@@ -94,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     good, bad = picked[1], picked[0]
     if not good or not bad:
         prior = 0.5 if not good and not bad else float(bool(good))
-        return CompressionModel(None, None, [8 * (2 * prior - 1)] + [0.0] * 7, [0.0] * 7, [1.0] * 7)
+        return CompressionModel(None, None, [8 * (2 * prior - 1)] + [0.0] * 4, [0.0] * 4, [1.0] * 4)
     dictionaries, rest = [], []
     for texts in (good, bad):
         n = min(DICTIONARY_TEXTS, (len(texts) + 1) // 2)

@@ -278,6 +278,15 @@ def test_quality(spark, docs, labels):
     assert none.score == 0.5
 
 
+def test_quality_does_not_follow_length():
+    rng = random.Random(1)
+    kind = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
+    good, bad = [kind("aeionrst").encode() for _ in range(300)], [kind("xqz#%7").encode() for _ in range(300)]
+    model = quality.CompressionModel(quality._dictionary(good[:150]), quality._dictionary(bad[:150]), [], [], [])
+    x = quality._features(iter([good[200], b" ".join(good[200:290]), bad[200], b" ".join(bad[200:290])]), *quality._compressors(model))
+    assert abs(x[0, 0] - x[1, 0]) < 0.1 and abs(x[2, 0] - x[3, 0]) < 0.1 and x[:2, 0].min() > 0 > x[2:, 0].max()
+
+
 def test_quality_on_held_out_rows(spark):
     import numpy as np
 
