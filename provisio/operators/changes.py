@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provisio.functions.text import EXACT, optional_equal, parity_any, strip
+from provisio.functions.text import EXACT, cosine, optional_equal, parity_any, strip
 
 
 def article_level(similarity: Column) -> Column:
@@ -27,27 +27,33 @@ def exists_check(documents: DataFrame, content_hash: str | None = None, short_na
     return hits.agg(F.count("*").alias("n"), same.alias("same")).select(F.when(F.col("n") == 0, "not_found").when(F.col("same") == 1, "identical").otherwise("different_version").alias("status"), F.col("n").alias("n_found"))
 
 
-def compare(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """key, status: added, removed, modified or unchanged, by a full outer join on key."""
-    o, n = old.select(key, F.col(value).alias("_o"), F.lit(1).alias("_in_o")), new.select(key, F.col(value).alias("_n"), F.lit(1).alias("_in_n"))
-    status = F.when(F.col("_in_o").isNull(), "added").when(F.col("_in_n").isNull(), "removed").when(F.col("_o").eqNullSafe(F.col("_n")), "unchanged").otherwise("modified")
-    return o.join(n, key, "full_outer").select(key, status.alias("status"))
-
-
 def manifest_changes(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new (id, hash, kind) with status added, updated or unchanged against the stored manifest; nothing stored is ever deleted."""
     old = stored.select("id", F.col("hash").alias("_h"), F.lit(1).alias("_in"))
     return new.join(old, "id", "left").withColumn("status", F.when(F.col("_in").isNull(), "added").when(F.col("_h").eqNullSafe(F.col("hash")), "unchanged").otherwise("updated")).drop("_h", "_in")
 
 
-def article_diff(old: DataFrame, new: DataFrame, similarity: Column | None = None) -> DataFrame:
-    """number, status, similarity (4 places; 1 where there are no vectors), change_level, old_length, new_length."""
-    o = old.select("number", F.col("text").alias("_o"), F.col("embedding").alias("_eo") if "embedding" in old.columns else F.lit(None).alias("_eo"))
-    n = new.select("number", F.col("text").alias("_n"), F.col("embedding").alias("_en") if "embedding" in new.columns else F.lit(None).alias("_en"))
+def article_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """number, status, similarity, change_level, old_length, new_length, id, title of a stored document's articles (number, text) against a new version's.
+
+    Where both have an embedding, similarity is its cosine (4 places), else 1. id (of the stored article) and title (the new one's, else
+    the stored one's) are null where they are not given. Articles without a number do not take part.
+    """
+    have = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    side = lambda df, s: df.where("number IS NOT NULL AND cast(number AS string) <> ''").select("number", F.col("text").alias(f"_{s}"), have(df, "embedding").alias(f"_e{s}"), have(df, "title").alias(f"_t{s}"), have(df, "id").alias(f"_i{s}"))
     status = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.sha2(strip("_o"), 256) == F.sha2(strip("_n"), 256), "unchanged").otherwise("modified")
-    joined = o.join(n, "number", "full_outer").withColumn("status", status)
-    near = F.when(F.col("status") == "modified", F.round(F.coalesce(similarity, F.lit(1.0)) if similarity is not None else F.lit(1.0), 4))
-    return joined.withColumn("similarity", near).select("number", "status", "similarity", F.when(F.col("status") == "modified", article_level(F.col("similarity"))).alias("change_level"), F.length("_o").alias("old_length"), F.length("_n").alias("new_length"))
+    joined = side(old, "o").join(side(new, "n"), "number", "full_outer").withColumn("status", status)
+    both = "embedding" in old.columns and "embedding" in new.columns
+    near = F.coalesce(F.when(F.col("_eo").isNotNull() & F.col("_en").isNotNull(), cosine("_eo", "_en")), F.lit(1.0)) if both else F.lit(1.0)
+    joined = joined.withColumn("similarity", F.when(F.col("status") == "modified", F.round(near, 4)))
+    level = F.when(F.col("status") == "modified", article_level(F.col("similarity")))
+    return joined.select("number", "status", "similarity", level.alias("change_level"), F.length("_o").alias("old_length"), F.length("_n").alias("new_length"), F.col("_io").alias("id"), F.coalesce("_tn", "_to").alias("title"))
+
+
+def diff_totals(diff: DataFrame) -> DataFrame:
+    """One row: total_added, total_removed, total_modified, unchanged_count."""
+    n = lambda s, name: F.count(F.when(F.col("status") == s, 1)).alias(name)
+    return diff.agg(n("added", "total_added"), n("removed", "total_removed"), n("modified", "total_modified"), n("unchanged", "unchanged_count"))
 
 
 def numbered_paragraphs(articles: DataFrame) -> DataFrame:
@@ -62,11 +68,18 @@ def numbered_paragraphs(articles: DataFrame) -> DataFrame:
 
 
 def paragraph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """article_id, number, status of stored paragraphs (article_id, number, text) against new articles (article_id, text)."""
+    """article_id, number, status, similarity, change_level of stored paragraphs (article_id, number, text and, perhaps, embedding) against new articles
+    (article_id, text and, perhaps, embeddings: a map from number to vector). Paragraphs without a number or text do not take part."""
     fresh = numbered_paragraphs(new).select("article_id", "number", F.col("text").alias("_n"))
-    stored = old.select("article_id", "number", strip("text").alias("_o"))
+    vectors = "embedding" in old.columns and "embeddings" in new.columns
+    if vectors:
+        fresh = fresh.join(new.select("article_id", "embeddings"), "article_id").withColumn("_en", F.try_element_at("embeddings", F.col("number"))).drop("embeddings")
+    stored = old.where("number <> '' AND text <> ''").select("article_id", "number", strip("text").alias("_o"), *[F.col("embedding").alias("_eo")] * vectors)
     status = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") == F.col("_n"), "unchanged").otherwise("modified")
-    return stored.join(fresh, ["article_id", "number"], "full_outer").select("article_id", "number", status.alias("status"))
+    joined = stored.join(fresh, ["article_id", "number"], "full_outer").withColumn("status", status)
+    near = F.coalesce(F.when(F.col("_eo").isNotNull() & F.col("_en").isNotNull(), cosine("_eo", "_en")), F.lit(1.0)) if vectors else F.lit(1.0)
+    joined = joined.withColumn("similarity", F.when(F.col("status") == "modified", F.round(near, 4)))
+    return joined.select("article_id", "number", "status", "similarity", F.when(F.col("status") == "modified", paragraph_level(F.col("similarity"))).alias("change_level"))
 
 
 def merkle(articles: DataFrame, paragraphs: DataFrame) -> DataFrame:

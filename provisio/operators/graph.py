@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provisio.functions.tables import written
+
 #: Relations of the model.
 RELATIONS = (
     "CONTAINS", "HAS_CHAPTER", "HAS_SECTION", "HAS_ARTICLE", "HAS_PARAGRAPH", "HAS_ANNEX", "HAS_RECITAL", "NEXT_ARTICLE", "NEXT_PARAGRAPH",
@@ -15,15 +14,6 @@ RELATIONS = (
 )
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that executors share (spark.checkpoint.dir; a local one where that is unset): cuts the lineage of loops."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provisio-")
-    path = f"{where.rstrip('/')}/provisio-graph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Full merge on key: a new value replaces the stored one unless it is null; the last of several new rows (highest ord, if there is one) counts."""
     columns = [c for c in stored.columns if c != key]
@@ -40,10 +30,6 @@ def guarded(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFra
     return ok.select("src_id", "rel_type", "dst_id").distinct()
 
 
-def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
-    return stored.unionByName(new).distinct()
-
-
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, name, n: nodes by label and edges by relation, with a total of each."""
     n = nodes.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), F.col("label").alias("name"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provisio.functions.tables import written
 from provisio.functions.text import ANYCASE, EXACT, strip
 
 #: Patterns of running headers and footers.
@@ -50,9 +51,10 @@ FIRST_NUMBERS = ("1", "101", "1.1", "I")
 
 
 def is_running_header(line: Column) -> Column:
+    """Whether one of RUNNING_HEADERS fits; those of a kind are tried in one pattern."""
     out = F.lit(False)
-    for p in RUNNING_HEADERS:
-        out = out | line.rlike(p)
+    for flags in (EXACT, ANYCASE):
+        out = out | line.rlike(flags + "(?:" + "|".join(p.removeprefix(flags) for p in RUNNING_HEADERS if p.startswith(flags)) + ")")
     return out
 
 
@@ -74,26 +76,33 @@ def line_table(docs: DataFrame) -> DataFrame:
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).select("doc_id", "short_name", "ord", "line")
 
 
+#: What a line must begin with to be a heading of any kind or a supplement: tried before their patterns.
+MAYBE_HEADING = ANYCASE + r"^\s*(?:art|sec|§|clause|annex|schedule|exhibit|appendix)"
+
+
 def _flags(lines: DataFrame) -> DataFrame:
+    """lines with what their own words say: kind of heading, its number and title, supplement, paragraph, title of a heading above."""
     line = F.col("line")
     kinds = (("ah", ARTICLE_HEADING), ("ai", ARTICLE_INLINE), ("sh", SECTION_HEADING), ("si", SECTION_INLINE), ("ch", CLAUSE_HEADING), ("ci", CLAUSE_INLINE))
-    # the first kind that fits decides; (kind, number, title)
+    # the first kind that fits decides; number and title are read by its pattern alone
     kind, number, title = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, p in reversed(kinds):
-        fits = line.rlike(p)
-        kind = F.when(fits, F.lit(name)).otherwise(kind)
-        number = F.when(fits, F.regexp_extract(line, p, 1)).otherwise(number)
-        title = F.when(fits, strip(F.regexp_extract(line, p, 2)) if name.endswith("i") else F.lit(None).cast("string")).otherwise(title)
-    heading = line.rlike(ARTICLE_HEADING) | line.rlike(SECTION_HEADING) | line.rlike(CLAUSE_HEADING)
+        kind = F.when(line.rlike(p), F.lit(name)).otherwise(kind)
+        number = F.when(F.col("kind") == name, F.regexp_extract(line, p, 1)).otherwise(number)
+        title = F.when(F.col("kind") == name, strip(F.regexp_extract(line, p, 2))).otherwise(title) if name.endswith("i") else title
+    other = line.rlike(OTHER_ACT)
     return (
-        lines.withColumn("supplement", line.rlike(SUPPLEMENT))
-        .withColumn("article_heading", line.rlike(ARTICLE_HEADING))
-        .withColumn("kind", kind)
-        .withColumn("number", number)
-        .withColumn("inline_title", title)
+        lines.withColumn("maybe", line.rlike(MAYBE_HEADING))
+        .withColumn("supplement", F.col("maybe") & line.rlike(SUPPLEMENT))
+        .withColumn("kind", F.when(F.col("maybe"), kind))
+        .withColumn("number", F.when(F.col("kind").isNotNull(), number))
+        .withColumn("inline_title", F.when(F.col("kind").isNotNull(), title))
+        .withColumn("article_heading", F.coalesce(F.col("kind") == "ah", F.lit(False)))
         .withColumn("heading", F.col("kind").isin("ah", "sh", "ch"))
         .withColumn("rejected", F.coalesce(F.col("kind").isin("ai", "si", "ci") & (F.col("inline_title").endswith(".") | F.col("inline_title").rlike(OTHER_ACT)), F.lit(False)))
-        .withColumn("titular", ~heading & ~line.rlike(SUPPLEMENT) & ~line.rlike(PARAGRAPH) & ~line.rlike(OTHER_ACT))
+        .withColumn("paragraph", line.rlike(PARAGRAPH))
+        .withColumn("titular", ~F.coalesce(F.col("heading"), F.lit(False)) & ~F.col("supplement") & ~F.col("paragraph") & ~other)
+        .drop("maybe")
     )
 
 
@@ -119,7 +128,7 @@ def segments(docs: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id")
     by_line = whole.orderBy("ord")
     so_far, before = by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(Window.unboundedPreceding, -1)
-    lines = _flags(line_table(docs))
+    lines = written(_flags(line_table(docs)), "lines")
     none = F.lit(2**31 - 1)
     lines = lines.withColumn("first_supplement", F.coalesce(F.min(F.when(F.col("supplement"), F.col("ord"))).over(whole), none))
     opens = F.col("kind").isNotNull() & ~F.col("rejected") & F.col("number").isin(*FIRST_NUMBERS) & (F.col("ord") < F.col("first_supplement"))
@@ -135,7 +144,7 @@ def segments(docs: DataFrame) -> DataFrame:
         F.when(F.col("supplement"), F.lit("annex"))
         .when(inside & F.col("kind").isNotNull() & ~F.col("rejected") & ~F.col("consumed"), F.lit("article"))
         .when(F.col("recital").isNotNull(), F.lit("recital"))
-        .when(inside & (F.col("ord") > F.col("first_provision")) & ~F.col("consumed") & F.col("kind").isNull() & F.col("line").rlike(PARAGRAPH), F.lit("paragraph"))
+        .when(inside & (F.col("ord") > F.col("first_provision")) & ~F.col("consumed") & F.col("kind").isNull() & F.col("paragraph"), F.lit("paragraph"))
     )
     lines = lines.withColumn("start", start)
     # headings that are refused before anything is open are dropped; later they are content
@@ -180,7 +189,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """segments with roll-up of articles, children, cross references (of the text before roll-up) and qualification tags."""
-    seg = segments(docs).withColumn("intro", F.col("text"))
+    seg = written(segments(docs), "segments").withColumn("intro", F.col("text"))
     prefix = F.concat("number", F.lit("."))
     block = F.when(F.col("text").startswith(prefix), F.col("text")).otherwise(F.concat(prefix, F.lit(" "), "text"))
     paras = seg.where("chunk_type = 'paragraph'").select("doc_id", F.col("parent_id").alias("id"), "ord", block.alias("block"), F.col("id").alias("child"))

@@ -72,14 +72,18 @@ def annexes(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_type = 'annex'").select("doc_id", "id", "number", "title", "text")
 
 
+def _placed(pattern: int):
+    return lambda x, i: F.struct(F.lit(pattern).alias("pattern"), i.alias("pos"), x["term"].alias("term"), x["body"].alias("body"))
+
+
 def definitions(chunks: DataFrame) -> DataFrame:
     """doc_id, article_id, term_id, term, normalized_term, definition, ord: the first definition of each term of a document."""
     articles = chunks.where((F.col("chunk_type") == "article") & (F.lower(F.coalesce("title", F.lit(""))).contains("definition") | F.col("number").isin(*DEFINING_NUMBERS)))
-    found = None
+    each = []
     for k, (pattern, term, body) in enumerate(((NUMBERED_DEFINITION, 3, 4), (PLAIN_DEFINITION, 1, 2))):
         pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(term)).alias("term"), F.regexp_extract_all("text", F.lit(pattern), F.lit(body)).alias("body"))
-        rows = articles.select("doc_id", "short_name", F.col("id").alias("article_id"), "ord", F.lit(k).alias("pattern"), F.posexplode(pairs).alias("pos", "p"))
-        found = rows if found is None else found.union(rows)
+        each.append(F.transform(pairs, _placed(k)))
+    found = articles.select("doc_id", "short_name", F.col("id").alias("article_id"), "ord", F.explode(F.concat(*each)).alias("p")).select("doc_id", "short_name", "article_id", "ord", "p.pattern", "p.pos", "p")
     terms = found.select("doc_id", "short_name", "article_id", "ord", "pattern", "pos", strip("p.term").alias("term"), strip(F.regexp_replace("p.body", r"(?U)\s+", " ")).alias("definition"))
     terms = terms.withColumn("normalized_term", F.lower("term")).where((F.col("term") != "") & (F.length("term") <= 80))
     first = Window.partitionBy("doc_id", "normalized_term").orderBy("ord", "pattern", "pos")

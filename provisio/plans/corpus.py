@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provisio.functions.tables import written
 from provisio.functions.text import strip
 from provisio.operators import changes, graph, metadata, segment, semantics
 
@@ -57,7 +58,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def extract_graph(docs: DataFrame) -> dict[str, DataFrame]:
     """All tables of one ingest: chunks, the documents' record, terms, roles, obligations, and the edges whose both ends exist."""
-    chunks = graph.written(segment.chunks(docs), "chunks")  # read by every extractor below
+    chunks = written(segment.chunks(docs), "chunks")  # read by every extractor below
     terms, owed, refs = semantics.definitions(chunks), semantics.obligations(chunks), semantics.annex_references(chunks)
     edge = lambda df, a, rel, b: df.select(F.col(a).alias("src_id"), F.lit(rel).alias("rel_type"), F.col(b).alias("dst_id"))
     kinds = {"article": "HAS_ARTICLE", "recital": "HAS_RECITAL", "annex": "HAS_ANNEX"}
@@ -81,8 +82,10 @@ def ingest(stored: DataFrame, files: DataFrame) -> DataFrame:
     new = files.withColumn("title", t).withColumn("short_name", metadata.short_name(F.col("title"), F.col("filename"))).withColumn("document_type", metadata.graph_type(metadata.document_type(F.col("text"), F.col("title"))))
     same = stored.select(F.col("content_hash")).distinct().withColumn("_same", F.lit(True))
     named = stored.select("short_name").distinct().withColumn("_named", F.lit(True))
-    status = F.when(F.coalesce(strip("text"), F.lit("")) == "", "error").when(F.col("_same"), "identical").when(F.col("_named"), "updated_document").otherwise("new_document")
-    return new.join(same, "content_hash", "left").join(named, "short_name", "left").withColumn("status", status).drop("_same", "_named")
+    # of equal files that come together the first by name is new, as if they came one by one
+    new = new.withColumn("_copy", F.row_number().over(Window.partitionBy("content_hash").orderBy("filename")) > 1)
+    status = F.when(F.coalesce(strip("text"), F.lit("")) == "", "error").when(F.col("_same") | F.col("_copy"), "identical").when(F.col("_named"), "updated_document").otherwise("new_document")
+    return new.join(same, "content_hash", "left").join(named, "short_name", "left").withColumn("status", status).drop("_same", "_named", "_copy")
 
 
 __all__ = ["changes", "extract_graph", "ingest", "order_graph", "order_lines", "statutory_corpus", "tables"]

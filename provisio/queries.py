@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provisio.functions.tables import written
 from provisio.functions.text import content_hash, cosine, optional_equal
 from provisio.operators import changes, evidence, graph, metadata, retrieval, segment, semantics
 from provisio.plans.corpus import extract_graph, order_graph, order_lines, statutory_corpus, tables
@@ -153,6 +154,11 @@ def _(spark, d):
     return retrieval.keyword_query(messages.select("conv_id", "turn", "text")).drop("text")
 
 
+def _chunks(spark, d) -> DataFrame:
+    """The statutory corpus in chunks, computed once for all that reads it."""
+    return written(segment.chunks(statutory_corpus(spark, d)), "chunks")
+
+
 # --- segmentation of the statutory corpus ----------------------------------------------------------------------------------------
 LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS n FROM lineitem JOIN part ON l_partkey = p_partkey)"
 PARTS = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_orderkey, l_partkey, p_name, p_type, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey))"
@@ -166,7 +172,7 @@ SN = "'ORD' || o_orderkey"
         FROM orders LEFT JOIN l ON o_orderkey = l.l_orderkey LEFT JOIN p ON o_orderkey = p.l_orderkey""",
 )
 def _(spark, d):
-    c = segment.chunks(statutory_corpus(spark, d))
+    c = _chunks(spark, d)
     return c.groupBy("doc_id").agg(*[F.count(F.when(F.col("chunk_type") == k, 1)).alias(n) for k, n in (("article", "n_articles"), ("paragraph", "n_paragraphs"), ("recital", "n_recitals"), ("annex", "n_annexes"))])
 
 
@@ -177,7 +183,7 @@ def _(spark, d):
         UNION ALL SELECT 'ORD' || l_orderkey || ':art:' || (n + 1) || ':para:2', 'ORD' || l_orderkey || ':art:' || (n + 1), 'Article 1 shall not apply to returned goods.' FROM {LINES} WHERE l_returnflag = 'R'""",
 )
 def _(spark, d):
-    return segment.chunks(statutory_corpus(spark, d)).where("chunk_type = 'paragraph'").select("id", "parent_id", "text")
+    return _chunks(spark, d).where("chunk_type = 'paragraph'").select("id", "parent_id", "text")
 
 
 @query(
@@ -188,17 +194,17 @@ def _(spark, d):
         SELECT 'ORD' || l_orderkey || ':art:' || num AS id, sha256(t) AS content_hash FROM a""",
 )
 def _(spark, d):
-    return segment.chunks(statutory_corpus(spark, d)).where("chunk_type = 'article'").select("id", F.sha2("text", 256).alias("content_hash"))
+    return _chunks(spark, d).where("chunk_type = 'article'").select("id", F.sha2("text", 256).alias("content_hash"))
 
 
 @query("seg_cross_refs", f"SELECT 'ORD' || l_orderkey || ':art:' || (n + 1) || ':para:2' AS id, 'ORD' || l_orderkey || ':art:1' AS target FROM {LINES} WHERE l_returnflag = 'R'")
 def _(spark, d):
-    return segment.chunks(statutory_corpus(spark, d)).select("id", F.explode("cross_references").alias("target"))
+    return _chunks(spark, d).select("id", F.explode("cross_references").alias("target"))
 
 
 @query("seg_qualifications", f"SELECT 'ORD' || l_orderkey || ':art:' || (n + 1) AS id, 'shall not apply,shall not' AS terms FROM {LINES} WHERE l_returnflag = 'R'")
 def _(spark, d):
-    c = segment.chunks(statutory_corpus(spark, d)).where("has_qualifications AND chunk_type = 'article'")
+    c = _chunks(spark, d).where("has_qualifications AND chunk_type = 'article'")
     return c.select("id", F.array_join("qualification_terms", ",").alias("terms"))
 
 
@@ -210,7 +216,7 @@ def _(spark, d):
         UNION ALL SELECT {SN} || ':root', 2 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT {SN} || ':annex:IV', 1 FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
 def _(spark, d):
-    return segment.hierarchy(segment.chunks(statutory_corpus(spark, d))).select("parent_id", F.size("children").cast("long").alias("n_children"))
+    return segment.hierarchy(_chunks(spark, d)).select("parent_id", F.size("children").cast("long").alias("n_children"))
 
 
 # --- metadata --------------------------------------------------------------------------------------------------------------------
@@ -236,7 +242,7 @@ FIRST_TERMS = f"(SELECT * FROM {PARTS} QUALIFY row_number() OVER (PARTITION BY l
 
 @query("sem_definitions", f"SELECT 'ORD' || l_orderkey || ':art:1' AS article_id, 'ORD' || l_orderkey || ':term:' || replace(p_name, ' ', '_') AS term_id, p_name AS term, 'part type ' || p_type || ' of brand ' || p_brand || ';' AS definition FROM {FIRST_TERMS}")
 def _(spark, d):
-    return semantics.definitions(segment.chunks(statutory_corpus(spark, d))).select("article_id", "term_id", "term", "definition")
+    return semantics.definitions(_chunks(spark, d)).select("article_id", "term_id", "term", "definition")
 
 
 @query(
@@ -246,13 +252,13 @@ def _(spark, d):
         SELECT 'ORD' || p.o || p.id AS paragraph_id, 'ORD' || p.o || ':term:' || replace(term, ' ', '_') AS term_id FROM p JOIN t ON p.o = t.o AND contains(lower(p.s), lower(t.term))""",
 )
 def _(spark, d):
-    c = segment.chunks(statutory_corpus(spark, d))
+    c = _chunks(spark, d)
     return semantics.uses_term(c, semantics.definitions(c)).select("paragraph_id", "term_id")
 
 
 @query("sem_roles", "SELECT o_orderkey AS doc_id, unnest(['Manufacturer', 'Authorised Representative', 'Importer', 'Distributor', 'Notified Body', 'Health Institution', 'Competent Authority']) AS name FROM orders")
 def _(spark, d):
-    return semantics.roles(segment.chunks(statutory_corpus(spark, d))).select("doc_id", "name")
+    return semantics.roles(_chunks(spark, d)).select("doc_id", "name")
 
 
 @query(
@@ -261,17 +267,17 @@ def _(spark, d):
         UNION ALL SELECT 'ORD' || l_orderkey || ':art:' || (n + 1) || ':obl:exemption_2', 'shall', 'Article 1 shall not apply to returned goods.', NULL FROM {LINES} WHERE l_returnflag = 'R'""",
 )
 def _(spark, d):
-    return semantics.obligations(segment.chunks(statutory_corpus(spark, d))).select("obligation_id", "modality", "description", "role")
+    return semantics.obligations(_chunks(spark, d)).select("obligation_id", "modality", "description", "role")
 
 
 @query("sem_annex_refs", f"SELECT 'ORD' || l_orderkey || ':art:' || (n + 1) AS article_id, 'ORD' || l_orderkey || ':annex:IV' AS annex_id FROM {LINES}")
 def _(spark, d):
-    return semantics.annex_references(segment.chunks(statutory_corpus(spark, d))).select("article_id", "annex_id")
+    return semantics.annex_references(_chunks(spark, d)).select("article_id", "annex_id")
 
 
 @query("sem_domain", "SELECT o_orderkey AS doc_id, 'General Statutory / Regulatory Law' AS domain FROM orders")
 def _(spark, d):
-    return semantics.domains(segment.chunks(statutory_corpus(spark, d)))
+    return semantics.domains(_chunks(spark, d))
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------------------
@@ -354,7 +360,7 @@ def _(spark, d):
 
 @query("graph_cites", f"SELECT DISTINCT 'ORD' || l_orderkey || ':art:' || (n + 1) || ':para:2' AS src_id, 'ORD' || l_orderkey || ':art:1' AS dst_id FROM {LINES} WHERE l_returnflag = 'R'")
 def _(spark, d):
-    c = segment.chunks(statutory_corpus(spark, d))
+    c = _chunks(spark, d)
     edges = c.select(F.col("id").alias("src_id"), F.lit("CITES").alias("rel_type"), F.explode("cross_references").alias("dst_id"))
     return graph.guarded(edges, c.select("id"), c.select("id")).drop("rel_type")
 
@@ -412,7 +418,7 @@ def _(spark, d):
     first = F.concat(F.lit("Deliver "), "p_name", F.lit("."))
     old = lines.select("article_id", F.lit("1").alias("number"), first.alias("text")).union(lines.where("l_returnflag = 'R'").select("article_id", F.lit("2"), F.lit("Goods are returned.")))
     new = lines.select("article_id", F.concat(F.lit("1. "), first, F.when(F.col("n") % 2 == 0, " Soon.").otherwise(""), F.lit("\n3. A new rule.")).alias("text"))
-    return changes.paragraph_diff(old, new)
+    return changes.paragraph_diff(old, new).select("article_id", "number", "status")
 
 
 @query(

@@ -13,6 +13,11 @@ from provisio.functions.text import strip
 PAGE_CHARS, SCANNED_SHARE = 50, 0.5
 
 
+def decoded(content: str) -> Column:
+    """Bytes as text: UTF-8, bad bytes replaced."""
+    return F.expr(f"make_valid_utf8(cast({content} AS string))")
+
+
 def is_pdf(filename: Column, content: Column | None = None, content_type: Column | None = None) -> Column:
     """By content type, suffix or, where content is given, magic bytes."""
     out = F.lower(filename).endswith(".pdf")
@@ -31,7 +36,7 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_text(files: DataFrame) -> DataFrame:
     """files with text (UTF-8, bad bytes replaced), title (the file's name) and page_count 1."""
-    return files.withColumn("text", F.decode("content", "UTF-8")).withColumn("title", F.coalesce(F.nullif("filename", F.lit("")), F.lit("Text Input"))).withColumn("page_count", F.lit(1))
+    return files.withColumn("text", decoded("content")).withColumn("title", F.coalesce(F.nullif("filename", F.lit("")), F.lit("Text Input"))).withColumn("page_count", F.lit(1))
 
 
 def parse_base64(files: DataFrame, column: str = "content_base64") -> DataFrame:

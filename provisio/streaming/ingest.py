@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from provisio.plans.corpus import ingest
+from provisio.sources.documents import decoded
 
 MANIFEST = "filename string, short_name string, title string, document_type string, content_hash string, status string, batch long"
 
@@ -23,7 +24,7 @@ def stream_ingest(spark: SparkSession, landing: str, manifest: str, checkpoint:
     empty.write.mode("append").parquet(f"{manifest}/batch=none")
 
     def take(batch: DataFrame, number: int) -> None:
-        new = batch.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"))
+        new = batch.select(F.element_at(F.split("path", "/"), -1).alias("filename"), decoded("content").alias("text"), F.sha2("content", 256).alias("content_hash"))
         stored = read_manifest(spark, manifest).where((F.col("batch") != number) & (F.col("status") != "error"))
         out = ingest(stored.select("short_name", "content_hash"), new)
         out.select("filename", "short_name", "title", "document_type", "content_hash", "status", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{manifest}/batch={number}")
