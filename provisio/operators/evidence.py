@@ -46,11 +46,39 @@ def evidence_entry(provision_id: Column, document: Column, title: Column, text:
 
 
 def within_budget(entries: DataFrame, group: list[str], order: list[Column], size: Column, most: int, keep_first: bool) -> DataFrame:
-    """The leading rows of each group whose sizes add up to most at the most; the first row always, if keep_first. Sizes are positive, so a running sum decides."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    ok = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= most
-    ok = ok | (F.row_number().over(w) == 1) if keep_first else ok
-    return entries.withColumn("_ok", ok).where("_ok").drop("_ok")
+    """The leading rows of each group whose sizes add up to most at the most; the first row always, if keep_first. Sizes are positive, so a running sum decides.
+
+    Within each part of a group the rows that can still fit are found first, so a group of a third of all rows is small when it meets.
+    """
+    rows = entries.withColumn("_size", size).withColumn("_part", F.spark_partition_id())
+    for by in ([*group, "_part"], group):
+        w = Window.partitionBy(*by).orderBy(*order)
+        ok = F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)) <= most
+        rows = rows.withColumn("_ok", ok | (F.row_number().over(w) == 1) if keep_first else ok).where("_ok")
+    return rows.drop("_ok", "_size", "_part")
+
+
+#: Columns of a record of search results.
+RECORD = "array<struct<provision_id:string,document:string,article_title:string,text:string,score:double,cited_articles:array<string>,referenced_annexes:array<string>>>"
+NOTHING = "No statutory provisions retrieved from the knowledge graph."
+
+
+def records(outputs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos and the fields of RECORD of each record in a tool's output: a JSON list, an object, or an object that holds the list as data. What is no JSON has none."""
+    wrapped = F.from_json(F.col(text), f"data {RECORD}", {"mode": "PERMISSIVE"})["data"]
+    plain = F.from_json(F.when(F.ltrim(F.col(text)).startswith("["), F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]"))), RECORD)
+    found = F.filter(F.coalesce(wrapped, plain, F.array().cast(RECORD)), lambda r: r.isNotNull())
+    return outputs.select(key, F.posexplode_outer(found).alias("pos", "r")).select(key, "pos", "r.*")
+
+
+def bundles(rows: DataFrame, key: str, most: int = EVIDENCE_CHARS) -> DataFrame:
+    """key, bundle: one text for each key of its records by score (missing: 0; ties in their order), as many as fit; a key without any says so."""
+    none = F.array().cast("array<string>")
+    entry = evidence_entry(F.col("provision_id"), F.coalesce("document", F.lit("")), F.coalesce("article_title", F.lit("")), F.col("text"), F.coalesce("cited_articles", none), F.coalesce("referenced_annexes", none))
+    own = rows.where("provision_id IS NOT NULL").select(key, "pos", F.coalesce("score", F.lit(0.0)).alias("score"), entry.alias("entry"))
+    kept = within_budget(own, [key], [F.desc("score"), F.col("pos")], F.length("entry"), most, True)
+    texts = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "entry"))), lambda x: x["entry"]), "\n").alias("bundle"))
+    return rows.select(key).distinct().join(texts, key, "left").withColumn("bundle", F.coalesce("bundle", F.lit(NOTHING)))
 
 
 def trim_history(messages: DataFrame, most: int = 16_000) -> DataFrame:

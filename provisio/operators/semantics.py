@@ -72,6 +72,12 @@ def annexes(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_type = 'annex'").select("doc_id", "id", "number", "title", "text")
 
 
+def first_and_last(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key with the first and the last value by order: what a lookup finds that stops at the first match, and one that lets later entries win."""
+    kind = value.removesuffix("_id")
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(f"first_{kind}"), F.max_by(value, order).alias(f"last_{kind}"))
+
+
 def _placed(pattern: int):
     return lambda x, i: F.struct(F.lit(pattern).alias("pattern"), i.alias("pos"), x["term"].alias("term"), x["body"].alias("body"))
 
