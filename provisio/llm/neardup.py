@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, release, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, bounded_batches, drop_staged, keep_members, member_filter, mix, released, slices, span_hashes, spans, staged, utf8
 
 #: Two collections of SIDE sketches of HASHES minhashes each give SIDE * SIDE tables from 2 * SIDE * HASHES minhashes. A pair of
 #: similarity s shares no key with probability below 2 * (1 - s ** HASHES) ** SIDE: 5.6e-4 at 0.8, 3e-6 at 0.9.
@@ -81,7 +81,6 @@ def signatures(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str =
     """doc_id, n_shingles, p1 and p2 (two hashes of the whole set), sketches and parities of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 value, count = shingles(*utf8(part.column("_text")), words)
@@ -98,7 +97,7 @@ def signatures(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str =
                     names=["doc_id", "n_shingles", "p1", "p2", "sketches", "parities"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, sketches array<long>, parities array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(released(run), "doc_id long, n_shingles long, p1 long, p2 long, sketches array<long>, parities array<long>")
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
@@ -134,7 +133,6 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         centre, of = None, np.zeros(0, np.uint64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -154,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
                     at += 1
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    out = staged(both.mapInArrow(run, "a long, b long"), "links")
+    out = staged(both.mapInArrow(released(run), "a long, b long"), "links")
     drop_staged(texts)
     return out
 
@@ -169,7 +167,7 @@ def rare_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 value, count = shingles(*utf8(part.column("text")), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(value.view(np.int64))], names=["doc_id", "shingle"])
 
-    rows = staged(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long"), "shingles")
+    rows = staged(texts.select("doc_id", "text").mapInArrow(released(run), "doc_id long, shingle long"), "shingles")
     few = rows.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     out = staged(rows.join(few, "shingle"), "rare")
     drop_staged(rows)
@@ -220,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     sizes and parities rule out pairs that cannot have the similarity. Documents without words are linked with nothing. Repeated rows of a doc_id count as one document whose text is any
     one of them; a null doc_id is left out.
     """
-    docs = bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
+    docs = bounded_batches(docs, 500).select("doc_id", "text").where("doc_id IS NOT NULL")
     sign = staged(signatures(docs, words), "signatures")
     # one representative of each set
     content = ["p1", "p2", "n_shingles"]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, drop_staged, gathered, release, slices, span_hashes, spans, staged, utf8
+from .common import LOWER, SPACE, bounded_batches, drop_staged, gathered, release, released, slices, span_hashes, spans, staged, utf8
 from .quality import fold
 
 #: Longest context in bytes. A gram (context and next symbol) is a number in base 256; of seven bytes, it fits in a long.
@@ -85,7 +85,6 @@ def seen_grams(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         held: list[pa.Table] = []
         size, now = 0, None
 
@@ -116,7 +115,7 @@ def seen_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from out(now)
 
-    return docs.select("_chunk", "text").mapInArrow(run, "_chunk long, gram long, n long")
+    return docs.select("_chunk", "text").mapInArrow(released(run), "_chunk long, gram long, n long")
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -353,8 +352,6 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
         tree = spark.sparkContext.broadcast(collected(share, back))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
-
             def values(gram: np.ndarray) -> np.ndarray:
                 order = np.argsort(gram)
                 out = np.empty(len(gram))
@@ -365,7 +362,7 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
                 for part in slices(batch, "text", 2 * SCORE_BYTES):
                     yield scored_part(part, values)
 
-        scored = docs.select("doc_id", "_row", "text").mapInArrow(run, schema)
+        scored = docs.select("doc_id", "_row", "text").mapInArrow(released(run), schema)
     else:
         # the tree follows the corpus: each distinct gram of a chunk of documents gets its value by joins, and meets its documents again
         texts = staged(docs.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "texts")  # so that a chunk holds the same documents whenever it is read
