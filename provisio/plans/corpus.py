@@ -43,6 +43,24 @@ def statutory_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("ORD"), F.col("o_orderkey").cast("string")).alias("short_name"), text.alias("text"))
 
 
+#: Shapes that varied_corpus deals out: headings (with what stands below), words of domains, verbs, supplements.
+HEADINGS = ("Article 1\nScope", "Art. 1 Scope", "Section 1\nScope", "Sec. 1 Scope", "Clause 1\nScope", "Clause 1 Scope")
+SUBJECTS = ("medical goods", "personal data", "artificial intelligence", "patent files", "securities", "fees", "goods")
+VERBS = ("shall", "must", "may not")
+SUPPLEMENTS = ("ANNEX IV", "SCHEDULE A", "EXHIBIT 2", "APPENDIX C", "")
+
+
+def varied_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, short_name, text: an act for each part, with another heading, subject, verb, qualification and supplement from act to act."""
+    (part,) = tables(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), F.pmod(k, F.lit(len(words))).cast("int"))
+    body = F.concat(F.lit("Quality Auditor "), pick(VERBS), F.lit(" inspect all "), pick(SUBJECTS), F.lit(" of "), "p_brand", F.lit("."))
+    rule = F.concat(F.lit("1. Records are kept "), pick(segment.QUALIFIERS), F.lit(" by law."))
+    supplement = F.when(pick(SUPPLEMENTS) != "", F.concat(pick(SUPPLEMENTS), F.lit("\nLists\nA list of parts.")))
+    return part.select(k.alias("doc_id"), F.concat(F.lit("P"), k.cast("string")).alias("short_name"), F.concat_ws("\n", F.lit("Page 1 of 3"), pick(HEADINGS), body, rule, supplement).alias("text"))
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, label) and edges of regions, nations, customers, orders and line items."""
     region, nation, customer, orders, lineitem = tables(spark, sf_dir, "region", "nation", "customer", "orders", "lineitem")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provisio.operators import changes, evidence, graph, metadata, reads, search, semantics
+from provisio.functions.tables import written
+from provisio.operators import changes, evidence, graph, metadata, reads, search, segment, semantics
 from provisio.plans import updates
-from provisio.plans.corpus import order_lines, tables
+from provisio.plans.corpus import SUBJECTS, SUPPLEMENTS, VERBS, order_lines, tables, varied_corpus
 from provisio.plans.provisions import SCHEMAS, empty_tables, order_provisions
 from provisio.queries import LINES, SCORES, _chunks, query
 
@@ -296,7 +297,7 @@ def _(spark, d):
 
 @query(
     "sem_terms_longest_first",
-    f"SELECT l_orderkey AS doc_id, p_name AS term, row_number() OVER (PARTITION BY l_orderkey ORDER BY length(p_name) DESC, k) - 1 AS rank FROM (SELECT l_orderkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)) QUALIFY row_number() OVER (PARTITION BY l_orderkey, p_name ORDER BY k) = 1",
+    "SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, k) - 1 AS rank FROM (SELECT l_orderkey AS doc_id, p_name AS term, min(l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)",
 )
 def _(spark, d):
     terms = semantics.definitions(_chunks(spark, d))
@@ -308,3 +309,43 @@ def _(spark, d):
 def _(spark, d):
     return semantics.first_and_last(semantics.definitions(_chunks(spark, d)), "term_id", "article_id", "ord")
 
+
+
+# --- acts of many shapes ---------------------------------------------------------------------------------------------------------
+def _pick(words) -> str:
+    return f"[{', '.join(f"'{w}'" for w in words)}][p_partkey % {len(words)} + 1]"
+
+
+VARIED = f"""(SELECT p_partkey AS k, 'P' || p_partkey AS sn, 'Quality Auditor ' || {_pick(VERBS)} || ' inspect all ' || {_pick(SUBJECTS)} || ' of ' || p_brand || '.' AS body, 'Records are kept ' || {_pick(segment.QUALIFIERS)} || ' by law.' AS rule, {_pick(SUPPLEMENTS)} AS extra FROM part)"""
+
+
+def _varied(spark, d):
+    return written(segment.chunks(varied_corpus(spark, d)), "varied")
+
+
+@query(
+    "varied_chunks",
+    f"""WITH c AS (SELECT sn || ':art:1' AS id, 'article' AS chunk_type, 'Scope' AS title, 'Scope' || chr(10) || chr(10) || body || chr(10) || chr(10) || '1. ' || rule AS text FROM {VARIED} UNION ALL SELECT sn || ':art:1:para:1', 'paragraph', 'Paragraph 1', rule FROM {VARIED}
+            UNION ALL SELECT sn || ':annex:' || string_split(extra, ' ')[2], 'annex', 'Lists', 'A list of parts.' FROM {VARIED} WHERE extra <> '')
+        SELECT id, chunk_type, title, text, array_to_string(list_filter([{', '.join(f"'{q}'" for q in segment.QUALIFIERS)}], lambda x: contains(lower(text), x)), ',') AS terms FROM c""",
+)
+def _(spark, d):
+    return _varied(spark, d).select("id", "chunk_type", "title", "text", F.array_join("qualification_terms", ",").alias("terms"))
+
+
+@query("varied_domains", "SELECT p_partkey AS doc_id, ['Medical & Healthcare Regulation', 'Data Protection & Privacy', 'Artificial Intelligence & Technology Regulation', 'Intellectual Property Law', 'Financial & Securities Regulation', 'Commercial Contract / Licensing', 'General Statutory / Regulatory Law'][p_partkey % 7 + 1] AS domain FROM part")
+def _(spark, d):
+    return semantics.domains(_varied(spark, d))
+
+
+@query("varied_roles", "SELECT p_partkey AS doc_id, 'role:scope_quality_auditor' AS role_id, 'Scope' || chr(10) || chr(10) || 'Quality Auditor' AS name, 7::BIGINT AS rank FROM part")
+def _(spark, d):
+    return semantics.roles(_varied(spark, d)).where("rank >= 7").select("doc_id", "role_id", "name", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "varied_first_obligations",
+    f"SELECT sn || ':art:1' AS article_id, sn || ':art:1:obl:1' AS obligation_id, CASE k % 3 WHEN 0 THEN 'shall' WHEN 1 THEN 'must' ELSE 'may' END AS modality, 'Scope' || chr(10) || chr(10) || 'Quality Auditor' AS role, 'Scope' || chr(10) || chr(10) || body AS description FROM {VARIED}",
+)
+def _(spark, d):
+    return semantics.obligations(_varied(spark, d)).where("pos = 0").select("article_id", "obligation_id", "modality", "role", "description")
