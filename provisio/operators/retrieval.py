@@ -68,8 +68,8 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec
 def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, rank (0-based), score: the k nearest vectors of every query (query_id, embedding), itself left out.
 
-    Queries go block by block, QUERY_BLOCK at a time; a task multiplies its vectors with the block and keeps k a query, so what is
-    shuffled is k rows a query and task.
+    For a stated set of queries, not for all vectors against all. Queries go block by block, QUERY_BLOCK at a time; a task multiplies its
+    vectors with the block and keeps k a query, so what is shuffled is k rows a query and task.
     """
     spark, out = vectors.sparkSession, None
     numbered = queries.select("query_id", "embedding")

@@ -81,11 +81,11 @@ def _(spark, d):
 
 @query(
     "vector_topk_batch",
-    f"SELECT query_id, vec_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {SCORES} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank < 5",
+    f"SELECT query_id, vec_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {SCORES} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)) WHERE rank < 5",
 )
 def _(spark, d):
     (vectors,) = tables(spark, d, "embeddings")
-    return retrieval.vector_top_k_batch(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    return retrieval.vector_top_k_batch(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
 @query(
