@@ -125,10 +125,14 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
     """A vector for a text without any model: each word adds or subtracts one at a place by its hash; unit length, all 0 without words. The default where no
     embedding function is plugged in (Column to Column, such as an Arrow batch function)."""
     h = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    sums = F.aggregate(h, zero, lambda a, x: F.zip_with(a, F.sequence(F.lit(0), F.lit(size - 1)), lambda v, i: v + F.when(i == x % size, F.when(F.floor(x / size) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(norm(sums) > 0, x / norm(sums)).otherwise(0.0))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    # the vector and its norm are bound once, as the elements of arrays of one
+    one = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    sign = lambda x: F.when(F.floor(x / size) % 2 == 0, 1.0).otherwise(-1.0)
+    sums = lambda words: F.transform(places, lambda i: F.aggregate(F.filter(words, lambda x: x % size == i), F.lit(0.0), lambda a, x: a + sign(x)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda v: one(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return one(h, lambda words: one(sums(words), unit))
 
 
 def upsert_vectors(nodes: DataFrame, texts: DataFrame, embed=hash_embedding) -> DataFrame:
