@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gathered, release, slices
+from .common import bounded_batches, gathered, released, slices
 
 #: Texts of about so many bytes share one index; it bounds a task's memory, and a longer text has an index of its own.
-REPLAY_BYTES = 4 << 20
+REPLAY_BYTES = 2 << 20
 NO_RANK = np.int64(1) << 40
 
 
@@ -182,7 +182,6 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         encoder = Encoder(shared.value)
         for batch in gathered(batches, "_text", REPLAY_BYTES):
             for part in slices(batch, "_text", 2 * REPLAY_BYTES):
@@ -198,7 +197,7 @@ def encode(docs: DataFrame, voc: Vocabulary, key: str = "doc_id", text: str = "t
                     cols += [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 
-    return bounded_batches(docs).select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(key), F.col(text).alias("_text")).mapInArrow(released(run), schema)
 
 
 def public_vocabulary() -> Vocabulary:

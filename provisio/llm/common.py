@@ -59,7 +59,7 @@ def released(run):
         for k, out in enumerate(run(batches), 1):
             yield out
             del out
-            if k % 32 == 0:
+            if k % 16 == 0:
                 release()
         release()
 

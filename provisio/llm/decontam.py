@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, mix, release, slices, span_hashes, spans, utf8
+from .common import LOWER, SPACE, bounded_batches, mix, released, slices, span_hashes, spans, utf8
 
 K1, B, THRESHOLD = 1.2, 0.75, 0.5
 #: Words a gram; share of an item's words, and of its question's and its answer's, that must be found in the passage.
@@ -328,7 +328,6 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)  # INDEX_BYTES of items, whatever the size of the corpus
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
             for batch in batches:
                 for part in slices(batch, "text"):
                     rows = find(shared.value, part.column("text"))
@@ -338,7 +337,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word"],
                     )
 
-        found = bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
+        found = bounded_batches(docs).select("doc_id", "text").mapInArrow(released(run), schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -349,14 +348,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
                     keep[[r[0] for r in find(shared.value, part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(released(run), docs.schema)
     return docs
 
 
