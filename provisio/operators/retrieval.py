@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provisio.functions.tables import written
 from provisio.functions.text import cosine, strip
 
 K1, B, RRF_CONSTANT, VECTOR_WEIGHT = 1.2, 0.75, 60, 0.3
@@ -104,32 +105,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, token, tf, dl: one row for each distinct token of a document; counted in the row, so nothing is shuffled."""
-    t = docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    return t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
-
-
-def _count(word: str) -> Column:
-    return F.size(F.filter("_t", lambda x: x == word))
+def _frequency(t: Column, term: str) -> Column:
+    """How often a word or phrase stands among tokens."""
+    words = term.lower().strip('"').split()
+    if len(words) == 1:
+        return F.size(F.filter(t, lambda x: x == words[0]))
+    phrase, padded = " ".join(words), F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    return ((F.length(padded) - F.length(F.replace(padded, F.lit(f" {phrase} "), F.lit(" ")))) / (len(phrase) + 1)).cast("int")
 
 
 def bm25(docs: DataFrame, terms: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score over the words and quoted phrases in terms (with boosts).
 
-    Only counts of the query's terms are made, row by row; the documents are read twice and never shuffled.
+    For texts without a stored index: each text is read and split once, its counts of the query's terms are kept as a table, and nothing is shuffled.
     """
-    t = docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    padded = F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))
-    cols = []
-    for i, term in enumerate(terms):
-        words = term.lower().strip('"').split()
-        if len(words) == 1:
-            cols.append(_count(words[0]).alias(f"tf{i}"))
-        else:
-            phrase = " ".join(words)
-            cols.append(((F.length(F.col("_p")) - F.length(F.replace(F.col("_p"), F.lit(f" {phrase} "), F.lit(" ")))) / (len(phrase) + 1)).cast("int").alias(f"tf{i}"))
-    counts = t.withColumn("_p", padded).select(key, F.size("_t").alias("dl"), *cols)
+    count = lambda t: F.struct(F.size(t).alias("dl"), *[_frequency(t, term).alias(f"tf{i}") for i, term in enumerate(terms)])
+    # tokens are bound once, as the only element of an array
+    bound = F.get(F.transform(F.array(tokens(F.coalesce(F.col(text), F.lit("")))), count), F.lit(0))
+    counts = written(docs.select(F.col(key), bound.alias("_c")).select(key, "_c.*"), "counts")
     total = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, boost in enumerate(terms.values()):
