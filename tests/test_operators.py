@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions.text import content_hash, cosine, slug
 from provisio.operators import changes, evidence, graph, metadata, retrieval
+from provisio.plans.corpus import ingest
 from provisio.sources import documents
 from provisio.streaming.ingest import event_windows, read_manifest, stream_ingest
 
@@ -93,6 +94,13 @@ def test_streaming(spark, tmp_path):
     assert {(r.filename, r.status) for r in read_manifest(spark, manifest).collect()} == {("one.txt", "new_document"), ("empty.txt", "error"), ("copy.txt", "identical")}
 
 
+def test_equal_files_of_one_batch(spark):
+    files = spark.createDataFrame([("b.txt", "A statute about things", "h"), ("a.txt", "A statute about things", "h"), ("c.txt", " ", "e"), ("d.txt", "", "e")], "filename string, text string, content_hash string")
+    stored = spark.createDataFrame([], "short_name string, content_hash string")
+    got = {r.filename: r.status for r in ingest(stored, files).collect()}
+    assert got == {"a.txt": "new_document", "b.txt": "identical", "c.txt": "error", "d.txt": "error"}
+
+
 def test_windows_on_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
