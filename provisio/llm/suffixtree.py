@@ -24,8 +24,8 @@ DIVERGENCE = 6.0
 #: Additive weight with which a suffix's distribution smooths a context's own counts.
 PRIOR = 4.0
 #: A tree of at most so many grams (12 bytes each) is broadcast; a larger one is joined to the distinct grams of chunks of documents, with the
-#: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition.
-MODEL_GRAMS, CHUNK_BITS = 8_000_000, 13
+#: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition; a text over LONG_BYTES is a chunk of its own, so a chunk has 128 MB or is one text.
+MODEL_GRAMS, CHUNK_BITS, LONG_BYTES = 8_000_000, 11, 1 << 16
 #: Bytes of text that are scored at a time.
 SCORE_BYTES = 2 << 20
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
@@ -365,7 +365,8 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
         scored = docs.select("doc_id", "_row", "text").mapInArrow(released(run), schema)
     else:
         # the tree follows the corpus: each distinct gram of a chunk of documents gets its value by joins, and meets its documents again
-        texts = staged(docs.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "texts")  # so that a chunk holds the same documents whenever it is read
+        chunk = F.when(F.octet_length("text") > LONG_BYTES, -1 - F.col("_id")).otherwise(F.shiftright("_id", CHUNK_BITS))
+        texts = staged(docs.withColumn("_id", F.monotonically_increasing_id()).withColumn("_chunk", chunk).drop("_id"), "texts")  # so that a chunk holds the same documents whenever it is read
         seen = staged(seen_grams(texts).select("_chunk", "gram").distinct(), "seen")
         values_of = staged(joined_values(seen.select("gram").distinct(), share, back), "values")
 

@@ -59,6 +59,7 @@ def suffixtree_fold(i):
 def test_scores_equal_brute_force(docs, monkeypatch, most):
     """By broadcast and by joins; texts of the held-out fold, bytes over 127 and repeated rows among them."""
     monkeypatch.setattr(suffixtree, "MODEL_GRAMS", most)
+    monkeypatch.setattr(suffixtree, "LONG_BYTES", 100)
     want, contexts = brute_force()
     rows = suffixtree.score(docs).collect()
     assert contexts > 30 and len(rows) == len(TEXTS) + 1
