@@ -59,6 +59,34 @@ def reachable(edges: DataFrame, roots: DataFrame, skip: tuple[str, ...] = ()) ->
         seen = seen.union(frontier)
 
 
+def reach_pairs(edges: DataFrame, roots: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
+    """root, id, hops (the fewest) of all nodes on directed paths from each of the roots (id), itself with 0, at any depth; relations: only these are followed.
+
+    Each step joins the pairs found last with the edges, so a node that many roots reach is told for each of them; cycles end because pairs that are known are left out.
+    """
+    step = (edges.where(F.col("rel_type").isin(*relations)) if relations else edges).select("src_id", "dst_id")
+    frontier = seen = written(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct(), "pairs")
+    while True:
+        next_ = frontier.join(step, F.col("id") == F.col("src_id")).select("root", F.col("dst_id").alias("id"), (F.col("hops") + 1).alias("hops")).distinct()
+        frontier = written(next_.join(seen.select("root", "id"), ["root", "id"], "left_anti"), "pairs")
+        if not frontier.limit(1).count():
+            return seen
+        seen = seen.union(frontier)
+
+
+def exclusive_reach(edges: DataFrame, roots: DataFrame, chosen: DataFrame) -> DataFrame:
+    """id of the chosen roots and of what is reachable from them, but for other roots and for what a node outside, or another root, leads to.
+
+    Only what the chosen ones reach is walked: whatever else leads into it does so by an edge from outside, and what such an edge leads to stays, with all below it.
+    """
+    mine = written(chosen.select("id").distinct(), "chosen")
+    all_ = written(reachable(edges, mine), "within")
+    own = edges.join(mine, F.col("src_id") == F.col("id"), "left_anti")
+    entered = own.join(all_, F.col("dst_id") == F.col("id"), "left_semi").join(all_, F.col("src_id") == F.col("id"), "left_anti").select(F.col("dst_id").alias("id"))
+    kept = entered.union(roots.select("id").join(all_, "id", "left_semi")).join(mine, "id", "left_anti")
+    return all_.join(reachable(own, kept), "id", "left_anti").union(mine).distinct()
+
+
 def cascade_delete(nodes: DataFrame, edges: DataFrame, roots: DataFrame, skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges that stay, and the ids that go: everything reachable from the roots."""
     gone = reachable(edges, roots, skip)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.text import optional_equal
+from provisio.operators.graph import reach_pairs
 
 #: Labels that count as provisions, and relations from a parent to its provisions.
 PROVISION_LABELS = ("Article", "Section", "Provision", "Recital", "Annex")
@@ -91,12 +92,9 @@ def context(graph: dict[str, DataFrame]) -> DataFrame:
 
 
 def document_articles(graph: dict[str, DataFrame]) -> DataFrame:
-    """document_id, rank, id, number: a document's articles, directly or below chapters, by number as text ('10' before '2')."""
-    e = graph["edges"].where(F.col("rel_type").isin("HAS_ARTICLE", "CONTAINS", "HAS_CHAPTER")).select("src_id", "dst_id")
-    docs = graph["Document"].select(F.col("id").alias("document_id"))
-    one = docs.join(e, F.col("document_id") == F.col("src_id")).select("document_id", F.col("dst_id").alias("id"))
-    two = one.withColumnRenamed("id", "src_id").join(e, "src_id").select("document_id", F.col("dst_id").alias("id"))
-    found = one.union(two).distinct().join(graph["Article"].select("id", "number"), "id")
+    """document_id, rank, id, number: a document's articles, directly or below chapters and containers at any depth, by number as text ('10' before '2')."""
+    pairs = reach_pairs(graph["edges"], graph["Document"], ("HAS_ARTICLE", "CONTAINS", "HAS_CHAPTER"))
+    found = pairs.select(F.col("root").alias("document_id"), "id").join(graph["Article"].select("id", "number"), "id")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("number", "id")) - 1).select("document_id", "rank", "id", "number")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,38 +67,51 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec
     return vectors.select(key, cosine("embedding", F.array(*[F.lit(float(x)) for x in query])).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """query_id, key, rank (0-based), score: the k nearest vectors of every query (query_id, embedding), itself left out.
+def _least_keys(score: np.ndarray, n: int, order: np.ndarray) -> np.ndarray:
+    """Columns of the n best scores of each row; of equal ones those that come first in order."""
+    score = score[:, order]
+    least = np.partition(score, score.shape[1] - n, axis=1)[:, [score.shape[1] - n]]
+    over, equal = score > least, score == least
+    keep = over | (equal & (np.cumsum(equal, axis=1) <= n - over.sum(1, keepdims=True)))
+    return order[np.nonzero(keep)[1].reshape(len(score), n)]
+
+
+def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", question: str = "query_id") -> DataFrame:
+    """question, key, rank (0-based), score: the k nearest vectors of every query (question, embedding); where keys are numbers, the vector of the query's own number is left out.
 
     For a stated set of queries, not for all vectors against all. Queries go block by block, QUERY_BLOCK at a time; a task multiplies its
     vectors with the block and keeps k a query, so what is shuffled is k rows a query and task.
     """
     spark, out = vectors.sparkSession, None
-    numbered = queries.select("query_id", "embedding")
+    numbered = queries.select(F.col(question).cast("long").alias(question), "embedding")
+    named = dict(vectors.dtypes)[key] == "string"
     blocks = -(-numbered.count() // QUERY_BLOCK)
     for b in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK
-        ids = np.array([r["query_id"] for r in rows], np.int64)
+        rows = numbered.where(F.pmod(F.xxhash64(question), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK
+        ids = np.array([r[question] for r in rows], np.int64)
         q = np.array([r["embedding"] for r in rows], np.float64)
         shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                if not batch.num_rows:
+                m = batch.num_rows
+                if not m or not len(ids):
                     continue
-                own = np.asarray(batch.column(0), np.int64)
-                v = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(own), -1)
+                v = np.asarray(batch.column(1).flatten(), np.float64).reshape(m, -1)
                 score = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                score[ids[:, None] == own] = -2
-                n = min(k, len(own))
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                if not named:
+                    score[ids[:, None] == np.asarray(batch.column(0), np.int64)] = -2
+                n = min(k, m)
+                best = _least_keys(score, n, np.asarray(pc.sort_indices(batch.column(0)))) if named else np.argpartition(-score, n - 1, axis=1)[:, :n]
                 who = np.repeat(np.arange(len(ids)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(own[best.ravel()]), pa.array(score[who, best.ravel()])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), batch.column(0).take(pa.array(best.ravel())), pa.array(score[who, best.ravel()])], names=[question, key, "score"])
 
-        part = vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"query_id long, {key} long, score double")
+        part = vectors.select(F.col(key).cast("string" if named else "long").alias(key), "embedding").mapInArrow(run, f"{question} long, {key} {'string' if named else 'long'}, score double")
         out = part if out is None else out.union(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    if out is None:
+        return spark.createDataFrame([], f"{question} long, {key} {'string' if named else 'long'}, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("score"), key))
     return out.where("score >= -1.5").withColumn("rank", rank - 1).where(F.col("rank") < k)
 
 

@@ -130,10 +130,10 @@ def _suffix(low: Column, k: Column) -> Column:
     )
 
 
-def obligations(chunks: DataFrame) -> DataFrame:
+def obligations(chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id, article_id, obligation_id, modality, description, role: sentences of articles that oblige, permit or exempt.
 
-    role is the first of the document's roles whose name stands in the sentence. Only documents with obligations meet their roles,
+    role is the first of the document's roles (found, where they are at hand) whose name stands in the sentence. Only documents with obligations meet their roles,
     joined on the document.
     """
     sentences = chunks.where("chunk_type = 'article'").select("doc_id", "short_name", "ord", F.col("id").alias("article_id"), "number", F.posexplode(F.split("text", r"(?<=[.!?])(?U)\s+")).alias("pos", "raw"))
@@ -144,6 +144,6 @@ def obligations(chunks: DataFrame) -> DataFrame:
     own = said.withColumn("k", k).select(
         "doc_id", "ord", "pos", "article_id", F.concat("short_name", F.lit(":art:"), slug("number"), F.lit(":"), _suffix(low, F.col("k"))).alias("obligation_id"), modality.alias("modality"), F.substring("s", 1, 500).alias("description"), "low"
     )
-    names = roles(chunks).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("roles"))
+    names = (roles(chunks) if found is None else found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("roles"))
     hit = F.get(F.filter("roles", lambda r: low.contains(F.lower(r["name"]))), F.lit(0))
     return own.join(names, "doc_id", "left").withColumn("role", hit["name"]).drop("low", "roles")
