@@ -1,4 +1,4 @@
-"""Streaming ingest: a file stream over the landing folder; each micro-batch is compared with the manifest and merged."""
+"""Streaming ingest: a file stream over the landing folder; each micro-batch becomes one version of the store."""
 
 from __future__ import annotations
 
@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from provisio.plans.corpus import ingest
+from provisio.plans.typed import ingest_files
 from provisio.sources.documents import decoded
+from provisio.sources.store import GraphStore
 
-MANIFEST = "filename string, short_name string, title string, document_type string, content_hash string, status string, batch long"
+#: Files of one micro-batch.
+BATCH_FILES = 10_000
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest so far: one part a micro-batch, so that a replayed batch overwrites its own part."""
-    return spark.read.option("mergeSchema", "false").schema(MANIFEST).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+def read_manifest(spark: SparkSession, store: str) -> DataFrame:
+    """filename, content_hash, document_id, status, message, counts and batch of every file taken in so far."""
+    return GraphStore(spark, store).table("Ingested")
 
 
-def stream_ingest(spark: SparkSession, landing: str, manifest: str, checkpoint: str) -> StreamingQuery:
-    """Take in text files that are new in landing, then stop. A batch's part of the manifest is written once, by number, so replays change nothing."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(landing)
-    empty = spark.createDataFrame([], MANIFEST)
-    empty.write.mode("append").parquet(f"{manifest}/batch=none")
+def stream_ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, name: str = "landing") -> StreamingQuery:
+    """Take in text files that are new in landing, then stop.
+
+    A micro-batch is one commit of all tables, what became of its files included, under the name and number of the batch: one that is replayed after a failure, before or after
+    its commit, changes nothing twice. What is known of hashes and names is read from the buckets of the batch's files, not from all files so far.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", BATCH_FILES).load(landing)
 
     def take(batch: DataFrame, number: int) -> None:
         new = batch.select(F.element_at(F.split("path", "/"), -1).alias("filename"), decoded("content").alias("text"), F.sha2("content", 256).alias("content_hash"))
-        stored = read_manifest(spark, manifest).where((F.col("batch") != number) & (F.col("status") != "error"))
-        out = ingest(stored.select("short_name", "content_hash"), new)
-        out.select("filename", "short_name", "title", "document_type", "content_hash", "status", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{manifest}/batch={number}")
+        ingest_files(GraphStore(spark, store), new, (name, number))
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
