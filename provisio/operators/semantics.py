@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,7 @@ NO_ROLE = (
 #: Substrings of sentences that oblige, and articles that define.
 MODALS = ("shall", "must", "is liable", "jointly and severally", "shall not", "may not", "exempt", "derogation", "statement referred to")
 DEFINING_NUMBERS = ("1", "2", "3", "101")
+#: Types that a document's ontology names; sets, so without order.
 NODE_TYPES = ("Annex", "ActorRole", "DefinedTerm", "Document", "Obligation", "Paragraph", "Provision")
 RELATION_TYPES = ("APPLIES_TO", "DEFINES", "HAS_PARAGRAPH", "HAS_PROVISION", "IMPOSES", "REFERENCES_ANNEX", "USES_TERM")
 
@@ -96,10 +101,47 @@ def definitions(chunks: DataFrame) -> DataFrame:
     return terms.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", "article_id", F.concat("short_name", F.lit(":term:"), slug("term")).alias("term_id"), "term", "normalized_term", "definition", "ord", "pattern", "pos")
 
 
+#: Paragraphs, and terms, of a document that one comparison takes together.
+PARAGRAPH_BLOCK, TERM_BLOCK = 256, 20_000
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """paragraph and term, by their places in their blocks, of each block pair: one automaton of the terms reads each paragraph once."""
+    last, automaton = None, None
+    for batch in batches:
+        for row, (paragraphs, terms, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("texts", "terms", "key")), strict=True)):
+            if key != last:
+                last, automaton, whole = key, ahocorasick.Automaton(), []
+                for k, t in enumerate(terms):
+                    if t:
+                        automaton.add_word(t, (*automaton.get(t, ()), k))
+                    else:
+                        whole.append(k)  # the empty text stands in every other
+                automaton.make_automaton()
+            at, which = [], []
+            for i, text in enumerate(paragraphs):
+                hit = {k for _, found in automaton.iter(text) for k in found} if len(automaton) and text else set()
+                hit.update(whole)
+                at += [i] * len(hit)
+                which += sorted(hit)
+            if at:
+                ids, names, ords = (batch.column(c)[row].values for c in ("ids", "term_ids", "ords"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, 1).take(pa.array([0] * len(at))), ords.take(pa.array(at)), ids.take(pa.array(at)), names.take(pa.array(which))], names=["doc_id", "ord", "paragraph_id", "term_id"])
+
+
 def uses_term(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, paragraph_id, term_id for each term of the document that a paragraph contains; an equi-join on the document, then the substring test."""
-    paragraphs = chunks.where("chunk_type = 'paragraph'").select("doc_id", "ord", F.col("id").alias("paragraph_id"), F.lower("text").alias("_t"))
-    return paragraphs.join(terms.select("doc_id", "term_id", "normalized_term"), "doc_id").where(F.col("_t").contains(F.col("normalized_term"))).select("doc_id", "ord", "paragraph_id", "term_id")
+    """doc_id, ord, paragraph_id, term_id for each term of the document that a paragraph contains.
+
+    Paragraphs and terms of a document meet in blocks of bounded size, and each block of terms is an automaton that reads a paragraph once, however many terms it has.
+    """
+    number = lambda size, *by: F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy(*by)) - 1) / size)
+    paragraphs = chunks.where("chunk_type = 'paragraph'").select("doc_id", "ord", F.col("id").alias("paragraph_id"), F.lower("text").alias("t"))
+    texts = paragraphs.withColumn("block", number(PARAGRAPH_BLOCK, "ord")).groupBy("doc_id", "block").agg(F.collect_list(F.struct("ord", "paragraph_id", "t")).alias("p"))
+    words = terms.withColumn("part", number(TERM_BLOCK, "term_id", "normalized_term")).groupBy("doc_id", "part").agg(F.collect_list(F.struct("term_id", F.col("normalized_term").alias("t"))).alias("w"))
+    pairs = texts.join(words, "doc_id").select("doc_id", "p.ord", "p.paragraph_id", "p.t", "w.term_id", F.col("w.t").alias("terms"), F.concat_ws(":", "doc_id", "part").alias("key"))
+    kind = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    chunks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row has two blocks
+    return pairs.toDF("doc_id", "ords", "ids", "texts", "term_ids", "terms", "key").mapInArrow(_found, f"doc_id {kind['doc_id']}, ord {kind['ord']}, paragraph_id string, term_id string")
 
 
 def roles(chunks: DataFrame) -> DataFrame:
