@@ -6,6 +6,7 @@ a menu, an advert's box and a footer have other words on each page, but the same
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from .common import bounded_batches, staged
 #: Fixed values of HTML: elements without content, with raw content, that never hold visible text, and that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template".split())
-HIDDEN = frozenset("head script style title noscript iframe noframes noembed template svg canvas object audio video map select option datalist button input textarea label form dialog".split())
+HIDDEN = frozenset("head script style title noscript iframe noframes noembed template svg canvas object audio video map select option datalist button input textarea form dialog".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Page furniture by element, by role and by a word of class or id.
 FURNITURE = frozenset("nav header footer aside menu".split())
@@ -41,38 +42,57 @@ LEAST_PAGES = 5
 #: A table of so many templates is broadcast (16 bytes each, and the hosts' names); a larger one is joined to the pages, with the same results.
 BROADCAST_TEMPLATES = 500_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
+#: One attribute by the standard's states: quotes open a value only after the equals sign; elsewhere they belong to the name or to the bare value.
+_ATTRIBUTE = r"(?>=[^\s/>=]*+|[^\s/>=]++)(?>\s*+=\s*+(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?")
+READ = frozenset("class id role hidden aria-hidden style".split())
+SOME_READ = re.compile("class|id|role|hidden|style", re.I)
 WORDS = re.compile(r"[a-z]+")
 WHITE = re.compile(r"\s+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 DIGITS = re.compile(r"[0-9]+")
 
 
+#: Last words of a class or id that is one of reader comments, and words before them that say something else.
+COMMENT_WORD = frozenset("comment comments commentlist".split())
+NO_COMMENT = frozenset("has with no without show hide".split())
+#: Headings under which other articles are announced.
+TEASER = re.compile(r"\W*(?:related|more|read more|read next|read also|see also|recommended|you (?:may|might) also like|also on|most read|popular|trending|latest)\b", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where a label is part of the text and no control's.
+PROSE = frozenset("p li td th dd dt blockquote figcaption pre h1 h2 h3 h4 h5 h6".split())
+
+
 class Element:
-    """One element: tag, furniture or not, name (tag, class, id and role), children (elements and strings), and its subtree's hashes."""
+    """One element: tag, furniture or not (by its class or id alone, where by_name), name (tag, class, id and role), children (elements and strings), and its subtree's hashes."""
+
+    __slots__ = ("by_name", "children", "digest", "frame", "name", "out", "tag")
+
+    def __init__(self, tag: str, out: bool, name: str = "", by_name: bool = False):
+        self.tag, self.out, self.name, self.by_name, self.children, self.digest, self.frame = tag, out, name or tag, by_name, [], 0, 0
 
-    __slots__ = ("children", "digest", "frame", "name", "out", "tag")
 
-    def __init__(self, tag: str, out: bool, name: str = ""):
-        self.tag, self.out, self.name, self.children, self.digest, self.frame = tag, out, name or tag, [], 0, 0
+def _comments(words: list[str]) -> bool:
+    return bool(words) and words[-1] in COMMENT_WORD and NO_COMMENT.isdisjoint(words)
 
 
-def _marked(value: str) -> bool:
-    """Whether a class or id is furniture: one of its parts has a word of furniture and beside it only neutral ones."""
-    for part in value.split():
-        words = WORDS.findall(part)
-        if not FURNITURE_WORD.isdisjoint(words) and all(w in FURNITURE_WORD or w in NEUTRAL_WORD for w in words):
-            return True
-    return False
+def _marked(value: str, every: bool = False) -> bool:
+    """Whether a class or id is furniture: one of its parts (every: each of them) has a word of furniture and beside it only neutral ones; or one ends in comments."""
+    parts = [WORDS.findall(part) for part in value.split()]
+    own = [not FURNITURE_WORD.isdisjoint(words) and all(w in FURNITURE_WORD or w in NEUTRAL_WORD for w in words) for words in parts]
+    return any(map(_comments, parts)) or (all(own) and bool(own) if every else any(own))
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is furniture or hidden, and its name."""
-    out, name = tag in FURNITURE, tag
-    if attributes:
+def _furniture(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """Whether an element is furniture or hidden, its name, and whether it is furniture by class or id alone. Of an attribute that stands twice the first counts."""
+    out, name, by_name, seen = tag in FURNITURE, tag, False, set()
+    if attributes and SOME_READ.search(attributes):
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
+            if key not in READ or key in seen:
+                continue
+            seen.add(key)
             if key in ("class", "id", "role"):
                 name += f" {key}={DIGITS.sub('0', value)}"
             if tag in ("html", "body"):
@@ -83,15 +103,50 @@ def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
                 or key == "aria-hidden" and value == "true"
                 or key == "style" and UNSEEN.search(value) is not None
                 or key == "role" and value in FURNITURE_ROLE
-                or key in ("class", "id") and tag != "main" and _marked(value)
             )
-    return out, name
+            by_name = by_name or key in ("class", "id") and tag != "main" and _marked(value, tag == "article")
+    return out or by_name, name, by_name and not out
+
+
+class _Open:
+    """The open elements, and where in their stack each tag stands, so that no end tag has to look for its element."""
+
+    def __init__(self, root: Element):
+        self.stack, self.at, self.blocks, self.walls = [root], {}, [], []
+
+    def push(self, e: Element) -> None:
+        k = len(self.stack)
+        self.stack.append(e)
+        self.at.setdefault(e.tag, []).append(k)
+        if e.tag in BLOCK:
+            self.blocks.append(k)
+        if e.tag in WALLS:
+            self.walls.append(k)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            e = self.stack.pop()
+            self.at[e.tag].pop()
+            if e.tag in BLOCK:
+                self.blocks.pop()
+            if e.tag in WALLS:
+                self.walls.pop()
+
+    def last(self, tags) -> int:
+        """The place of the last open one of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+#: What an end tag of no block does not close across.
+WALLS = frozenset("article main td th table".split())
 
 
 def parse(page: str) -> Element:
-    """The page's tree. Unclosed elements end where HTML ends them; stray end tags are left out."""
+    """The page's tree, in time that follows its length. Unclosed elements end where HTML ends them; stray end tags are left out."""
     root = Element("", False)
-    stack, at, n = [root], 0, len(page)
+    at, n = 0, len(page)
+    open_ = _Open(root)
+    stack = open_.stack
     while at < n:
         less = page.find("<", at)
         if less < 0:
@@ -112,43 +167,79 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and all(e.tag != tag for e in stack):
-                stack[-1].children.append(Element(tag, False))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "td", "th", "table") and tag not in BLOCK:
-                    break
+            k = open_.last((tag,))
+            if not k:
+                if tag in ("br", "p"):
+                    stack[-1].children.append(Element(tag, False))
+            elif tag in BLOCK or tag in WALLS or not open_.walls or open_.walls[-1] < k:
+                open_.cut(k)
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in ENDS_P and open_.blocks and stack[open_.blocks[-1]].tag == "p":
+            open_.cut(open_.blocks[-1])
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[k].tag in SCOPE[tag]:
+            while (k := open_.last(ENDS[tag])) > open_.last(SCOPE[tag]):
+                open_.cut(k)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
         element = Element(tag, *_furniture(tag, m[3]))
         stack[-1].children.append(element)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = _close(tag).search(page, at)
             at = close.end() if close else n
             continue
-        stack.append(element)
+        if tag == "label" and not (open_.blocks and stack[open_.blocks[-1]].tag in PROSE):
+            element.out = True
+        open_.push(element)
+    settle(root)
     return root
 
 
+@functools.cache
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
+def settle(root: Element) -> None:
+    """What only the whole page tells: a form around an article, or around most of the page's words, is no form; nor is an element with these furniture for a class or id alone,
+    but for reader comments; a header of an article with a heading is its own; articles announced under a heading of related ones go."""
+    order = _post_order(root)
+    size: dict[int, int] = {}
+    holds: set[int] = set()  # has an article or main element in it
+    headed: set[int] = set()  # has a heading in it
+    for e in order:
+        total = 0
+        for c in e.children:
+            if isinstance(c, Element):
+                total += size[id(c)]
+                if c.tag in ("article", "main") or id(c) in holds:
+                    holds.add(id(e))
+                if c.tag in HEADINGS or id(c) in headed:
+                    headed.add(id(e))
+            else:
+                total += len(c) - c.count(" ") - c.count("\n")
+        size[id(e)] = total
+    every = size[id(root)]
+    for e in order:
+        most = 2 * size[id(e)] > every
+        if e.tag == "form" and (id(e) in holds or most):
+            e.tag = "div"
+        elif e.by_name and e.out and most and (id(e) in holds or e.tag == "article") and not _comments(WORDS.findall(e.name)):
+            e.out = False
+        elif e.tag == "article":
+            for c in e.children:
+                if isinstance(c, Element) and c.tag == "header" and not c.by_name and id(c) in headed:
+                    c.tag, c.out = "div", False
+        announced = False
+        for c in e.children:
+            if isinstance(c, Element):
+                if c.tag in HEADINGS and c.tag != "h1":
+                    announced = TEASER.match("".join(x for x in c.children if isinstance(x, str))) is not None
+                elif announced and c.tag == "article" and 2 * size[id(c)] <= every:
+                    c.out = True
+
+
 def _post_order(root: Element) -> list[Element]:
     order, stack = [], [root]
     while stack:
@@ -180,19 +271,22 @@ def digests(root: Element) -> None:
 
 
 def main_roots(root: Element) -> list[Element]:
-    """The outermost articles; else main elements; else the whole page. Those inside furniture, or furniture themselves (comments, say), do not count."""
+    """The outermost articles, after the main element's h1 that stands before them; else main elements; else the whole page. Those inside furniture, or furniture themselves
+    (comments, say), do not count."""
     for tag in ("article", "main"):
-        found, stack = [], [root]
+        found, titles, stack = [], [], [(root, False)]
         while stack:
-            e = stack.pop()
+            e, within = stack.pop()
             if e.out or e.tag in HIDDEN:
                 continue
             if e.tag == tag:
                 found.append(e)
+            elif within and e.tag == "h1" and not found:
+                titles.append(e)
             else:
-                stack.extend(c for c in reversed(e.children) if isinstance(c, Element))
+                stack.extend((c, within or e.tag == "main") for c in reversed(e.children) if isinstance(c, Element))
         if found:
-            return found
+            return titles + found
     return [root]
 
 

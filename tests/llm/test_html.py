@@ -1,5 +1,7 @@
 """Templates of pages by different pages of a host."""
 
+import time
+
 from provisio.llm import html
 
 
@@ -54,3 +56,56 @@ def test_joined_templates_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_TEMPLATES", 0)
     assert len(want) == len(rows) and sorted(map(repr, html.extract(df).collect())) == want
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_quotes_outside_values():
+    assert one('<p class=x">Hello</p><p>there</p> <p>"quoted" text</p>') == 'Hello\nthere\n"quoted" text'
+    assert one("<p data-x=it's>One</p><p>Two</p><p title='a>b' \"=c>Three</p>") == "One\nTwo\nThree"
+    assert one("<p a = 'x' b= \"y>z\" c>One</p><a href=/x/>two</a>") == "One\ntwo"
+
+
+def test_forms_and_labels():
+    assert one("<form id=aspnetForm><article><p>Text</p></article></form>") == "Text"
+    assert one("<p>Long enough text of the page.</p><form><p>Name</p><input></form>") == "Long enough text of the page."
+    assert one("<form><div><p>Nearly all words of this page</p></div></form><p>x</p>") == "Nearly all words of this page\nx"
+    assert one("<p>The <label>labelled</label> word</p><label for=m>Menu</label>") == "The labelled word"
+
+
+def test_layout_classes_and_headers():
+    assert one("<article class='main sidebar'><p>Text</p></article>") == "Text"
+    assert one("<div class='page sidebar'><article><p>All the text there is</p></article></div><div class=sidebar>no</div>") == "All the text there is"
+    assert one("<header>Site</header><article><header><h1>Headline</h1></header><p>Text</p><footer>no</footer></article>") == "Headline\nText"
+    assert one("<main><h1>Title</h1><article><p>Text</p></article></main>") == "Title\nText"
+
+
+def test_reader_comments_and_teasers():
+    for name in ("reader-comments", "user-comments", "post-comments", "comment-7", "all_comments x"):
+        assert one(f"<article><p>A</p><div class='{name}'><p>hi</p></div><p>B</p></article>") == "A\nB", name
+    assert one("<article class='post has-comments'><p>A</p></article>") == "A"
+    assert one("<main><article><p>The long text of the page itself</p></article><section><h2>Related</h2><article><p>Other</p></article></section></main>") == "The long text of the page itself"
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    began = time.perf_counter()
+    n = 50_000
+    for page in ("<div>" * n + "x" + "</b>" * n, "<td><b>" + "<i>" * n + "<td>" + "</b>" * n + "x", "<b><table><td>" + "<span>" * n + "x" + "</b>" * n, "<div>" * n + "<p>x" * 10 + "</p>" * n, "<ul>" + "<span>" * n + "<li>x" * 10, "<p " + "a='" * n + ">x"):
+        root = html.parse(page)
+        html.candidates(root)
+        assert html.main_text(root, frozenset({1})) is not None
+    assert time.perf_counter() - began < 20
+
+
+def test_templates_by_counting(spark):
+    """Templates are what a plain count over different pages finds."""
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=a>menu</div><section><p>{'often' if i % 3 else i}</p></section><article><p>{i}</p></article></body>", "x", 1) for i in range(24)]
+    df = spark.createDataFrame([*rows, *rows[:4], (99, None, None, "x", 1)], "page_id long, url string, html string, host string, digest int")
+    seen = {}
+    for _, url, page, *_ in rows:
+        root = html.parse(page)
+        for d in html.candidates(root):
+            seen.setdefault((url.split("/")[2], d), set()).add(root.digest)
+    want = {k for k, v in seen.items() if len(v) >= html.LEAST_PAGES}
+    assert {(r.host, r.digest) for r in html.template_hashes(df).collect()} == want and want
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i] == str(i) for i in range(24)) and got[99] == ""
+    assert html.extract(df.limit(0)).count() == 0
