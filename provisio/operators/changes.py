@@ -86,3 +86,57 @@ def merkle(articles: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """article_id, merkle: hash over the title and the sorted hashes of the paragraphs (article_id, text)."""
     leaves = paragraphs.groupBy("article_id").agg(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "").alias("_l"))
     return articles.join(leaves, "article_id", "left").select("article_id", F.sha2(F.concat(F.coalesce("title", F.lit("")), F.coalesce("_l", F.lit(""))), 256).alias("merkle"))
+
+
+#: Columns of a Merkle tree's nodes; hash is null for a paragraph that was taken out.
+NODE = ("level", "id", "parent_id", "title", "hash")
+
+
+def _rolled(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """parents with the hash of their title and the sorted hashes of children (parent_id, hash)."""
+    below = children.where("hash IS NOT NULL").groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("_l"))
+    joined = parents.drop("hash").join(below.withColumnRenamed("parent_id", "id"), "id", "left")
+    return joined.withColumn("hash", F.sha2(F.concat(F.coalesce("title", F.lit("")), F.coalesce("_l", F.lit(""))), 256)).select(*NODE)
+
+
+def merkle_tree(documents: DataFrame, articles: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The nodes (level, id, parent_id, title, hash) of all documents (id), articles (id, parent_id, title) and paragraphs (id, parent_id, text), to be stored."""
+    leaf = paragraphs.select(F.lit("paragraph").alias("level"), "id", "parent_id", F.lit(None).cast("string").alias("title"), F.sha2("text", 256).alias("hash"))
+    middle = _rolled(leaf, articles.select(F.lit("article").alias("level"), "id", "parent_id", "title"))
+    top = _rolled(middle, documents.select(F.lit("document").alias("level"), "id", F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("title")))
+    return leaf.union(middle).union(top)
+
+
+def merkle_update(tree: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The nodes of tree that change with these paragraphs (id, parent_id, text; a null text takes one out): they, their articles and documents, hashed anew from the stored hashes beside them.
+
+    No other article or document is hashed, and no other text is read.
+    """
+    leaf = paragraphs.select(F.lit("paragraph").alias("level"), "id", "parent_id", F.lit(None).cast("string").alias("title"), F.sha2("text", 256).alias("hash"))
+
+    def above(level: str, below: str, fresh: DataFrame) -> DataFrame:
+        touched = fresh.select("parent_id").distinct()
+        beside = tree.where(F.col("level") == below).join(touched, "parent_id", "left_semi").join(fresh.select("id"), "id", "left_anti").select(*NODE)
+        return _rolled(beside.union(fresh.select(*NODE)), tree.where(F.col("level") == level).join(touched.withColumnRenamed("parent_id", "id"), "id", "left_semi").select(*NODE))
+
+    middle = above("article", "paragraph", leaf)
+    return leaf.union(middle).union(above("document", "article", middle))
+
+
+def merkle_merged(tree: DataFrame, changed: DataFrame) -> DataFrame:
+    """tree with the nodes of merkle_update in place of its own."""
+    return tree.join(changed.select("level", "id"), ["level", "id"], "left_anti").select(*NODE).union(changed.where("hash IS NOT NULL").select(*NODE))
+
+
+def merkle_differences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """level, id, status (added, removed, changed) where two trees differ, found from the documents down: below a node of equal hashes nothing is compared."""
+    out, within = None, None
+    for level in ("document", "article", "paragraph"):
+        a, b = (t.where(F.col("level") == level) for t in (old, new))
+        if within is not None:
+            a, b = (t.join(within, "parent_id", "left_semi") for t in (a, b))
+        both = a.select("id", F.col("hash").alias("was")).join(b.select("id", "hash"), "id", "full_outer").where("NOT was <=> hash")
+        status = F.when(F.col("was").isNull(), "added").when(F.col("hash").isNull(), "removed").otherwise("changed")
+        rows = both.select(F.lit(level).alias("level"), "id", status.alias("status"))
+        out, within = rows if out is None else out.union(rows), rows.select(F.col("id").alias("parent_id"))
+    return out

@@ -17,6 +17,8 @@ K1, B, RRF_CONSTANT, VECTOR_WEIGHT = 1.2, 0.75, 60, 0.3
 #: Queries in one block of a batch search; a block is what is broadcast.
 QUERY_BLOCK = 2048
 WORD = "[a-z0-9]+"
+#: Characters by which phrases of one or two words are looked up.
+SHORT_CHARS = 8
 
 #: Boosted phrases, actors, patterns of references and words that are no keywords.
 REFERENCE_PATTERNS = (
@@ -181,23 +183,46 @@ def keyword_query(queries: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("fulltext", F.array_join(F.slice(F.transform(first, lambda x: x["s"]), 1, MAX_TERMS), " OR ")).drop("_all", "_keys")
 
 
+def _grams(df: DataFrame, words: int) -> DataFrame:
+    """df with _w, the words of text, and _g, the hashes of its runs of so many words; a text is split once."""
+    w = df.withColumn("_w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    own = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(words)]))
+    return w.withColumn("_g", F.when(F.size("_w") >= words, own).otherwise(F.array().cast("array<bigint>")))
+
+
+def _run(n: int):
+    return lambda x: F.struct(F.lit(n).alias("size"), F.xxhash64(x).alias("hash"))
+
+
 def phrase_matches(docs: DataFrame, phrases: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, item_id of documents that contain a phrase (item_id, text) as a substring.
+    """doc_id, item_id of documents that contain a phrase (item_id, text) as a substring; phrases without a word match nothing.
 
-    Both sides meet on hashes of runs of words (white space apart), the phrase's inner ones; the substring test then decides. Phrases
-    of fewer than words + 2 words have no inner run and are tested against every document; those without a word match nothing.
+    Both sides meet by equality and the substring test then decides: on hashes of runs of words (white space apart), the phrase's inner ones, for phrases of at least words + 2;
+    on their longest inner word for those of 3 words and more; and on runs of characters for those of one or two, whose words may be parts of others.
+    Lengths that no phrase has cost nothing.
     """
-    def grams(df: DataFrame) -> DataFrame:
-        """df with _g; words are a column of their own, so that a text is split once."""
-        w = df.withColumn("_w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-        own = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(words)]))
-        return w.withColumn("_g", F.when(F.size("_w") >= words, own).otherwise(F.array().cast("array<bigint>")))
-
-    split = grams(phrases.select("item_id", "text"))
-    inner = split.where(F.size("_w") >= words + 2).select("item_id", F.get("_g", F.lit(1)).alias("gram"))
-    # outer, as the filter that the optimizer derives from a plain explode would split each text once a word
-    found = grams(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("_g").alias("gram")).join(inner, "gram").select("doc_id", "item_id").distinct()
-    long = found.join(docs.select("doc_id", "text"), "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
-    brief = split.where(F.size("_w").between(1, words + 1)).select("item_id", F.col("text").alias("phrase"))
-    short = docs.select("doc_id", "text").join(brief, F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
-    return long.union(short).distinct()
+    split = _grams(phrases.select("item_id", "text"), words).withColumn("_n", F.size("_w"))
+    lengths = {r[0] for r in split.select(F.when(F.col("_n") >= words + 2, "long").when(F.col("_n") >= 3, "brief").when(F.col("_n") > 0, "short").alias("c")).distinct().collect()}
+    keys, found = {}, None
+    inner = F.slice("_w", 2, F.greatest(F.col("_n") - 2, F.lit(0)))
+    keys["long"] = split.where(F.col("_n") >= words + 2).select("item_id", F.get("_g", F.lit(1)).alias("key"))
+    keys["brief"] = split.where(F.col("_n").between(3, words + 1)).select("item_id", F.xxhash64(F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), -1)["w"]).alias("key"))
+    # characters of the whole phrase, or its first ones
+    size = F.least(F.length("text"), F.lit(SHORT_CHARS))
+    keys["short"] = split.where(F.col("_n").between(1, 2)).select("item_id", F.struct(size.alias("size"), F.xxhash64(F.substr("text", F.lit(1), size)).alias("hash")).alias("key"))
+    for kind in sorted(lengths - {None}):
+        if kind == "long":
+            # outer, as the filter that the optimizer derives from a plain explode would split each text once a word
+            own = _grams(docs.select("doc_id", "text"), words).select("doc_id", F.explode_outer("_g").alias("key"))
+        elif kind == "brief":
+            own = docs.select("doc_id", F.explode_outer(F.array_distinct(F.transform(F.split("text", r"\s+"), lambda x: F.xxhash64(x)))).alias("key"))
+        else:
+            sizes = sorted(r[0] for r in keys[kind].select("key.size").distinct().collect())  # SHORT_CHARS numbers at most
+            runs = [F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), _run(n)) for n in sizes]
+            own = docs.select("doc_id", F.explode_outer(F.concat(*runs)).alias("key"))
+        met = own.join(keys[kind], "key").select("doc_id", "item_id").distinct()
+        found = met if found is None else found.union(met)
+    if found is None:
+        return docs.select("doc_id").join(phrases.select("item_id").limit(0))
+    texts = docs.select("doc_id", "text")
+    return found.join(texts, "doc_id").join(phrases.select("item_id", F.col("text").alias("phrase")), "item_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provisio.functions.tables import shared_dir
-from provisio.operators import graph, reads
+from provisio.functions.tables import shared_dir, written
+from provisio.operators import changes, graph, reads
 from provisio.operators.index import KeywordIndex, parse
-from provisio.operators.retrieval import keyword_query
+from provisio.operators.retrieval import keyword_query, phrase_matches, vector_top_k_batch
+from provisio.operators.vectors import VectorIndex, recall
 from provisio.plans import typed
 from provisio.plans.corpus import order_graph, statutory_corpus, tables
 from provisio.plans.provisions import order_provisions
@@ -151,3 +152,43 @@ def _(spark, d):
     index = _article_index(spark, order_provisions(spark, d)["Article"])
     top = index.top(parse(keyword_query(asked)), 5)
     return top.select("question_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("vector_cells", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, d):
+    """Every fiftieth vector as query against all, by cells: whether nine tenths of the ten nearest of exact search are found."""
+    (rows,) = tables(spark, d, "embeddings")
+    rows = rows.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    index = VectorIndex(spark, f"{shared_dir(spark)}/provisio-vectors/{uuid.uuid4().hex}")
+    index.add(rows)
+    queries = rows.where("CAST(id AS LONG) % 50 = 0").select(F.col("id").cast("long").alias("question_id"), "embedding")
+    exact = vector_top_k_batch(rows, queries, 10, "id", question="question_id")
+    return recall(index.top(queries, 10), exact, 10).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(
+    "merkle_update",
+    """WITH l AS (SELECT l_orderkey AS o, sha256(l_linenumber || ':' || l_partkey || CASE WHEN l_orderkey % 100 = 0 AND l_linenumber = 1 THEN ' late' ELSE '' END) AS h FROM lineitem),
+        a AS (SELECT o_orderkey AS o, o_custkey AS c, sha256(any_value(o_orderpriority) || coalesce(string_agg(h, '' ORDER BY h), '')) AS h FROM orders LEFT JOIN l ON o = o_orderkey GROUP BY 1, 2)
+        SELECT 'o:' || o AS id, h AS hash FROM a UNION ALL SELECT 'c:' || c_custkey, sha256(coalesce(string_agg(h, '' ORDER BY h), '')) FROM customer LEFT JOIN a ON c = c_custkey GROUP BY c_custkey""",
+)
+def _(spark, d):
+    """Line items under orders under customers; the first lines of every hundredth order change, and the stored tree is updated along their paths."""
+    customer, orders, lineitem = tables(spark, d, "customer", "orders", "lineitem")
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    text = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"))
+    numbered = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")).cast("string")
+    leaves = lineitem.select("l_orderkey", "l_linenumber", F.concat(name("l:", "l_orderkey"), F.lit(":"), F.col("l_linenumber").cast("string"), F.lit(":"), numbered).alias("id"), name("o:", "l_orderkey").alias("parent_id"), text.alias("text"))
+    tree = changes.merkle_tree(customer.select(name("c:", "c_custkey").alias("id")), orders.select(name("o:", "o_orderkey").alias("id"), name("c:", "o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("title")), leaves)
+    tree = written(tree, "tree")
+    late = leaves.where("l_orderkey % 100 = 0 AND l_linenumber = 1").select("id", "parent_id", F.concat("text", F.lit(" late")).alias("text"))
+    return changes.merkle_merged(tree, changes.merkle_update(tree, late)).where("level <> 'paragraph'").select("id", "hash")
+
+
+@query("phrase_matches_short", "SELECT doc_id, phrase FROM documents JOIN (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:n], ' ') AS phrase FROM benchmark, (SELECT unnest([1, 2, 4]) AS n) WHERE item_id % 10 = 0) ON contains(text, phrase)")
+def _(spark, d):
+    """The first word, two and four words of every tenth item as phrases, in all documents."""
+    docs, items = tables(spark, d, "documents", "benchmark")
+    words = items.where("item_id % 10 = 0").select(F.split("text", " ").alias("w"), F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("n"))
+    phrases = words.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("text")).distinct().select(F.col("text").alias("item_id"), "text")
+    return phrase_matches(docs, phrases).select("doc_id", F.col("item_id").alias("phrase"))
