@@ -107,3 +107,12 @@ def manifests(graph: dict[str, DataFrame]) -> DataFrame:
     paragraphs = below.join(graph["Paragraph"].select("id", F.col("content_hash").alias("hash")), "id").select("document_id", F.lit("paragraph"), "id", "hash")
     recitals = e.where("rel_type = 'HAS_RECITAL'").select(F.col("src_id").alias("document_id"), F.col("dst_id").alias("id")).join(graph["Recital"].select("id", F.col("text").alias("hash")), "id").select("document_id", F.lit("recital"), "id", "hash")
     return articles.union(paragraphs).union(recitals).distinct()
+
+
+def active_schema(graph: dict[str, DataFrame]) -> DataFrame:
+    """kind, name, detail: the labels and relations in use, and of each document's ontology record its domain."""
+    out = graph["edges"].select(F.lit("relationship").alias("kind"), F.col("rel_type").alias("name"), F.lit(None).cast("string").alias("detail")).distinct()
+    for label, table in graph.items():
+        if label != "edges":
+            out = out.union(table.limit(1).select(F.lit("label"), F.lit(label), F.lit(None).cast("string")))
+    return out.union(graph["OntologySchema"].select(F.lit("schema"), "document_id", "domain")) if "OntologySchema" in graph else out

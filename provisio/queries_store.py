@@ -13,10 +13,10 @@ from provisio.operators.index import KeywordIndex, parse
 from provisio.operators.retrieval import keyword_query, phrase_matches, vector_top_k_batch
 from provisio.operators.vectors import VectorIndex, recall
 from provisio.plans import typed
-from provisio.plans.corpus import order_graph, statutory_corpus, tables
+from provisio.plans.corpus import order_graph, statutory_corpus, tables, varied_corpus
 from provisio.plans.provisions import order_provisions
-from provisio.queries import FIRST_TERMS, LINES, PARTS, query
-from provisio.queries_graph import ARTICLES
+from provisio.queries import FIRST_TERMS, LINES, ORACLES, PARTS, QUERIES, query
+from provisio.queries_graph import ARTICLES, LN
 from provisio.sources.store import GraphStore
 
 #: Put at the end of each act's articles, so that no two acts are equal; and, in the second version, of every fifth one's.
@@ -80,6 +80,37 @@ def _(spark, d):
     return out.union(kinds.select(F.lit("edges"), "rel_type", "n")).union(log).withColumn("content", F.sha2("content", 256))
 
 
+@query(
+    "store_delete_counters",
+    f"""WITH o AS (SELECT o_orderkey AS o, o_orderstatus = 'O' AS open, o_orderpriority = '1-URGENT' AS urgent FROM orders WHERE o_orderkey % 10 = 0), l AS (SELECT x.*, o % 10 = 0 AS gone FROM {LN} x), g AS (SELECT l.*, open, urgent FROM l JOIN o USING (o)),
+        n AS (SELECT count(*) + sum(CASE WHEN open THEN 2 ELSE 0 END) + sum(urgent::INT) AS n, sum(CASE WHEN open THEN 2 ELSE 0 END) + sum(urgent::INT) AS e FROM o),
+        c AS (SELECT count(*) AS k FROM (SELECT DISTINCT o, f FROM g)), p AS (SELECT count(*) AS k FROM (SELECT p FROM l GROUP BY p HAVING bool_and(gone))), s AS (SELECT count(*) AS k FROM (SELECT s FROM l GROUP BY s HAVING bool_and(gone)))
+        SELECT 0::BIGINT AS nodes_created, (SELECT n FROM n)::BIGINT + count(*) * 3 + sum((f = 'R')::INT)::BIGINT + (SELECT k FROM c) + (SELECT k FROM p) + (SELECT k FROM s) AS nodes_deleted, 0::BIGINT AS properties_set, 0::BIGINT AS relationships_created,
+        (SELECT e FROM n)::BIGINT + (SELECT k FROM c) + count(*) * 6 + sum((f = 'R')::INT + (n > 1)::INT + urgent::INT + (open AND n <= 2)::INT)::BIGINT AS relationships_deleted FROM g""",
+)
+def _(spark, d):
+    """The typed graph stored, every tenth order deleted with what no other order reaches: the five counters of that version."""
+    store = GraphStore(spark, f"{shared_dir(spark)}/provisio-stores/{uuid.uuid4().hex}", buckets=16)
+    store.commit({name: (df, None) for name, df in order_provisions(spark, d).items()})
+    typed.delete_documents(store, store.table("Document").where("CAST(substring(id, 8) AS LONG) % 10 = 0").select("id"), keep_shared=True)
+    return store.counters(1, 2)
+
+
+@query(
+    "graph_active_schema",
+    f"""SELECT 'schema' AS kind, 'doc:P' || doc_id AS name, domain AS detail FROM ({ORACLES["varied_domains"]}) UNION ALL SELECT 'label', unnest(['Document', 'Article', 'Paragraph', 'Annex', 'ActorRole', 'Obligation', 'OntologySchema']), NULL
+        UNION ALL SELECT 'relationship', unnest(['HAS_ARTICLE', 'HAS_PARAGRAPH', 'HAS_ANNEX', 'IMPOSES', 'APPLIES_TO', 'HAS_ONTOLOGY']), NULL""",
+)
+def _(spark, d):
+    acts = varied_corpus(spark, d)
+    return reads.active_schema(typed.typed_tables(acts.select("doc_id", "short_name", F.lit("Act").alias("title"), F.lit("regulation").alias("document_type"), F.sha2("text", 256).alias("content_hash"), "text")))
+
+
+@query("diff_totals", f"SELECT count(*) FILTER (status = 'added') AS total_added, count(*) FILTER (status = 'removed') AS total_removed, count(*) FILTER (status = 'modified') AS total_modified, count(*) FILTER (status = 'unchanged') AS unchanged_count FROM ({ORACLES['diff_documents']})")
+def _(spark, d):
+    return changes.diff_totals(QUERIES["diff_documents"](spark, d))
+
+
 # --- reach -----------------------------------------------------------------------------------------------------------------------
 EDGES = """(SELECT 'r:' || n_regionkey AS s, 'n:' || n_nationkey AS t FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey FROM orders
     UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'l:' || l_orderkey || ':' || l_linenumber FROM lineitem)"""
