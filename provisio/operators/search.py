@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.tables import written
@@ -62,12 +62,23 @@ def indexed_columns(label: str) -> tuple[str, ...]:
     return {"Article": ("title", "full_text"), "Paragraph": ("text",), "Annex": ("title", "text")}[label]
 
 
-def leg(graph: dict[str, DataFrame], name: str, vector: list[float], terms: dict[str, float], k: int) -> DataFrame:
-    """list_no, provision_id, rank, score of one list. Paragraphs without an article are dropped after the cut, so a list may be shorter than k."""
+def _clauses(spark: SparkSession, terms: dict[str, float]) -> DataFrame:
+    """terms as the clauses of one question."""
+    rows = [(0, " ".join(w), w, float(b)) for t, b in terms.items() if (w := t.lower().strip('"').split())]
+    return spark.createDataFrame(rows, "question_id long, clause string, words array<string>, boost double")
+
+
+def leg(graph: dict[str, DataFrame], name: str, vector: list[float], terms: dict[str, float], k: int, indexes: dict | None = None) -> DataFrame:
+    """list_no, provision_id, rank, score of one list. Paragraphs without an article are dropped after the cut, so a list may be shorter than k.
+
+    indexes: the stored keyword index of each label; without them one is made for this question.
+    """
     no = [x[0] for x in LEGS].index(name)
     _, label, by_vector = LEGS[no]
     if by_vector:
         top = vector_top_k(graph[label].where("embedding IS NOT NULL"), vector, k, "id")
+    elif indexes:
+        top = indexes[label].top(_clauses(graph[label].sparkSession, terms), k).select("id", "score")
     else:
         top = keyword_scores(keyword_index(graph[label], *indexed_columns(label)), terms).orderBy(F.desc("score"), "id").limit(k)
     if label == "Paragraph":
@@ -110,9 +121,12 @@ def hits_in_context(graph: dict[str, DataFrame], hits: DataFrame) -> DataFrame:
     )
 
 
-def hybrid_search(graph: dict[str, DataFrame], vector: list[float], terms: dict[str, float], k: int = 15) -> DataFrame:
-    """rank, provision_id, rrf, score and context of the best provisions over all seven lists, which name the same ids; a list that a graph has no table for is left out."""
-    lists = [leg(graph, name, vector, terms, k) for name, label, by_vector in LEGS if label in graph and (by_vector or terms)]
+def hybrid_search(graph: dict[str, DataFrame], vector: list[float], terms: dict[str, float], k: int = 15, indexes: dict | None = None) -> DataFrame:
+    """rank, provision_id, rrf, score and context of the best provisions over all seven lists, which name the same ids; a list that a graph has no table for is left out.
+
+    indexes as in leg().
+    """
+    lists = [leg(graph, name, vector, terms, k, indexes) for name, label, by_vector in LEGS if label in graph and (by_vector or terms)]
     every = lists[0]
     for x in lists[1:]:
         every = every.union(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provisio.functions.tables import written
+from provisio.functions.tables import written, written_all
 from provisio.functions.text import strip
 from provisio.operators import changes, graph, metadata, segment, semantics
 
@@ -77,7 +77,9 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def extract_graph(docs: DataFrame) -> dict[str, DataFrame]:
     """All tables of one ingest: chunks, the documents' record, terms, roles, obligations, and the edges whose both ends exist."""
     chunks = written(segment.chunks(docs), "chunks")  # read by every extractor below
-    terms, owed, refs = semantics.definitions(chunks), semantics.obligations(chunks), semantics.annex_references(chunks)
+    found = written_all({"terms": semantics.definitions(chunks), "roles": semantics.roles(chunks)})  # each extractor runs once
+    terms, roles, refs = found["terms"], found["roles"], semantics.annex_references(chunks)
+    owed = written(semantics.obligations(chunks, roles), "owed")
     edge = lambda df, a, rel, b: df.select(F.col(a).alias("src_id"), F.lit(rel).alias("rel_type"), F.col(b).alias("dst_id"))
     kinds = {"article": "HAS_ARTICLE", "recital": "HAS_RECITAL", "annex": "HAS_ANNEX"}
     own = chunks.where(F.col("chunk_type").isin(*kinds)).withColumn("_d", F.concat(F.lit("doc:"), "short_name")).withColumn("_r", F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("chunk_type")))
@@ -85,9 +87,8 @@ def extract_graph(docs: DataFrame) -> dict[str, DataFrame]:
     edges = edges.union(edge(chunks.where("chunk_type = 'paragraph'"), "parent_id", "HAS_PARAGRAPH", "id")).union(edge(terms, "article_id", "DEFINES", "term_id")).union(edge(semantics.uses_term(chunks, terms), "paragraph_id", "USES_TERM", "term_id"))
     edges = edges.union(edge(owed, "article_id", "IMPOSES", "obligation_id")).union(edge(owed.where("role IS NOT NULL"), "obligation_id", "APPLIES_TO", "role")).union(edge(refs, "article_id", "REFERENCES_ANNEX", "annex_id"))
     edges = edges.union(chunks.where("chunk_type = 'article'").select(F.col("id").alias("src_id"), F.lit("CITES").alias("rel_type"), F.explode("cross_references").alias("dst_id")))
-    roles = semantics.roles(chunks)
     nodes = chunks.select("id", F.initcap("chunk_type").alias("label")).union(docs.select(F.concat(F.lit("doc:"), "short_name"), F.lit("Document"))).union(terms.select("term_id", F.lit("DefinedTerm")))
-    nodes = nodes.union(owed.select("obligation_id", F.lit("Obligation"))).union(roles.select("name", F.lit("ActorRole"))).distinct()
+    nodes = written(nodes.union(owed.select("obligation_id", F.lit("Obligation"))).union(roles.select("name", F.lit("ActorRole"))).distinct(), "nodes")
     return {"chunks": chunks, "terms": terms, "obligations": owed, "roles": roles, "nodes": nodes, "edges": graph.guarded(edges, nodes, nodes)}
 
 

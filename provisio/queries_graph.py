@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provisio.functions.tables import written
+from provisio.functions.tables import shared_dir, written, written_all
 from provisio.operators import changes, evidence, graph, metadata, reads, search, segment, semantics
+from provisio.operators.index import build_indexes
 from provisio.plans import updates
 from provisio.plans.corpus import SUBJECTS, SUPPLEMENTS, VERBS, order_lines, tables, varied_corpus
 from provisio.plans.provisions import SCHEMAS, empty_tables, order_provisions
@@ -158,7 +161,9 @@ LISTS = " UNION ALL ".join(f"SELECT {i} AS list_no, id, rank, score FROM ({sql})
         FROM b JOIN c ON b.id = c.id LEFT JOIN orders ON o = o_orderkey""",
 )
 def _(spark, d):
-    out = search.hybrid_search(order_provisions(spark, d), _question(spark, d), TERMS)
+    t = written_all(order_provisions(spark, d))
+    indexes = build_indexes(spark, f"{shared_dir(spark)}/provisio-indexes/{uuid.uuid4().hex}", t)
+    out = search.hybrid_search(t, _question(spark, d), TERMS, indexes=indexes)
     return out.select("provision_id", "score", "type", "article_id", "article_title", "document", "chapter_title", F.array_join("cited_articles", "|").alias("cited_articles"), F.array_join("referenced_annexes", "|").alias("referenced_annexes"))
 
 
