@@ -117,3 +117,10 @@ def test_stages_on_an_empty_table(spark, sf):
     none = spark.createDataFrame([], SCHEMA)
     for name, _ in corpus_pipeline.STAGES:
         assert stage(spark, sf, name, none).count() == 0, name
+
+
+def test_near_stage_loses_no_text_of_a_repeated_id(spark):
+    a = "one text of some words that stands in two documents and more words beside"
+    rows = [(1, a), (5, a), (5, "quite another text that stands nowhere else in the table at all"), (7, a), (7, a), (None, a)]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, a), *rows[1:3], (None, a)], key=repr)
