@@ -41,10 +41,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one of smallest id; rows that repeat an id go or stay together, and stay where their texts differ. Null and empty texts, and null ids, are
     linked with nothing and stay."""
+    common.release()  # what the classifier's training held in the driver
     classes = neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     differing = docs.groupBy(F.col("doc_id").alias("_gone")).agg(F.min(content).alias("_a"), F.max(content).alias("_b")).where("_a <> _b").select("_gone")
     gone = common.staged(classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct().join(differing, "_gone", "left_anti"), "gone")
+    common.release()
     bitmap = common.staged(common.member_filter(gone, "_gone"), "bitmap")
     # an anti join would be moved below the bitmap, and all texts with it
     left = common.keep_members(docs, bitmap, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left").where("_gone IS NULL").drop("_gone")
