@@ -21,7 +21,7 @@ DEPTH = 6
 LEAST = 12
 #: And if its next-symbol distribution differs from that of its longest proper suffix: count * divergence (nats) is over this.
 DIVERGENCE = 6.0
-#: Additive weight with which a suffix's distribution smooths a context's own counts.
+#: Weight with which a suffix's distribution smooths a context's own counts, for each different symbol seen after the context.
 PRIOR = 4.0
 #: A tree of at most so many grams (12 bytes each) is broadcast; a larger one is joined to the distinct grams of chunks of documents, with the
 #: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition; a text over LONG_BYTES is a chunk of its own, so a chunk has 128 MB or is one text.
@@ -133,7 +133,7 @@ def _context():
 
 
 def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By length of context: gram, n of all grams, and context, all (its count) of the contexts retained.
+    """By length of context: gram, n of all grams, and context, all (its count), kinds (different symbols after it) of the contexts retained.
 
     A context must pass the count test and the divergence test, or be the suffix of one that does. All are Spark tables that follow
     the corpus; a gram or context meets at most 256 rows of another table.
@@ -143,19 +143,19 @@ def retained(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         levels[d] = staged(levels[d + 1].groupBy(_short(d + 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams{d}")
     for d in range(DEPTH + 1):
         g = levels[d].select("gram", "n", _context())
-        size = g.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= (LEAST if d else 0))
+        size = g.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") >= (LEAST if d else 0))
         kept[d] = staged(g.join(size, "context"), f"contexts{d}")
     needed = None
     for d in range(DEPTH, 0, -1):
         own = kept[d].withColumn("short", _short(d))
         short = kept[d - 1].select(F.col("gram").alias("short"), (F.col("n") / F.col("all")).alias("q"))
-        gain = own.join(short, "short").groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("q"))).alias("gain"), F.first("all").alias("all"))
-        found = gain.select("context", "all", (F.col("gain") > DIVERGENCE).alias("use"))
+        gain = own.join(short, "short").groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("q"))).alias("gain"), F.first("all").alias("all"), F.first("kinds").alias("kinds"))
+        found = gain.select("context", "all", "kinds", (F.col("gain") > DIVERGENCE).alias("use"))
         if needed is not None:
             found = found.join(needed, "context", "left").withColumn("use", F.col("use") | F.col("longer").isNotNull())
-        chosen[d] = staged(found.where("use").select("context", "all"), f"chosen{d}")
+        chosen[d] = staged(found.where("use").select("context", "all", "kinds"), f"chosen{d}")
         needed = chosen[d].select(_short(d - 1, "context").alias("context")).distinct().withColumn("longer", F.lit(True))
-    chosen[0] = staged(kept[0].select("context", "all").distinct(), "chosen0")
+    chosen[0] = staged(kept[0].select("context", "all", "kinds").distinct(), "chosen0")
     drop_staged(*kept.values())
     return [levels[d] for d in range(DEPTH + 1)], [chosen[d] for d in range(DEPTH + 1)]
 
@@ -164,8 +164,8 @@ def grow(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tree of these gram counts, as staged tables: depth, gram, share (probability of the last symbol) of the grams seen after a
     retained context; and depth, context, back: what a retained context leaves to its suffix for symbols not seen after it.
 
-    A context's own counts are mixed with its suffix's distribution: (n + PRIOR * suffix) / (all + PRIOR). The empty context adds one for each of
-    256 bytes; all of them are in the table.
+    A context's own counts are mixed with its suffix's distribution, which weighs the more, the more different symbols follow the context (Witten-Bell):
+    (n + PRIOR * kinds * suffix) / (all + PRIOR * kinds). The empty context adds one for each of 256 bytes; all of them are in the table.
     """
     levels, contexts = retained(counts)
     total = levels[0].agg(F.sum("n")).first()[0] or 0
@@ -173,10 +173,10 @@ def grow(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     shares = [staged(alphabet.select("gram", ((F.coalesce("n", F.lit(0)) + 1) / F.lit(total + 256.0)).alias("share")), "shares0")]
     for d in range(1, DEPTH + 1):
         own = levels[d].select("gram", "n", _context(), _short(d).alias("short")).join(contexts[d], "context")
-        mixed = (F.col("n") + PRIOR * F.col("share")) / (F.col("all") + PRIOR)
+        mixed = (F.col("n") + PRIOR * F.col("kinds") * F.col("share")) / (F.col("all") + PRIOR * F.col("kinds"))
         shares.append(staged(own.join(shares[-1].withColumnRenamed("gram", "short"), "short").select("gram", mixed.alias("share")), f"shares{d}"))
     share = staged(reduce(DataFrame.union, [t.select(F.lit(d).alias("depth"), "gram", "share") for d, t in enumerate(shares)]), "tree")
-    back = staged(reduce(DataFrame.union, [t.select(F.lit(d).alias("depth"), "context", (F.lit(PRIOR) / (F.col("all") + PRIOR)).alias("back")) for d, t in enumerate(contexts) if d]), "backs")
+    back = staged(reduce(DataFrame.union, [t.select(F.lit(d).alias("depth"), "context", (PRIOR * F.col("kinds") / (F.col("all") + PRIOR * F.col("kinds"))).alias("back")) for d, t in enumerate(contexts) if d]), "backs")
     drop_staged(*levels[:-1], *contexts, *shares)
     return share, back
 

@@ -37,7 +37,7 @@ def brute_force():
             return (after[b""][b] + 1) / (after[b""].total() + 256)
         q = share(context[1:], b)
         x = after[context] if context in kept else None
-        return q if x is None else (x[b] + suffixtree.PRIOR * q) / (x.total() + suffixtree.PRIOR)
+        return q if x is None else (x[b] + suffixtree.PRIOR * len(x) * q) / (x.total() + suffixtree.PRIOR * len(x))
 
     out = []
     for s in symbols:
