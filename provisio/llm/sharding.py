@@ -112,8 +112,9 @@ def allowed_shares(load: dict[int, int], wishes: list[tuple[int, int, int, int]]
 def assign(docs: DataFrame, shards: int = 16, link_chars: int = LINK_CHARS) -> DataFrame:
     """doc_id, size, text_crc32, group, node, linked, shard, slot for every row of docs (doc_id, text).
 
-    Equal texts are one node; nodes that share a line of link_chars are linked. Nodes of one community begin on one shard. After propagation each shard keeps its quota of rows,
-    linked ones first; what is over fills the other shards, so counts are at most one apart. Repeated rows count each; null
+    Equal texts are one node (several, of PART of a shard at most, where there are more of them); nodes that share a line of link_chars are linked. Nodes of one community begin on
+    one shard. After propagation each shard keeps its quota of rows, those of groups first, then linked ones; single rows beyond it fill the other shards, so counts are at most
+    one apart and groups stay whole, unless single rows are too few for that. Repeated rows count each; null
     texts count as empty; other columns are not read; no rows give no rows.
     """
     n_rows = docs.count()
@@ -138,14 +139,66 @@ def assign(docs: DataFrame, shards: int = 16, link_chars: int = LINK_CHARS) -> D
     for turn in range(ROUNDS):
         before, labels = labels, _propagate(labels, links, n_rows, shards, turn)
         drop_staged(before)
-    located = rows.join(nodes.select("node", "anchor", "linked", start.alias("_start")), "node").join(labels.select("node", "shard"), "node", "left").withColumn("shard", F.coalesce("shard", "_start")).drop("_start")
+    labels = _relieve(labels, n_rows, shards)
+    located = rows.join(nodes.select("node", "n", "anchor", "linked", start.alias("_start")), "node").join(labels.select("node", "shard"), "node", "left").withColumn("shard", F.coalesce("shard", "_start")).drop("_start")
     return _even(located, n_rows, shards).drop("anchor")
 
 
+def _relieve(labels: DataFrame, n_rows: int, shards: int) -> DataFrame:
+    """labels (node, n, shard) where nodes of several rows move, whole, from shards that such nodes alone fill beyond the quota to shards with room for them.
+
+    Large nodes (LARGE of them at most) go one by one to the emptiest shard, small ones by ranges of running sums. What finds no room stays, and is cut when counts are made even.
+    """
+    quota, buckets = n_rows // shards, max(64, n_rows // 500_000)
+    groups = labels.where("n > 1")
+    held = {r["shard"]: r["n"] for r in groups.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    if all(n <= quota for n in held.values()):
+        return labels
+    is_large = F.col("n") * LARGE >= n_rows
+    large = groups.where(is_large).orderBy(F.desc("n"), "node").collect()
+    now, total = [0] * shards, [held.get(s, 0) for s in range(shards)]
+    placed = []
+    for r in large:
+        s = to = r["shard"]
+        if now[s] + r["n"] > quota:
+            to = min((x for x in range(shards) if x != s), key=lambda x: (total[x], x), default=s)
+            placed.append((r["node"], to))
+            total[s], total[to] = total[s] - r["n"], total[to] + r["n"]
+        now[to] += r["n"]
+    at = lambda values: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), F.col("shard") + 1)
+    small = groups.where(~is_large).withColumn("_b", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(buckets)))
+    before = small.groupBy("shard", "_b").agg(F.sum("n").alias("_n")).select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("shard", "_b").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    moving = small.join(before, ["shard", "_b"]).withColumn("_at", within + F.col("_before") + at(now)).where(F.col("_at") + F.col("n") > quota).select("node", "n", "shard", "_at")
+    moving = staged(moving, "moving")
+    most = moving.agg(F.max("n")).first()[0] or 0
+    # movers are numbered through by rows, from each shard's first; a shard with room takes a range of these numbers, less the rows by which the last node may pass its end
+    first, rooms, a, b = [], [], 0, 0
+    for s in range(shards):
+        start = max(now[s], quota - most)
+        first.append(a - start)
+        a += max(0, total[s] - start) if total[s] > quota else 0
+        room = max(0, quota - total[s] - most)
+        rooms.append((b, b + room))
+        b += room
+    number = F.col("_at") + at(first)
+    to = F.lit(None).cast("int")
+    for s, (lo, hi) in enumerate(rooms):
+        to = F.when(number.between(lo, hi - 1), s).otherwise(to)
+    moved = moving.select("node", to.alias("_to"))
+    alone = labels.sparkSession.createDataFrame(placed, "node long, _s int")  # at most LARGE rows
+    out = labels.join(F.broadcast(alone), "node", "left").join(moved, "node", "left")
+    out = staged(out.select("node", "n", F.coalesce("_s", "_to", "shard").cast("int").alias("shard")), "labels")
+    drop_staged(moving)
+    return out
+
+
 def _even(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """rows with shard and slot such that counts are at most one apart; rows of a shard keep it by rank, linked rows first and those of one anchor together."""
-    buckets = max(64, n_rows // 500_000)
-    rows = rows.withColumn("_b", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64(F.coalesce("anchor", "doc_id"), F.lit(3)), F.lit(buckets)))
+    """rows with shard and slot such that counts are at most one apart; rows of a shard keep it by rank: those of groups first, which so stay whole, then linked ones, of one anchor together."""
+    buckets, spread = max(64, n_rows // 500_000), max(1, n_rows // (128 * 500_000))  # an anchor has 1 / 128 of all rows at most
+    order = F.when(F.col("n") > 1, 0).when(F.col("linked"), 1).otherwise(2)
+    community = F.xxhash64(F.coalesce("anchor", "doc_id"), F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(spread)))
+    rows = rows.withColumn("_b", order * buckets + F.pmod(community, F.lit(buckets))).drop("n")
     rows = staged(rows, "located")
     count = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     before = count.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_before"))
@@ -156,7 +209,7 @@ def _even(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
         over.append(a)
         room.append((b, b + max(0, quota[s] - load.get(s, 0)), load.get(s, 0)))
         a, b = a + max(0, load.get(s, 0) - quota[s]), room[-1][1]
-    # 2 * buckets rows for each shard: bounded by the number of rows over 250,000
+    # 3 * buckets rows for each shard: bounded by the number of rows over 250,000
     ranked = rows.join(F.broadcast(before) if buckets <= 4096 else before, ["shard", "_b"]).withColumn("_r", F.row_number().over(Window.partitionBy("shard", "_b").orderBy("group", "doc_id")) - 1 + F.col("_before"))
     at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("shard") + 1)
     ranked = ranked.withColumn("_o", F.when(F.col("_r") >= at(quota), F.col("_r") - at(quota) + at(over)))

@@ -48,3 +48,29 @@ def test_departures_free_room():
 
 def test_quota_holds():
     assert sharding.allowed_shares({0: 50, 1: 100}, [(1, 0, 1, 50)], 100.0) == []
+
+
+def groups_cut(spark, rows):
+    """How many groups of equal texts stand on several shards, of those under PART of a shard; counts must be even."""
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts, texts, shards = collections.Counter(r.shard for r in got), dict(rows), collections.defaultdict(set)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 16
+    assert {(r.shard, r.slot) for r in got} == {(s, k) for s, n in counts.items() for k in range(n)}
+    sizes = collections.Counter(texts.values())
+    for r in got:
+        shards[texts[r.doc_id]].add(r.shard)
+    return sum(len(s) > 1 for t, s in shards.items() if sizes[t] < sharding.PART * len(rows) / 16), len(shards)
+
+
+def test_equal_texts_stay_together(spark):
+    """All documents linked, a third of them in groups of two or three."""
+    texts = [t for _, t, _ in topics(100, 10)]
+    texts += texts[:300] + texts[:150]
+    assert groups_cut(spark, list(enumerate(texts))) == (0, 1000)
+
+
+def test_groups_beyond_the_quota_move_whole(spark):
+    """A third of all rows have one text, and most others are groups of up to four: shards with a part of the large group have too many groups."""
+    texts = ["one text " * 9] * 1000 + [f"text {k // 4} of four" for k in range(1400)] + [f"text {k // 2} of two" for k in range(300)] + [f"single {k}" for k in range(300)]
+    split, groups = groups_cut(spark, list(enumerate(texts)))
+    assert split == 0 and groups == 1 + 350 + 150 + 300
