@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, drop_staged, gathered, release, released, slices, span_hashes, spans, staged, utf8
+from .common import BASE, LOWER, SPACE, bounded_batches, drop_staged, gathered, release, released, slices, span_hashes, spans, staged, utf8
 from .quality import fold
 
 #: Longest context in bytes. A gram (context and next symbol) is a number in base 256; of seven bytes, it fits in a long.
@@ -27,95 +27,116 @@ PRIOR = 4.0
 #: same scores. Chunks are 2 ** CHUNK_BITS rows of a partition; a text over LONG_BYTES is a chunk of its own, so a chunk has 128 MB or is one text.
 MODEL_GRAMS, CHUNK_BITS, LONG_BYTES = 8_000_000, 11, 1 << 16
 #: Bytes of text that are scored at a time.
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
+#: Grams that are counted at a time, by sorting; counts of so many distinct ones are merged at a time; grams that are looked up at a time.
+COUNT_GRAMS, MERGE_GRAMS, FIND_GRAMS = 4 << 20, 3 << 20, 1 << 19
 #: Words that take part in counts by broadcast: at most so many, those that are frequent within slices.
 COMMON_WORDS, COMMON_IN_SLICE = 200_000, 4
 END, SPACE_BYTE = 10, 32  # symbols: words are joined by spaces, a text begins after and ends with a line break
 
 
-def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased words joined by single spaces, each text ended by END; offsets of rows."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes and the offsets of rows in them; start, end and row of each word."""
     data, off = utf8(texts)
     data = LOWER[data]
+    return data, off, *spans(data, off)
+
+
+def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased words joined by single spaces, each text ended by END; offsets of rows."""
+    return _joined(*_words(texts))
+
+
+def _joined(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_symbols of these words."""
     n = len(off) - 1
     if not len(data):
         return np.full(n, END, np.uint8), np.arange(n + 1)
-    word = ~SPACE[data]
-    first = np.zeros(len(data), bool)
-    start, _, row = spans(data, off)
-    first[start] = True
-    lead = np.ones(len(start), bool)
-    lead[1:] = row[1:] != row[:-1]
-    extra = np.zeros(len(data), np.int64)  # a space before each word but a text's first
-    extra[start[~lead]] = 1
-    row_of_end = off[1:]
-    size = np.cumsum(word.astype(np.int64) + extra)
-    ends = np.r_[0, size][row_of_end] + np.arange(1, n + 1)
-    new = np.r_[0, ends]
-    out = np.full(int(new[-1]), SPACE_BYTE, np.uint8)
-    at = np.flatnonzero(word)
-    out[size[at] - 1 + np.searchsorted(off, at, "right") - 1] = data[at]
-    out[ends - 1] = END
+    use = ~SPACE[data]
+    gap = start[1:][row[1:] == row[:-1]] - 1  # the separator before each word but a text's first becomes the space
+    use[gap] = True
+    data = data.copy()
+    data[gap] = SPACE_BYTE
+    new = np.r_[0, np.searchsorted(np.flatnonzero(use), off[1:])] + np.arange(n + 1)
+    own = np.ones(int(new[-1]), bool)
+    own[new[1:] - 1] = False
+    out = np.full(len(own), END, np.uint8)
+    out[own] = data[use]
     return out, new
 
 
 def _grams(symbols: np.ndarray, new: np.ndarray, depth: int) -> np.ndarray:
-    """For each symbol the number of its preceding depth symbols and itself; before a text stand END symbols."""
-    at = np.arange(len(symbols)) + np.repeat(depth * np.arange(1, len(new)), np.diff(new))
-    stream = np.full(len(symbols) + depth * (len(new) - 1), END, np.int64)
-    stream[at] = symbols
-    # numbers of 1, 2, 4, ... symbols, from which that of depth + 1 is put together
-    powers, width = {1: stream}, 1
-    while 2 * width <= depth + 1:
-        last = powers[width]
-        powers[2 * width] = last[:-width] << 8 * width | last[width:]
-        width *= 2
-    out, have = powers[width], width
-    while have < depth + 1:
-        width = max(w for w in powers if have + w <= depth + 1)
-        end = len(stream) - have - width + 1
-        out, have = out[:end] << 8 * width | powers[width][have : have + end], have + width
-    return out[at - depth]
+    """For each symbol the number of its preceding depth symbols and itself (eight in all at most); before a text stand END symbols."""
+    stream = np.r_[np.full(7, END, np.uint8), symbols]
+    out = np.ndarray(len(symbols), ">u8", stream, strides=(1,)).astype(np.int64)  # eight bytes that end at each symbol
+    if depth < 7:
+        out &= (1 << 8 * (depth + 1)) - 1
+    ends = int.from_bytes(bytes([END]) * (depth + 1), "big")
+    size = np.diff(new)
+    for k in range(depth):  # a text's symbol k: what comes before the text gives way to END
+        at = new[:-1][size > k] + k
+        own = (1 << 8 * (k + 1)) - 1
+        out[at] = out[at] & own | ends & ~own
+    return out
+
+
+def _counted(gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how often each occurs (or the sums of n). Without n, gram is sorted in place."""
+    if n is None:
+        gram.sort()
+    else:
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.diff(np.r_[first, len(gram)]) if n is None else np.add.reduceat(n, first)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seen_grams of batches (_chunk, text) of a task: grams are sorted and counted COUNT_GRAMS at a time, and a chunk's counts are merged."""
+    waiting: list[np.ndarray] = []  # grams that are not counted yet
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, now = 0, 0
+
+    def count(merge: bool) -> None:
+        if waiting:
+            held.append(_counted(np.concatenate(waiting)))
+            waiting.clear()
+        if len(held) > 1 and (merge or sum(len(g) for g, _ in held) > MERGE_GRAMS):
+            gram, n = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
+            held.clear()
+            held.append(_counted(gram, n))
+
+    def out(chunk: int) -> Iterator[pa.RecordBatch]:
+        count(True)
+        for gram, n in held:
+            for k in range(0, len(gram), 100_000):
+                part = gram[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part), pa.array(n[k : k + 100_000])], names=["_chunk", "gram", "n"])
+        held.clear()
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            chunk = np.asarray(part.column("_chunk"), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (waiting or held) and now != chunk[a]:
+                    yield from out(now)
+                    size = 0
+                now = int(chunk[a])
+                waiting.append(_grams(*_symbols(part.slice(a, b - a).column("text")), DEPTH))
+                size += len(waiting[-1])
+                if size >= COUNT_GRAMS:
+                    count(False)
+                    size = 0
+    yield from out(now)
 
 
 def seen_grams(docs: DataFrame) -> DataFrame:
     """_chunk, gram, n over docs (_chunk, text): the distinct grams of each chunk and how often they occur in it.
 
-    Counted in each slice, then in each chunk of a task; a chunk that two tasks share has rows of both.
+    Counted in each chunk of a task; a chunk that two tasks share has rows of both.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size, now = 0, None
-
-        def merged() -> pa.Table:
-            t = pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")])
-            return pa.table({"gram": t.column("gram"), "n": t.column("n_sum")})
-
-        def out(chunk: int) -> Iterator[pa.RecordBatch]:
-            for part in merged().combine_chunks().to_batches(100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, chunk)), part.column("gram"), part.column("n")], names=["_chunk", "gram", "n"])
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                chunk = np.asarray(part.column("_chunk"), np.int64)
-                cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if held and now != chunk[a]:
-                        yield from out(now)
-                        held, size = [], 0
-                    now = int(chunk[a])
-                    known = pa.array(_grams(*_symbols(part.slice(a, b - a).column("text")), DEPTH)).dictionary_encode()
-                    n = np.bincount(known.indices.to_numpy(), minlength=len(known.dictionary))
-                    held.append(pa.table({"gram": known.dictionary, "n": pa.array(n)}))
-                    size += len(n)
-                    if size > 3 << 20:
-                        held = [merged()]
-                        size = 0
-        if held:
-            yield from out(now)
-
-    return docs.select("_chunk", "text").mapInArrow(released(run), "_chunk long, gram long, n long")
+    return docs.select("_chunk", "text").mapInArrow(released(_seen), "_chunk long, gram long, n long")
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -181,13 +202,48 @@ def grow(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return share, back
 
 
+class Places:
+    """Finds longs among distinct ones that stand in the order of a product that scatters them: a product's leading bits tell where to begin."""
+
+    def __init__(self, keys: np.ndarray):
+        """keys: in the order that order() gives."""
+        self.scattered = np.r_[self.scatter(keys), np.uint64(2**64 - 1)]  # the last one ends each search
+        self.begin = None  # made where it is used, so that it is not broadcast: 2 to 4 places of 4 bytes a key
+
+    @staticmethod
+    def scatter(keys: np.ndarray) -> np.ndarray:
+        return np.asarray(keys, np.int64).view(np.uint64) * np.uint64(BASE)
+
+    @staticmethod
+    def order(keys: np.ndarray) -> np.ndarray:
+        return np.argsort(Places.scatter(keys))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place, and whether it is there (else the place means nothing)."""
+        size = len(self.scattered) - 1
+        bits = size.bit_length() + 1
+        shift = np.uint64(64 - bits)
+        if self.begin is None:
+            self.begin = np.searchsorted(self.scattered[:-1], np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+        key = self.scatter(key)
+        at = self.begin[(key >> shift).view(np.int64)]
+        got = self.scattered[at]
+        rest = np.flatnonzero(got < key)
+        while len(rest):  # once more for each key of the same leading bits
+            at[rest] += 1
+            following = self.scattered[at[rest]]
+            got[rest] = following
+            rest = rest[following < key[rest]]
+        return at, (got == key) & (at < size)
+
+
 @dataclass
 class Tree:
-    """grow()'s tables in memory: by depth, sorted grams with log10 probabilities, and sorted contexts with log10 weights of their suffix."""
+    """grow()'s tables in memory: by depth, grams with log10 probabilities, and contexts with log10 weights of their suffix."""
 
-    grams: list[np.ndarray]
+    grams: list[Places]
     values: list[np.ndarray]
-    contexts: list[np.ndarray]
+    contexts: list[Places]
     backs: list[np.ndarray]
 
 
@@ -199,10 +255,10 @@ def collected(share: DataFrame, back: DataFrame) -> Tree:
         for d in range(DEPTH + 1):
             rows = table.where(F.col("depth") == d).select(key, F.log10(value).cast("float").alias("value")).toArrow()
             own, logs = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            order = np.argsort(own)
-            keys.append(own[order])
+            order = Places.order(own)
+            keys.append(Places(own[order]))
             values.append(logs[order])
-            del rows, own, logs
+            del rows, own, logs, order
             release()
         out += [keys, values]
     return Tree(*out)
@@ -210,16 +266,19 @@ def collected(share: DataFrame, back: DataFrame) -> Tree:
 
 def log10_values(tree: Tree, gram: np.ndarray) -> np.ndarray:
     """log10 probability of the last symbol of each gram (DEPTH symbols and one), from its longest retained context: seen there, or left to that context's suffix."""
-    out, rest = np.zeros(len(gram)), np.arange(len(gram))
-    for d in range(DEPTH, -1, -1):
-        own = gram[rest] & ((1 << 8 * (d + 1)) - 1)
-        at, there = _find(tree.grams[d], own)
-        out[rest[there]] += tree.values[d][at[there]]
-        rest, own = rest[~there], own[~there]
-        if not len(rest):
-            break
-        at, there = _find(tree.contexts[d], own >> 8)
-        out[rest[there]] += tree.backs[d][at[there]]
+    out = np.zeros(len(gram))
+    for k in range(0, len(gram), FIND_GRAMS):
+        part, total = gram[k : k + FIND_GRAMS], out[k : k + FIND_GRAMS]
+        rest = np.arange(len(part))
+        for d in range(DEPTH, -1, -1):
+            own = part[rest] & ((1 << 8 * (d + 1)) - 1)
+            at, there = tree.grams[d].find(own)
+            total[rest[there]] += tree.values[d][at[there]]
+            rest, own = rest[~there], own[~there]
+            if not len(rest):
+                break
+            at, there = tree.contexts[d].find(own >> 8)
+            total[rest[there]] += tree.backs[d][at[there]]
     return out
 
 
@@ -240,17 +299,8 @@ def joined_values(grams: DataFrame, share: DataFrame, back: DataFrame) -> DataFr
     return out.select("gram", "value")
 
 
-def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-    return at, table[at] == key
-
-
 def _word_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, off = utf8(part.column("text"))
-    data = LOWER[data]
-    start, end, row = spans(data, off)
+    data, _, start, end, row = _words(part.column("text"))
     return span_hashes(data, start, end).view(np.int64), row
 
 
@@ -271,18 +321,20 @@ def word_counts(docs: DataFrame, held: int, folds: int) -> tuple[DataFrame, np.n
                 yield pa.RecordBatch.from_arrays([pa.array(words[use]), pa.array(n[use])], names=["word", "n"])
 
     top = own.select("text").mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    common = np.sort(np.asarray(top.select("word").toArrow().column(0), np.int64))
+    common = np.asarray(top.select("word").toArrow().column(0), np.int64)
+    common = common[Places.order(common)]
     shared = spark.sparkContext.broadcast(common)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, word, n, train) of rare words; training counts of common words with row null."""
         common = shared.value
+        places = Places(common)
         total, seen = np.zeros(len(common), np.int64), False
         for batch in batches:
             for part in slices(batch, "text"):
                 word, row = _word_rows(part)
                 train = np.asarray(part.column("train").to_numpy(zero_copy_only=False), bool)
-                at, is_common = _find(common, word)
+                at, is_common = places.find(word)
                 total += np.bincount(at[is_common & train[row]], minlength=len(common)) if len(common) else 0
                 seen = True
                 word, row = word[~is_common], row[~is_common]
@@ -300,7 +352,7 @@ def word_counts(docs: DataFrame, held: int, folds: int) -> tuple[DataFrame, np.n
 
     rows = staged(own.mapInArrow(split, "_row long, word long, n long, train boolean"), "words")
     sums = rows.where("_row IS NULL").groupBy("word").agg(F.sum("n").alias("c")).toArrow()
-    order = np.argsort(np.asarray(sums.column("word"), np.int64))
+    order = Places.order(np.asarray(sums.column("word"), np.int64))
     words, counts = np.asarray(sums.column("word"), np.int64)[order], np.asarray(sums.column("c"), np.int64)[order]
     # a rare word's rows meet its count in one place: no word here is frequent in any slice but for the cut at COMMON_WORDS
     rare = rows.where("_row IS NOT NULL")
@@ -328,22 +380,21 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
     by_doc, words, found, tokens, distinct = word_counts(docs, held, folds)
     ends = docs.where("train").count()
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    model = spark.sparkContext.broadcast((words, np.log10(found + 1.0)))  # COMMON_WORDS at most
+    model = spark.sparkContext.broadcast((Places(words), np.log10(found + 1.0)))  # COMMON_WORDS at most
     schema = f"doc_id {kind}, _row long, n_tokens long, common_known long, common_log double, score double"
 
     def scored_part(part: pa.RecordBatch, values) -> pa.RecordBatch:
-        """values: the log10 probabilities of an array of distinct grams."""
+        """values: the log10 probabilities of an array of grams."""
         words, logs = model.value
         n_rows = part.num_rows
-        symbols, new = _symbols(part.column("text"))
-        own = pa.array(_grams(symbols, new, DEPTH)).dictionary_encode()
-        total = np.add.reduceat(values(np.asarray(own.dictionary, np.int64))[own.indices.to_numpy()], new[:-1])
-        word, row = _word_rows(part)
-        at, is_common = _find(words, word)
+        data, off, start, end, row = _words(part.column("text"))
+        symbols, new = _joined(data, off, start, end, row)
+        total = np.add.reduceat(values(_grams(symbols, new, DEPTH)), new[:-1])
+        at, is_common = words.find(span_hashes(data, start, end).view(np.int64))
         return pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"), part.column("_row"), pa.array(np.bincount(row, minlength=n_rows) + 1), pa.array(np.bincount(row[is_common], minlength=n_rows)),
-                pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(words) else np.zeros(n_rows)), pa.array(total),
+                pa.array(np.bincount(row[is_common], logs[at[is_common]], minlength=n_rows) if len(logs) else np.zeros(n_rows)), pa.array(total),
             ],
             names=["doc_id", "_row", "n_tokens", "common_known", "common_log", "score"],
         )
@@ -352,15 +403,9 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
         tree = spark.sparkContext.broadcast(collected(share, back))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def values(gram: np.ndarray) -> np.ndarray:
-                order = np.argsort(gram)
-                out = np.empty(len(gram))
-                out[order] = log10_values(tree.value, gram[order])
-                return out
-
             for batch in gathered(batches, "text", SCORE_BYTES):
                 for part in slices(batch, "text", 2 * SCORE_BYTES):
-                    yield scored_part(part, values)
+                    yield scored_part(part, lambda gram: log10_values(tree.value, gram))
 
         scored = docs.select("doc_id", "_row", "text").mapInArrow(released(run), schema)
     else:
@@ -372,10 +417,10 @@ def score(docs: DataFrame, held: int = 2, folds: int = 7) -> DataFrame:
 
         def run_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
             gram, value = np.asarray(known.column("gram"), np.int64), np.asarray(known.column("value"), float)
-            order = np.argsort(gram)
-            gram, value = gram[order], value[order]
+            order = Places.order(gram)
+            places, value = Places(gram[order]), value[order]
             parts = [p for b in texts.combine_chunks().to_batches() for p in slices(b, "text")]
-            return pa.Table.from_batches([scored_part(p, lambda g: value[np.searchsorted(gram, g)]) for p in parts])
+            return pa.Table.from_batches([scored_part(p, lambda g: value[places.find(g)[0]]) for p in parts])
 
         looked_up = seen.join(values_of, "gram").groupBy("_chunk")
         scored = texts.select("_chunk", "doc_id", "_row", "text").groupBy("_chunk").cogroup(looked_up).applyInArrow(run_chunk, schema)

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,54 @@ def test_rare_contexts_outlive_a_larger_corpus(spark):
     rows = spark.range(30).select(suffixtree.F.lit("qabz").alias("text")).union(spark.range(4000).select(suffixtree.F.expr("repeat('ab ', 600)").alias("text")))
     _, contexts = suffixtree.retained(suffixtree.staged(suffixtree.gram_counts(rows), "grams"))
     assert int.from_bytes(b"qab", "big") in {r.context for r in contexts[3].collect()}
+
+
+def batches_of(chunks, texts, rows):
+    return pa.Table.from_pydict({"_chunk": pa.array(chunks, pa.int64()), "text": pa.array(texts, pa.string())}).to_batches(rows)
+
+
+def test_counts_of_parts_are_merged(monkeypatch):
+    """Chunks that end within a batch, counts merged several times, none for no rows."""
+    monkeypatch.setattr(suffixtree, "COUNT_GRAMS", 30)
+    monkeypatch.setattr(suffixtree, "MERGE_GRAMS", 40)
+    chunks = [0] * 20 + [3] * 13 + [-7] * (len(TEXTS) - 33)
+    want = collections.Counter()
+    for c, t in zip(chunks, TEXTS, strict=True):
+        s = bytes([suffixtree.END]) * suffixtree.DEPTH + b" ".join((t or "").lower().encode().split()) + bytes([suffixtree.END])
+        for k in range(suffixtree.DEPTH, len(s)):
+            want[c, int.from_bytes(s[k - suffixtree.DEPTH : k + 1], "big")] += 1
+    got = [r for b in suffixtree._seen(iter(batches_of(chunks, TEXTS, 6))) for r in b.to_pylist()]
+    assert {(r["_chunk"], r["gram"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert not list(suffixtree._seen(iter([])))
+
+
+def test_counting_costs_a_few_sorts():
+    """Of two million varied symbols; about 5 sorts; hashing them slice by slice took as long as 31."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 9, 20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 400)) for _ in range(900)]
+    batches = batches_of([0] * len(texts), texts, 300)
+    symbols, new = suffixtree._symbols(pa.array(texts))
+    grams = suffixtree._grams(symbols, new, suffixtree.DEPTH)
+
+    def least(run):
+        seconds = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            seconds.append(time.process_time() - began)
+        return min(seconds)
+
+    assert least(lambda: sum(b.num_rows for b in suffixtree._seen(iter(batches)))) < 15 * least(lambda: np.sort(grams))
+
+
+def test_places():
+    rng = np.random.default_rng(1)
+    inverse = pow(suffixtree.BASE, -1, 1 << 64)
+    last = np.array([(2**64 - 1) * inverse % 2**64], np.uint64).view(np.int64)  # its product is the end mark
+    close = (np.arange(64, dtype=np.uint64) * np.uint64(inverse)).view(np.int64)  # products 0 to 63 share leading bits
+    for keys in (np.zeros(0, np.int64), np.array([5]), last, np.r_[last, 0, 1, -1], close, np.arange(1000) << 48, np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))):
+        keys = keys[suffixtree.Places.order(keys)]
+        sought = np.r_[keys, keys + 1, keys - 1, rng.integers(-(2**63), 2**63 - 1, 1000), last, 0]
+        at, there = suffixtree.Places(keys).find(sought)
+        assert (there == np.isin(sought, keys)).all() and (keys[at[there]] == sought[there]).all()
