@@ -51,20 +51,28 @@ NODE_TYPES = ("Annex", "ActorRole", "DefinedTerm", "Document", "Obligation", "Pa
 RELATION_TYPES = ("APPLIES_TO", "DEFINES", "HAS_PARAGRAPH", "HAS_PROVISION", "IMPOSES", "REFERENCES_ANNEX", "USES_TERM")
 
 
-def domains(chunks: DataFrame) -> DataFrame:
-    """doc_id, domain: from the first 200 characters of a document's first 15 provisions."""
-    first = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where("_n <= 15")
-    sample = first.groupBy("doc_id").agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.substring("text", 1, 200).alias("t")))), lambda x: x["t"]), " ")).alias("sample"))
+def _domain(sample: Column) -> Column:
     out = F.lit(DEFAULT_DOMAIN)
     for name, words in reversed(DOMAINS):
-        out = F.when(contains_any(F.col("sample"), words), F.lit(name)).otherwise(out)
-    return sample.select("doc_id", out.alias("domain"))
+        out = F.when(contains_any(sample, words), F.lit(name)).otherwise(out)
+    return out
+
+
+def _samples(chunks: DataFrame) -> DataFrame:
+    """doc_id, short_name (the least), sample: in lower case, the first 200 characters of a document's first 15 provisions."""
+    numbered = chunks.select("doc_id", "short_name", "text", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")).alias("_n"))
+    first = F.collect_list(F.when(F.col("_n") <= 15, F.struct("_n", F.substring("text", 1, 200).alias("t"))))
+    return numbered.groupBy("doc_id").agg(F.min("short_name").alias("short_name"), F.lower(F.array_join(F.transform(F.sort_array(first), lambda x: x["t"]), " ")).alias("sample"))
+
+
+def domains(chunks: DataFrame) -> DataFrame:
+    """doc_id, domain: from the first 200 characters of a document's first 15 provisions."""
+    return _samples(chunks).select("doc_id", _domain(F.col("sample")).alias("domain"))
 
 
 def ontology(chunks: DataFrame) -> DataFrame:
     """document_id, domain, node_types, relationship_types, description: one record a document."""
-    names = chunks.groupBy("doc_id").agg(F.min("short_name").alias("short_name"))
-    return domains(chunks).join(names, "doc_id").select(
+    return _samples(chunks).select("short_name", _domain(F.col("sample")).alias("domain")).select(
         F.concat(F.lit("doc:"), "short_name").alias("document_id"),
         "domain",
         F.array_sort(F.array(*map(F.lit, NODE_TYPES))).alias("node_types"),
@@ -144,16 +152,20 @@ def uses_term(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.toDF("doc_id", "ords", "ids", "texts", "term_ids", "terms", "key").mapInArrow(_found, f"doc_id {kind['doc_id']}, ord {kind['ord']}, paragraph_id string, term_id string")
 
 
-def roles(chunks: DataFrame) -> DataFrame:
-    """doc_id, role_id, name, rank: base roles first, then discovered ones by first appearance."""
+def _discovered(chunks: DataFrame) -> DataFrame:
+    """doc_id, slug, f (ord, pos, name), rank: the roles of a document beside the base ones, by first appearance."""
     hits = chunks.where("chunk_type = 'article'").select("doc_id", "ord", F.posexplode(F.regexp_extract_all("text", F.lit(ROLE), F.lit(1))).alias("pos", "raw")).withColumn("name", strip("raw"))
     word = F.get(F.split("name", r"(?U)\s+"), F.lit(0))
     hits = hits.where(~F.col("name").isin(*NO_ROLE) & ~word.isin(*NO_ROLE) & (F.length("name") > 2)).withColumn("slug", slug("name"))
     hits = hits.where(~F.col("slug").isin(*[r.lower().replace(" ", "_") for r in BASE_ROLES]))
-    new = hits.groupBy("doc_id", "slug").agg(F.min(F.struct("ord", "pos", "name")).alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("f")) + len(BASE_ROLES) - 1)
+    return hits.groupBy("doc_id", "slug").agg(F.min(F.struct("ord", "pos", "name")).alias("f")).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("f")) + len(BASE_ROLES) - 1)
+
+
+def roles(chunks: DataFrame) -> DataFrame:
+    """doc_id, role_id, name, rank: base roles first, then discovered ones by first appearance."""
     base = F.posexplode(F.array(*map(F.lit, BASE_ROLES)))
     fixed = chunks.select("doc_id").distinct().select("doc_id", base.alias("rank", "name")).select("doc_id", F.concat(F.lit("role:"), slug("name")).alias("role_id"), "name", "rank")
-    return fixed.union(new.select("doc_id", F.concat(F.lit("role:"), "slug"), "f.name", "rank"))
+    return fixed.union(_discovered(chunks).select("doc_id", F.concat(F.lit("role:"), "slug"), "f.name", "rank"))
 
 
 def annex_references(chunks: DataFrame) -> DataFrame:
@@ -186,6 +198,9 @@ def obligations(chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     own = said.withColumn("k", k).select(
         "doc_id", "ord", "pos", "article_id", F.concat("short_name", F.lit(":art:"), slug("number"), F.lit(":"), _suffix(low, F.col("k"))).alias("obligation_id"), modality.alias("modality"), F.substring("s", 1, 500).alias("description"), "low"
     )
-    names = (roles(chunks) if found is None else found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("roles"))
-    hit = F.get(F.filter("roles", lambda r: low.contains(F.lower(r["name"]))), F.lit(0))
-    return own.join(names, "doc_id", "left").withColumn("role", hit["name"]).drop("low", "roles")
+    # every document has the base roles, which come first: only the others have to be met
+    others = _discovered(chunks).select("doc_id", "rank", "f.name") if found is None else found.where(F.col("rank") >= len(BASE_ROLES))
+    names = others.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("roles"))
+    base = F.coalesce(*[F.when(low.contains(r.lower()), F.lit(r)) for r in BASE_ROLES])
+    other = F.get(F.filter("roles", lambda r: low.contains(F.lower(r["name"]))), F.lit(0))["name"]
+    return own.join(names, "doc_id", "left").withColumn("role", F.coalesce(base, other)).drop("low", "roles")
