@@ -5,9 +5,10 @@ import re
 
 import pytest
 
-from provisio import queries
-from provisio.operators import graph, segment, semantics
+from provisio import queries, queries_graph
+from provisio.operators import changes, graph, reads, segment, semantics
 from provisio.plans.corpus import statutory_corpus
+from provisio.plans.provisions import order_provisions
 
 SF = "/root/testdata/sf0.001"
 CHUNKED = ("seg_chunk_counts", "seg_paragraphs", "seg_article_rollup_hash", "seg_cross_refs", "seg_qualifications", "seg_hierarchy", "seg_chunks_json", "sem_annex_refs", "sem_definitions", "sem_domain", "sem_terms_longest_first", "graph_cites")
@@ -67,3 +68,29 @@ def test_ontology_reads_chunks_once(spark):
 def test_citations_within_documents(spark):
     docs = spark.createDataFrame([(1, "A", "Article 1\nScope\nSee Article 2 and 2, and Article 9.\nArticle 2\nMore\nSee Article 1 of it."), (2, "B", "Article 1\nScope\nSee Article 2.")], "doc_id long, short_name string, text string")
     assert {tuple(r) for r in graph.citations(segment.chunks(docs)).collect()} == {("A:art:1", "A:art:2"), ("A:art:2", "A:art:1")}
+
+
+def test_diff_looks_vectors_up_for_modified_articles_alone(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "vec_id long, embedding array<float>")
+    side = lambda *rows: spark.createDataFrame(rows, "number string, text string, embedding long")
+    old, new = side(("1", "a", 0), ("2", "b", 0), ("3", "c", 1)), side(("1", "a", 1), ("2", "x", 1), ("3", "y", None))
+    by_id = changes.article_diff(old, new, vectors)
+    assert {r.number: (r.status, r.similarity) for r in by_id.collect()} == {"1": ("unchanged", None), "2": ("modified", 0.6), "3": ("modified", 1.0)}
+
+
+def test_typed_graph_stores_lines_alone_and_shuffles_no_vectors(spark):
+    before = stored(spark)
+    t = order_provisions(spark, SF)
+    assert [n.split("-")[0] for n in stored(spark) - before] == ["lines"]
+    assert exchanges(t["Article"]) == exchanges(t["Paragraph"]) == 0
+
+
+def test_new_versions_reuse_stored_lines(spark):
+    before = stored(spark)
+    _, new = queries_graph._versions(spark, SF)
+    assert len(stored(spark) - before) == 1 and exchanges(new["Article"]) == exchanges(new["Paragraph"]) == 0
+
+
+def test_manifests_are_distinct_where_ids_met(spark):
+    plan = reads.manifests(order_provisions(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(document_id#\w+, kind", plan)
